@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 HALF_BITS = 22
 HALF = 1 << HALF_BITS
-MAX_DIGITS = 6
+MAX_DIGITS = 9
 
 
 def grid_digits(bound: float) -> int:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from hushframe.errors import InvalidQuery
 from hushframe.functions.uniform import digest
+from hushframe.operators.repeat import repeat_rows
 
 MAP_SIDE_LIMIT = 64
 BUCKET_HEX_DIGITS = 4
@@ -81,11 +82,8 @@ def keep_smallest(
         .agg(F.count("*").alias("__copies"))
         .withColumn("__before", F.sum("__copies").over(within) - F.col("__copies"))
         .withColumn("__take", F.least(F.col("__copies"), F.col("__left") - F.col("__before")))
-        .filter(F.col("__take") > 0)
-        .select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("__take").cast("int"))).alias("__copy"))
-        .select(*df.columns)
     )
-    return whole.unionByName(edge)
+    return whole.unionByName(repeat_rows(edge.select(*df.columns, "__take"), "__take").select(*df.columns))
 
 
 def _listed(columns: list[str] | str) -> list[str]:

@@ -18,11 +18,11 @@ from hushframe.functions.noise import Noise, Secure, Seeded, add_noise, threshol
 from hushframe.operators.bounding import keep_smallest
 from hushframe.operators.clean import cast_default
 from hushframe.operators.domain import clamped, complete
+from hushframe.operators.repeat import repeat_rows
 from hushframe.plans.accounting import Cost, pure_cost, zcdp_cost
 from hushframe.session import written
 
 UNKNOWN = "__unknown__"
-PAD_BLOCK = 100_000
 
 
 @dataclass(frozen=True)
@@ -203,12 +203,6 @@ def pad_rows(df: DataFrame, value: str, size: int, constant: Any) -> DataFrame:
 
     The padding is generated on the executors from one counted row, not on the driver.
     """
-    missing = df.agg((F.lit(size) - F.count("*")).alias("n")).filter(F.col("n") > 0)
-    blocks = missing.select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("n") - 1).cast("bigint"), F.lit(PAD_BLOCK).cast("bigint"))).alias("start"),
-        "n",
-    )
-    rows = blocks.repartition("start").select(
-        F.explode(F.sequence("start", F.least(F.col("start") + PAD_BLOCK, F.col("n")) - 1)).alias("i")
-    )
-    return df.select(value).unionByName(rows.select(F.lit(constant).cast(df.schema[value].dataType).alias(value)))
+    short = df.agg((F.lit(size) - F.count("*")).alias("n"))
+    filler = repeat_rows(short, "n").select(F.lit(constant).cast(df.schema[value].dataType).alias(value))
+    return df.select(value).unionByName(filler)

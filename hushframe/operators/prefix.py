@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushframe.functions.ranges import edge_position
+from hushframe.functions.ranges import edges_at_or_below
 
 CHUNKS = 256
 
@@ -18,7 +18,7 @@ def chunk_edges(df: DataFrame, order: str, chunks: int = CHUNKS) -> list:
 
 
 def chunk_of(order: str, edges: list) -> Column:
-    return F.coalesce(edge_position(F.col(order).cast("double"), edges), F.lit(0))
+    return F.coalesce(edges_at_or_below(F.col(order).cast("double"), edges), F.lit(0))
 
 
 def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], edges: list | None = None,
@@ -26,7 +26,7 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
     """Append running sums in the given order within each key.
 
     Rows are ranked inside (key, chunk of the order column), so a key with most of the rows is spread over
-    all chunks; totals of earlier chunks are added from a table of at most 2 * CHUNKS rows per key.
+    all chunks; totals of earlier chunks are added from a table of at most CHUNKS rows per key.
     """
     edges = chunk_edges(df, order[0]) if edges is None else edges
     tagged = df.withColumn("__chunk", chunk_of(order[0], edges))

@@ -1,0 +1,264 @@
+"""Tree-shaped synthesizers: noisy marginals from Spark, a small model on the driver, rows drawn on Spark."""
+
+from __future__ import annotations
+
+import math
+import os
+import secrets
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hushframe.errors import InvalidQuery, LibraryFailure
+from hushframe.functions.noise import Noise, Secure, Seeded, add_noise
+from hushframe.functions.uniform import uniform
+from hushframe.metadata import TableMeta
+from hushframe.ml.groups import plain_uniform
+from hushframe.operators.marginals import exact_marginals
+from hushframe.synth.prepare import DEFAULT_SAMPLES, Encoded, check_request, pair_cells, synth_encode
+
+MAX_MODEL_CELLS = 2_000_000
+
+
+def rho_of(epsilon: float, delta: float) -> float:
+    """zCDP budget whose conversion gives (epsilon, delta)."""
+    log_inverse = math.log(1.0 / delta)
+    return (math.sqrt(log_inverse + epsilon) - math.sqrt(log_inverse)) ** 2
+
+
+def _gumbel(mode: Secure | Seeded, *tag) -> float:
+    if isinstance(mode, Seeded):
+        u = plain_uniform(mode.seed, *tag)
+    else:
+        u = ((int.from_bytes(os.urandom(8), "big") >> 12) + 0.5) / 2.0**52
+    return -math.log(-math.log(u))
+
+
+@dataclass
+class ForestSampler:
+    """First columns drawn alone, others given their parent.
+
+    ``order`` lists (column, parent or None, table): a row of probabilities per parent code.
+    """
+
+    order: list[tuple[str, str | None, np.ndarray]]
+    encoded: Encoded
+
+    def draw_codes(self, spark: SparkSession, n: int, seed: int, first: int = 0) -> DataFrame:
+        rows = spark.range(first, first + n)
+        for column, parent, table in self.order:
+            cdf = np.cumsum(table, axis=1)
+            cdf /= cdf[:, -1:]
+            lookup = spark.createDataFrame([(i, [float(v) for v in r[:-1]]) for i, r in enumerate(cdf)], "__p int, __cdf array<double>")
+            key = F.col(parent) if parent else F.lit(0)
+            u = uniform(seed, column, "id")
+            rows = (
+                rows.withColumn("__key", key).join(lookup, F.col("__key") == F.col("__p"))
+                .withColumn("__u", u)
+                .withColumn(column, F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))))
+                .drop("__key", "__p", "__cdf", "__u")
+            )
+        return rows.select("id", *self.encoded.plan)
+
+    def parameters(self) -> list[tuple]:
+        return [(c, p, i, j, float(v)) for c, p, t in self.order for i, r in enumerate(t) for j, v in enumerate(r)]
+
+    def to_frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.parameters(), "column string, parent string, parent_code int, code int, weight double")
+
+
+def sample(model, spark: SparkSession, n: int = DEFAULT_SAMPLES, condition: str | None = None, seed: int | None = None,
+           rounds: int = 20) -> DataFrame:
+    """``n`` synthetic rows in the original domain; with a condition, only rows that satisfy it.
+
+    Rejection sampling: the accepted share of each round sizes the next.
+    """
+    seed = secrets.randbits(62) if seed is None else seed
+    if condition is None:
+        return model.encoded.decode(model.draw_codes(spark, n, seed))
+    kept, got, start, size = None, 0, 0, max(n, 1000)
+    for _ in range(rounds):
+        batch = model.encoded.decode(model.draw_codes(spark, size, seed, start)).filter(condition)
+        got += (fresh := batch.count())
+        kept = batch if kept is None else kept.unionByName(batch)
+        if got >= n:
+            return kept.limit(n)
+        start += size
+        size = min(int(size * max(2.0, 1.2 * (n - got) / max(fresh, 1))), 1_000_000_000)
+    raise LibraryFailure(f"only {got} of {n} rows satisfy the condition; it may be too rare")
+
+
+class _Marginals:
+    """Exact marginals of one encoded table, kept for the rounds of one synthesis and then dropped."""
+
+    def __init__(self, encoded: Encoded):
+        self.columns = list(encoded.plan)
+        self.sizes = encoded.sizes
+        self.pairs = list(combinations(self.columns, 2))
+        cells = sum(self.sizes.values()) + sum(self.sizes[a] * self.sizes[b] for a, b in self.pairs)
+        if cells > MAX_MODEL_CELLS:
+            raise InvalidQuery(f"{cells} marginal cells exceed {MAX_MODEL_CELLS}; use fewer columns or bins")
+        self.singles = [(c,) for c in self.columns]
+        table = exact_marginals(encoded.codes, encoded.domains, [*self.singles, *self.pairs])
+        self.table = pair_cells(table, self.columns).persist()
+
+    def measure(self, sets: list[tuple[str, ...]], sigma: float, mode: Secure | Seeded, tag: str) -> dict[tuple[str, ...], np.ndarray]:
+        """Noisy tables; at most MAX_MODEL_CELLS public cells reach the driver."""
+        chosen = self.table.filter(F.col("marginal").isin([",".join(s) for s in sets]))
+        noisy = add_noise(chosen, [Noise("n", "gaussian", sigma)], ["marginal", "i", "j"], mode, tag)
+        out = {s: np.zeros([self.sizes[c] for c in s]) for s in sets}
+        for r in noisy.collect():
+            s = tuple(r["marginal"].split(","))
+            out[s][(r["i"],) if len(s) == 1 else (r["i"], r["j"])] = r["n"]
+        return out
+
+    def errors(self, spark: SparkSession, models: dict[tuple[str, str], np.ndarray]) -> dict[tuple[str, str], float]:
+        """L1 distance between the exact and a modelled table, per pair: one join, one row per pair back."""
+        rows = [(",".join(s), i, j, float(v)) for s, t in models.items() for (i, j), v in np.ndenumerate(t)]
+        model = spark.createDataFrame(rows, "marginal string, i int, j int, m double")
+        joined = self.table.join(model, ["marginal", "i", "j"])
+        found = joined.groupBy("marginal").agg(F.sum(F.abs(F.col("n") - F.col("m"))).alias("e")).collect()
+        return {tuple(r["marginal"].split(",")): r["e"] for r in found}
+
+    def close(self) -> None:
+        self.table.unpersist()
+
+
+def _shares(counts: np.ndarray) -> np.ndarray:
+    positive = np.maximum(counts, 0.0)
+    total = positive.sum()
+    return positive / total if total > 0 else np.full(counts.shape, 1.0 / counts.size)
+
+
+def _component(edges, start: str) -> set[str]:
+    seen, todo = {start}, [start]
+    while todo:
+        at = todo.pop()
+        for a, b in edges:
+            for x, y in ((a, b), (b, a)):
+                if x == at and y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+    return seen
+
+
+def _sampler(encoded: Encoded, singles: dict, tables: dict) -> ForestSampler:
+    """Orient the forest: breadth first from the first column of each component."""
+    order: list = []
+    done: set[str] = set()
+    for root in encoded.plan:
+        if root in done:
+            continue
+        done.add(root)
+        order.append((root, None, _shares(singles[(root,)])[None, :]))
+        todo = [root]
+        while todo:
+            at = todo.pop(0)
+            for (a, b), t in tables.items():
+                for parent, child, table in ((a, b, t), (b, a, t.T)):
+                    if parent == at and child not in done:
+                        done.add(child)
+                        fallback = _shares(singles[(child,)])
+                        rows = np.maximum(table, 0.0)
+                        rows = np.where(rows.sum(axis=1, keepdims=True) > 0, rows, fallback[None, :])
+                        order.append((child, parent, rows / rows.sum(axis=1, keepdims=True)))
+                        todo.append(child)
+    return ForestSampler(order, encoded)
+
+
+def _pick(scores: dict, temperature: float, mode, *tag):
+    return max(scores, key=lambda s: (scores[s] / temperature + _gumbel(mode, *tag, ",".join(s)), s))
+
+
+def fit_mst(df: DataFrame, meta: TableMeta, columns: list[str] | None, epsilon: float, delta: float, mode: Secure | Seeded,
+            nullable: bool = False, overrides: dict | None = None, max_ids: int = 1) -> ForestSampler:
+    """One-way marginals, a spanning tree by noisy dependence scores, two-way marginals on its edges (McKenna et al. 2021)."""
+    check_request("mst", epsilon, delta)
+    encoded = synth_encode(df, meta, columns, nullable, overrides)
+    marginals, rho = _Marginals(encoded), rho_of(epsilon, delta) / 3.0
+    try:
+        d = len(marginals.columns)
+        singles = marginals.measure(marginals.singles, max_ids * math.sqrt(d / (2.0 * rho)), mode, "mst1")
+        if d == 1:
+            return _sampler(encoded, singles, {})
+        total = float(np.mean([max(t.sum(), 1.0) for t in singles.values()]))
+        independent = {(a, b): total * np.outer(_shares(singles[(a,)]), _shares(singles[(b,)])) for a, b in marginals.pairs}
+        scores = marginals.errors(df.sparkSession, independent)
+        edges: list[tuple[str, str]] = []
+        temperature = 2.0 * max_ids / math.sqrt(8.0 * rho / (d - 1))
+        while len(edges) < d - 1:
+            open_ = {s: e for s, e in scores.items() if s[1] not in _component(edges, s[0])}
+            edges.append(_pick(open_, temperature, mode, "mst-edge", len(edges)))
+        tables = marginals.measure(edges, max_ids * math.sqrt((d - 1) / (2.0 * rho)), mode, "mst2")
+        return _sampler(encoded, singles, tables)
+    finally:
+        marginals.close()
+
+
+def mst(df: DataFrame, meta: TableMeta, columns: list[str] | None, epsilon: float, delta: float, mode: Secure | Seeded,
+        n: int = DEFAULT_SAMPLES, condition: str | None = None, seed: int | None = None, **options) -> DataFrame:
+    """Samples only: this synthesizer's model is not handed out."""
+    return sample(fit_mst(df, meta, columns, epsilon, delta, mode, **options), df.sparkSession, n, condition, seed)
+
+
+def _modelled(singles: dict, tables: dict, sizes: dict, total: float) -> Iterator[tuple[tuple[str, str], np.ndarray]]:
+    """The forest's own two-way table of every pair: products along the connecting path."""
+    transitions = {}
+    for (a, b), t in tables.items():
+        for x, y, table in ((a, b, t), (b, a, t.T)):
+            rows = np.maximum(table, 0.0)
+            rows = np.where(rows.sum(axis=1, keepdims=True) > 0, rows, _shares(singles[(y,)])[None, :])
+            transitions[(x, y)] = rows / rows.sum(axis=1, keepdims=True)
+    for a, b in combinations(sizes, 2):
+        reach, todo = {a: np.diag(_shares(singles[(a,)]))}, [a]
+        while todo:
+            at = todo.pop()
+            for (x, y), step in transitions.items():
+                if x == at and y not in reach:
+                    reach[y] = reach[at] @ step
+                    todo.append(y)
+        yield (a, b), total * (reach[b] if b in reach else np.outer(_shares(singles[(a,)]), _shares(singles[(b,)])))
+
+
+def aim(df: DataFrame, meta: TableMeta, columns: list[str] | None, epsilon: float, delta: float, mode: Secure | Seeded,
+        rounds: int | None = None, nullable: bool = False, overrides: dict | None = None, max_ids: int = 1) -> ForestSampler:
+    """Adaptive choice of marginals by expected improvement (McKenna et al. 2022), model kept a forest.
+
+    Each round joins the model's tables with the exact ones on the cluster, picks a pair by the exponential
+    mechanism among those that keep the model a forest or refresh one of its edges, and measures it; repeated
+    measurements of a pair are averaged.
+    """
+    check_request("aim", epsilon, delta)
+    encoded = synth_encode(df, meta, columns, nullable, overrides)
+    marginals, rho = _Marginals(encoded), rho_of(epsilon, delta)
+    try:
+        d = len(marginals.columns)
+        rounds = rounds or max(1, 2 * (d - 1))
+        if d == 1:
+            return _sampler(encoded, marginals.measure(marginals.singles, max_ids / math.sqrt(2.0 * rho), mode, "aim1"), {})
+        sigma_one = max_ids * math.sqrt(d / (2.0 * 0.2 * rho))
+        singles = marginals.measure(marginals.singles, sigma_one, mode, "aim1")
+        total = float(np.mean([max(t.sum(), 1.0) for t in singles.values()]))
+        # of the rest, a tenth selects and nine tenths measure
+        select, spend = 0.1 * 0.8 * rho / rounds, 0.9 * 0.8 * rho / rounds
+        sigma, temperature = max_ids / math.sqrt(2.0 * spend), 2.0 * max_ids / math.sqrt(8.0 * select)
+        tables: dict = {}
+        seen: dict = {}
+        for r in range(rounds):
+            errors = marginals.errors(df.sparkSession, dict(_modelled(singles, tables, marginals.sizes, total)))
+            expected = math.sqrt(2.0 / math.pi) * sigma
+            open_ = {
+                s: e - expected * marginals.sizes[s[0]] * marginals.sizes[s[1]] for s, e in errors.items()
+                if s in tables or s[1] not in _component(tables, s[0])
+            }
+            best = _pick(open_, temperature, mode, "aim-pick", r)
+            fresh = marginals.measure([best], sigma, mode, f"aim2-{r}")[best]
+            seen[best] = seen.get(best, 0) + 1
+            tables[best] = fresh if seen[best] == 1 else tables[best] + (fresh - tables[best]) / seen[best]
+        return _sampler(encoded, singles, tables)
+    finally:
+        marginals.close()
