@@ -1 +1,335 @@
-"""placeholder"""
+"""Private models and synthesizers on the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gate.core import CUSTOMER, FLAGS, LINEITEM, MODE, SEGMENTS, clamp, exact, gum, lap, num, out, query, rounded, table, unit
+from hushframe.ml.base import accuracy, r_squared
+from hushframe.ml.chain import DPPipeline
+from hushframe.ml.groups import DPDecisionTree, DPGaussianNB, DPKMeans, DPRandomForest
+from hushframe.ml.linear import DPPCA, DPLinearRegression, DPLogisticRegression, DPStandardScaler
+from hushframe.synth.fidelity import fidelity
+from hushframe.synth.forest import aim, fit_mst, mst, sample
+from hushframe.synth.prepare import synth_encode
+from hushframe.synth.weights import mwem
+
+QB, PB, DB = (0.0, 50.0), (0.0, 100000.0), (0.0, 0.1)
+QU, PU, DU = unit("l_quantity", *QB), unit("l_extendedprice", *PB), unit("l_discount", *DB)
+
+
+def _li(spark, sf):
+    return table(spark, sf, "lineitem")
+
+
+# -- sufficient statistics -------------------------------------------------------------------------------------
+
+
+def _scaler_sql() -> str:
+    parts, share = [], 2.0 / 5
+    for i, u in enumerate((QU, PU)):
+        parts += [f"{exact(u, 1.0)} + {lap(f'scaler|s{i}', [], 1.0 / share)} as s{i}", f"{exact(f'{u} * {u}', 1.0)} + {lap(f'scaler|q{i}', [], 1.0 / share)} as q{i}"]
+    return f"n as (select count(*)::double + {lap('scaler|n', [], 1.0 / share)} as n, {', '.join(parts)} from lineitem)"
+
+
+def _mean_std(i: int, low: float, high: float) -> tuple[str, str]:
+    middle, half = (low + high) / 2, (high - low) / 2
+    return f"{num(middle)} + {num(half)} * (s{i} / n)", f"{num(half)} * sqrt(q{i} / n - (s{i} / n) * (s{i} / n))"
+
+
+_M0, _S0 = _mean_std(0, *QB)
+_M1, _S1 = _mean_std(1, *PB)
+
+
+@query("standard_scaler", (
+    f"with {_scaler_sql()} select * from (select 'mean' as name, 0 as i, 0 as j, {out(_M0, 'value', 4)} from n union all select 'mean', 1, 0, {out(_M1, 'value', 4)} from n "
+    f"union all select 'std', 0, 0, {out(_S0, 'value', 4)} from n union all select 'std', 1, 0, {out(_S1, 'value', 4)} from n)"))
+def _(spark, sf):
+    model = DPStandardScaler(2.0, {"l_quantity": QB, "l_extendedprice": PB}).fit(_li(spark, sf), MODE)
+    return rounded(model.to_frame(spark), 4)
+
+
+@query("scaled_rows", (
+    f"with {_scaler_sql()} select l_orderkey, l_linenumber, round((l_quantity - ({_M0})) / ({_S0}), 6) + 0.0::double as l_quantity from lineitem, n"))
+def _(spark, sf):
+    li = _li(spark, sf)
+    model = DPStandardScaler(2.0, {"l_quantity": QB, "l_extendedprice": PB}).fit(li, MODE)
+    return rounded(model.transform(li).select("l_orderkey", "l_linenumber", "l_quantity"))
+
+
+def _linear_sql() -> str:
+    terms, share = ["1::double", QU, PU], 3.0 / 5
+    sums = [f"{exact(f'{terms[i]} * {terms[j]}', 1.0)} + {lap(f'linear|m_{i}_{j}', [], 1.0 / share)} as m_{i}_{j}" for i in range(2) for j in range(i, 3)]
+    return (
+        f"n as (select {', '.join(sums)} from lineitem), "
+        f"w as (select (m_0_0 * m_1_2 - m_0_1 * m_0_2) / (m_0_0 * m_1_1 - m_0_1 * m_0_1) as slope, "
+        f"(m_0_2 * m_1_1 - m_0_1 * m_1_2) / (m_0_0 * m_1_1 - m_0_1 * m_0_1) as base from n), "
+        f"c as (select 50000::double * slope / 25::double as coefficient, 50000::double + 50000::double * (base - slope * 25::double / 25::double) as intercept from w)")
+
+
+def _linear(spark, sf):
+    return DPLinearRegression(3.0, {"l_quantity": QB}, PB).fit(_li(spark, sf), "l_extendedprice", MODE)
+
+
+@query("linear_regression", (
+    f"with {_linear_sql()} select 'intercept' as name, 0 as i, 0 as j, {out('intercept', 'value', 3)} from c union all select 'coefficient', 0, 0, {out('coefficient', 'value', 3)} from c"))
+def _(spark, sf):
+    return rounded(_linear(spark, sf).to_frame(spark), 3)
+
+
+@query("linear_prediction", (
+    f"with {_linear_sql()} select l_orderkey, l_linenumber, round(intercept + coefficient * l_quantity, 3) as prediction from lineitem, c"))
+def _(spark, sf):
+    return rounded(_linear(spark, sf).predict(_li(spark, sf)).select("l_orderkey", "l_linenumber", "prediction"), 3)
+
+
+_PRED = "(intercept + coefficient * l_quantity)"
+
+
+@query("regression_score", (
+    f"with {_linear_sql()}, u as (select {PU} as y, {unit('p', *PB)} as p from (select l_extendedprice, {_PRED} as p from lineitem, c)), "
+    f"s as (select count(*)::double + {lap('score|rows', [], 4.0)} as n, {exact('y', 1.0)} + {lap('score|sy', [], 4.0)} as sy, "
+    f"{exact('y * y', 1.0)} + {lap('score|syy', [], 4.0)} as syy, {exact('(y - p) * (y - p)', 4.0)} + {lap('score|srr', [], 16.0)} as srr from u) "
+    f"select {out('1::double - srr / (syy - sy * sy / n)', 'r2')} from s"))
+def _(spark, sf):
+    return rounded(r_squared(_linear(spark, sf).predict(_li(spark, sf)), "prediction", "l_extendedprice", PB, 1.0, MODE))
+
+
+def _nb_sql() -> str:
+    share, prims = 2.0 / 5, ["count(*)::double as n"]
+    for i, u in enumerate((QU, PU)):
+        prims += [f"{exact(u, 1.0)} as s{i}", f"{exact(f'{u} * {u}', 1.0)} as q{i}"]
+    names = ["n", "s0", "q0", "s1", "q1"]
+    noisy = ", ".join(f"{c} + {lap(f'bayes|{c}', ['l_returnflag'], 1.0 / share)} as {c}" for c in names)
+    return f"e as (select l_returnflag, {', '.join(prims)} from lineitem group by 1), b as (select l_returnflag, {noisy} from e)"
+
+
+def _nb(spark, sf):
+    return DPGaussianNB(2.0, {"l_quantity": QB, "l_extendedprice": PB}, FLAGS).fit(_li(spark, sf), "l_returnflag", MODE)
+
+
+@query("naive_bayes", (
+    f"with {_nb_sql()}, k as (select *, (row_number() over (order by l_returnflag) - 1)::int as k from b) "
+    f"select 'prior' as name, k as i, 0 as j, {out('n / (select sum(n) from b)', 'value')} from k "
+    + "".join(f"union all select 'mean', k, {i}, {out(f's{i} / n', 'value')} from k union all select 'variance', k, {i}, "
+              f"{out(f'q{i} / n - (s{i} / n) * (s{i} / n)', 'value')} from k " for i in range(2))))
+def _(spark, sf):
+    return rounded(_nb(spark, sf).to_frame(spark))
+
+
+def _score(i: int, u: str) -> str:
+    mean, variance = f"(s{i} / n)", f"(q{i} / n - (s{i} / n) * (s{i} / n))"
+    return f"- 0.5::double * ln(2::double * pi() * {variance}) - ({u} - {mean}) * ({u} - {mean}) / (2::double * {variance})"
+
+
+# order and line number do not identify a row of lineitem, so the SQL numbers the rows itself
+_NUMBERED = "l as (select row_number() over () as id, l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount from lineitem)"
+
+
+@query("bayes_prediction", (
+    f"with {_nb_sql()}, {_NUMBERED}, p as (select id, l_orderkey, l_linenumber, b.l_returnflag as c, ln(n / (select sum(n) from b)) {_score(0, QU)} {_score(1, PU)} as score "
+    f"from l, b) select any_value(l_orderkey) as l_orderkey, any_value(l_linenumber) as l_linenumber, arg_max(c, score) as prediction from p group by id"))
+def _(spark, sf):
+    return _nb(spark, sf).predict(_li(spark, sf)).select("l_orderkey", "l_linenumber", "prediction")
+
+
+@query("classification_score", (
+    f"with s as (select count(*)::double + {lap('acc|rows', [], 4.0)} as n, {exact('(c_mktsegment = segment)::int', 1.0)} + {lap('acc|right', [], 4.0)} as k from "
+    f"(select c_mktsegment, case when c_nationkey < 12 then 'BUILDING' else 'MACHINERY' end as segment from customer)) select {out('k / n', 'accuracy')} from s"))
+def _(spark, sf):
+    guessed = table(spark, sf, "customer").withColumn("segment", F.when(F.col("c_nationkey") < 12, "BUILDING").otherwise("MACHINERY"))
+    return rounded(accuracy(guessed, "segment", "c_mktsegment", 0.5, MODE, "acc"))
+
+
+# -- trees: the shape depends on seed and bounds only, so the SQL holds it as numbers ----------------------------
+
+TREE_BOUNDS = {"l_quantity": QB, "l_extendedprice": PB, "l_discount": DB}
+_TREE = DPDecisionTree(1.0, TREE_BOUNDS, FLAGS, depth=3, seed=5)
+_FOREST = DPRandomForest(1.0, TREE_BOUNDS, FLAGS, n_estimators=4, depth=2, seed=9)
+
+
+def _leaf_sql(shape) -> str:
+    def walk(node: int) -> str:
+        if node >= len(shape.features):
+            return str(node - len(shape.features))
+        return f"case when {shape.features[node]} < {num(shape.thresholds[node])} then {walk(2 * node + 1)} else {walk(2 * node + 2)} end"
+    return walk(0)
+
+
+def _leaves_sql(est, tree: str) -> str:
+    n_leaves, shapes = 2**est.depth, est.shapes()
+    leaf = " ".join(f"when {t} then {_leaf_sql(s)}" for t, s in enumerate(shapes))
+    return (
+        f"r as (select *, {tree} as tree from lineitem), a as (select *, case tree {leaf} end as leaf from r), "
+        f"g as (select tree, leaf, list_position({FLAGS!r}, l_returnflag) - 1 as label, count(*) as n from a group by 1, 2, 3), "
+        f"d as (select t.range::int as tree, l.range::int as leaf, c.range::int as label from range({len(shapes)}) t, range({n_leaves}) l, range({len(FLAGS)}) c), "
+        f"s as (select d.tree, d.leaf, d.label, coalesce(n, 0) + {gum(f'{est.tag}|n', ['d.tree', 'd.leaf', 'd.label'], 1.0 / est.epsilon)} as score "
+        f"from d left join g on g.tree = d.tree and g.leaf = d.leaf and g.label = d.label), "
+        f"w as (select tree, leaf, arg_max(label, (score, label)) as label from s group by 1, 2)")
+
+
+_ROUTE = "((cast('0x' || substr(md5(concat_ws('|', '9', 'tree', l_orderkey::varchar, l_linenumber::varchar, '0')), 1, 13) as bigint)) % 4)::int"
+
+
+@query("decision_tree", f"with {_leaves_sql(_TREE, '0')} select tree, leaf, label from w")
+def _(spark, sf):
+    return _TREE.leaf_classes(_li(spark, sf), "l_returnflag", [], MODE)
+
+
+@query("random_forest", f"with {_leaves_sql(_FOREST, _ROUTE)} select tree, leaf, label from w")
+def _(spark, sf):
+    return _FOREST.leaf_classes(_li(spark, sf), "l_returnflag", ["l_orderkey", "l_linenumber"], MODE)
+
+
+@query("tree_prediction", (
+    f"with {_leaves_sql(_TREE, '0')} select l_orderkey, l_linenumber, {FLAGS!r}[label + 1] as prediction from a join w using (tree, leaf)"))
+def _(spark, sf):
+    model = _TREE.fit(_li(spark, sf), "l_returnflag", MODE)
+    return model.predict(_li(spark, sf)).select("l_orderkey", "l_linenumber", "prediction")
+
+
+@query("forest_prediction", (
+    f"with {_leaves_sql(_FOREST, _ROUTE)}, {_NUMBERED}, v as (select *, 0 as tree, {_leaf_sql(_FOREST.shapes()[0])} as leaf from l "
+    + "".join(f"union all select *, {t}, {_leaf_sql(s)} from l " for t, s in enumerate(_FOREST.shapes()) if t)
+    + f"), c as (select id, l_orderkey, l_linenumber, label, count(*) as n from v join w using (tree, leaf) group by 1, 2, 3, 4) "
+    f"select any_value(l_orderkey) as l_orderkey, any_value(l_linenumber) as l_linenumber, {FLAGS!r}[arg_max(label, (n, -label)) + 1] as prediction from c group by id"))
+def _(spark, sf):
+    model = _FOREST.fit(_li(spark, sf), "l_returnflag", MODE, ["l_orderkey", "l_linenumber"])
+    return model.predict(_li(spark, sf)).select("l_orderkey", "l_linenumber", "prediction")
+
+
+# -- k-means ----------------------------------------------------------------------------------------------------
+
+_KM = DPKMeans(2.0, k=3, bounds={"l_quantity": QB, "l_extendedprice": PB}, iterations=3, seed=11)
+
+
+def _kmeans_sql() -> str:
+    share = _KM.epsilon / _KM.iterations / 3
+    ctes = [f"u as (select {QU} as u0, {PU} as u1 from lineitem)",
+            "c0 as (select * from (values " + ", ".join(f"({k}, {num(c[0])}, {num(c[1])})" for k, c in enumerate(_KM.start())) + ") as t(k, x, y))"]
+    for i in range(_KM.iterations):
+        d = [f"(u0 - (select x from c{i} where k = {k})) * (u0 - (select x from c{i} where k = {k})) + "
+             f"(u1 - (select y from c{i} where k = {k})) * (u1 - (select y from c{i} where k = {k}))" for k in range(3)]
+        ctes += [
+            f"n{i} as (select *, {', '.join(f'{e} as d{k}' for k, e in enumerate(d))} from u)",
+            f"a{i} as (select case when d0 <= d1 and d0 <= d2 then 0 when d1 <= d2 then 1 else 2 end as cluster, u0, u1 from n{i})",
+            f"g{i} as (select cluster, count(*) as n, {exact('u0', 1.0)} as s0, {exact('u1', 1.0)} as s1 from a{i} group by 1)",
+            f"z{i} as (select k, x, y, coalesce(n, 0) + {lap(f'kmeans{i}|n', ['k'], 1 / share)} as n, coalesce(s0, 0) + {lap(f'kmeans{i}|s0', ['k'], 1 / share)} as s0, "
+            f"coalesce(s1, 0) + {lap(f'kmeans{i}|s1', ['k'], 1 / share)} as s1 from c{i} left join g{i} on k = cluster)",
+            f"c{i + 1} as (select k, case when n >= 1 then least(1::double, greatest(-1::double, s0 / n)) else x end as x, "
+            f"case when n >= 1 then least(1::double, greatest(-1::double, s1 / n)) else y end as y from z{i})"]
+    return ", ".join(ctes)
+
+
+@query("k_means", (
+    f"with {_kmeans_sql()} select 'center' as name, k as i, 0 as j, round(25::double + 25::double * x, 3) as value from c3 "
+    f"union all select 'center', k, 1, round(50000::double + 50000::double * y, 3) from c3"))
+def _(spark, sf):
+    return rounded(_KM.fit(_li(spark, sf), MODE).to_frame(spark), 3)
+
+
+# -- models without a closed SQL form: rows and schema only ------------------------------------------------------
+
+
+@query("logistic_regression")
+def _(spark, sf):
+    c = table(spark, sf, "customer")
+    model = DPLogisticRegression(2.0, data_norm=11000.0, classes=SEGMENTS, max_iter=8).fit(c, ["c_acctbal", "c_nationkey"], "c_mktsegment", MODE)
+    return model.to_frame(spark)
+
+
+def _pca_sql() -> str:
+    """Two columns, so that the eigenvectors of the noisy covariance have a closed form."""
+    norm, e = (25.0**2 + 50000.0**2) ** 0.5, 1.0
+    x = [f"(coalesce({clamp('l_quantity', *QB)}, 25::double) - 25::double)", f"(coalesce({clamp('l_extendedprice', *PB)}, 50000::double) - 50000::double)"]
+    size = f"(greatest(sqrt(x0 * x0 + x1 * x1) / {num(norm)}, 1::double) * {num(norm)})"
+    s, p = 2 / (e * 2**0.5), 3 / (e * 2)
+    return (
+        f"x as (select {x[0]} as x0, {x[1]} as x1 from lineitem), u as (select x0 / {size} as u0, x1 / {size} as u1 from x), "
+        f"m as (select count(*)::double + {lap('pca0|n', [], 1 / e)} as n, {exact('u0', 1.0)} + {lap('pca1|s0', [], s)} as s0, {exact('u1', 1.0)} + {lap('pca1|s1', [], s)} as s1, "
+        f"{exact('u0 * u0', 1.0)} + {lap('pca2|p_0_0', [], p)} as p00, {exact('u0 * u1', 1.0)} + {lap('pca2|p_0_1', [], p)} as p01, "
+        f"{exact('u1 * u1', 1.0)} + {lap('pca2|p_1_1', [], p)} as p11 from u), "
+        f"c as (select *, (p00 - s0 * s0 / n) / (n - 1) * {num(norm * norm)} as a, (p01 - s0 * s1 / n) / (n - 1) * {num(norm * norm)} as b, "
+        f"(p11 - s1 * s1 / n) / (n - 1) * {num(norm * norm)} as d from m), "
+        f"v as (select *, greatest(0, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b)) as top, greatest(0, (a + d) / 2 - sqrt((a - d) * (a - d) / 4 + b * b)) as low from c), "
+        f"k as (select *, b / sqrt(b * b + (top - a) * (top - a)) as v0, (top - a) / sqrt(b * b + (top - a) * (top - a)) as v1, {num(norm)} as norm from v)")
+
+
+@query("pca", (
+    f"with {_pca_sql()} select 'component' as name, 0 as i, 0 as j, {out('v0 * (case when abs(v0) >= abs(v1) then sign(v0) else sign(v1) end)', 'value', 5)} from k "
+    f"union all select 'component', 0, 1, {out('v1 * (case when abs(v0) >= abs(v1) then sign(v0) else sign(v1) end)', 'value', 5)} from k "
+    f"union all select 'explained_variance', 0, 0, {out('top / 1000000', 'value', 5)} from k union all select 'explained_variance_ratio', 0, 0, {out('top / (top + low)', 'value', 5)} from k "
+    f"union all select 'singular_values', 0, 0, {out('sqrt(top * (n - 1)) / 1000000', 'value', 5)} from k union all select 'mean', 0, 0, {out('(25::double + norm * s0 / n) / 1000000', 'value', 5)} from k "
+    f"union all select 'mean', 1, 0, {out('(50000::double + norm * s1 / n) / 1000000', 'value', 5)} from k union all select 'noise_variance', 0, 0, {out('low / 1000000', 'value', 5)} from k"))
+def _(spark, sf):
+    model = DPPCA(3.0, 1, {"l_quantity": QB, "l_extendedprice": PB}).fit(_li(spark, sf), MODE)
+    small = F.col("name").isin("explained_variance_ratio", "component")
+    return rounded(model.to_frame(spark).withColumn("value", F.when(small, F.col("value")).otherwise(F.col("value") / 1e6)), 5)
+
+
+@query("fitted_chain")
+def _(spark, sf):
+    steps = [DPStandardScaler(1.0, {"l_quantity": QB, "l_extendedprice": PB}), DPGaussianNB(1.0, {"l_quantity": (-3.0, 3.0), "l_extendedprice": (-3.0, 3.0)}, FLAGS)]
+    fitted = DPPipeline(steps).fit(_li(spark, sf), ["l_quantity", "l_extendedprice"], "l_returnflag", ["l_orderkey", "l_linenumber"], MODE)
+    return fitted.score(0.5, MODE)
+
+
+# -- synthetic data ------------------------------------------------------------------------------------------------
+
+_COLS = ["c_nationkey", "c_acctbal", "c_mktsegment"]
+_CODES = ("c_nationkey as c_nationkey, least(9, floor((greatest(-1000::double, least(c_acctbal, 10000::double)) - -1000::double) / 11000::double * 10::double)::int) "
+          "as c_acctbal, (list_position(['AUTOMOBILE','BUILDING','FURNITURE','HOUSEHOLD','MACHINERY'], c_mktsegment) - 1)::int as c_mktsegment")
+
+
+@query("synth_encode", f"select {_CODES} from customer")
+def _(spark, sf):
+    return synth_encode(table(spark, sf, "customer"), CUSTOMER, _COLS).codes
+
+
+@query("synth_decode", f"select c_nationkey, -1000::double + (c_acctbal + 0.5::double) * 1100::double as c_acctbal, ['AUTOMOBILE','BUILDING','FURNITURE','HOUSEHOLD','MACHINERY'][c_mktsegment + 1] as c_mktsegment from (select {_CODES} from customer)")
+def _(spark, sf):
+    encoded = synth_encode(table(spark, sf, "customer"), CUSTOMER, _COLS)
+    return encoded.decode(encoded.codes)
+
+
+@query("mwem_sample")
+def _(spark, sf):
+    customers = table(spark, sf, "customer")
+    model = mwem(customers, CUSTOMER, _COLS, 4.0, MODE, iterations=5, rows=customers.count())
+    return sample(model, spark, customers.count(), seed=3)
+
+
+@query("mst_sample")
+def _(spark, sf):
+    customers = table(spark, sf, "customer")
+    return mst(customers, CUSTOMER, _COLS, 2.0, 1e-5, MODE, n=customers.count(), seed=3)
+
+
+@query("aim_sample")
+def _(spark, sf):
+    customers = table(spark, sf, "customer")
+    return sample(aim(customers, CUSTOMER, _COLS, 2.0, 1e-5, MODE), spark, customers.count(), seed=3)
+
+
+@query("conditional_sample")
+def _(spark, sf):
+    customers = table(spark, sf, "customer")
+    model = fit_mst(customers, CUSTOMER, _COLS, 2.0, 1e-5, MODE)
+    return sample(model, spark, customers.count() // 10, "c_acctbal > 5000 AND c_mktsegment = 'BUILDING'", seed=3)
+
+
+@query("fidelity_report", f"""with a as (select {_CODES} from customer where c_custkey % 2 = 0), b as (select {_CODES} from customer where c_custkey % 2 = 1),
+ la as (select 'c_nationkey' as "column", c_nationkey as code from a union all select 'c_acctbal', c_acctbal from a union all select 'c_mktsegment', c_mktsegment from a),
+ lb as (select 'c_nationkey' as "column", c_nationkey as code from b union all select 'c_acctbal', c_acctbal from b union all select 'c_mktsegment', c_mktsegment from b),
+ pa as (select "column", code, count(*)::double / (select count(*) from a) as p from la group by 1, 2), pb as (select "column", code, count(*)::double / (select count(*) from b) as p from lb group by 1, 2),
+ d as (select "column", sum(abs(coalesce(pa.p, 0) - coalesce(pb.p, 0))) / 2 as distance from pa full join pb using ("column", code) group by 1)
+ select "column", round(distance, 6) as distance, round(case "column" when 'c_acctbal' then (select avg(c_acctbal) from customer where c_custkey % 2 = 0) when 'c_nationkey' then (select avg(c_nationkey) from customer where c_custkey % 2 = 0) end, 6) as mean_a,
+ round(case "column" when 'c_acctbal' then (select avg(c_acctbal) from customer where c_custkey % 2 = 1) when 'c_nationkey' then (select avg(c_nationkey) from customer where c_custkey % 2 = 1) end, 6) as mean_b,
+ round(case "column" when 'c_acctbal' then (select var_samp(c_acctbal) from customer where c_custkey % 2 = 0) when 'c_nationkey' then (select var_samp(c_nationkey) from customer where c_custkey % 2 = 0) end, 3) as variance_a,
+ round(case "column" when 'c_acctbal' then (select var_samp(c_acctbal) from customer where c_custkey % 2 = 1) when 'c_nationkey' then (select var_samp(c_nationkey) from customer where c_custkey % 2 = 1) end, 3) as variance_b from d""")
+def _(spark, sf):
+    c = table(spark, sf, "customer")
+    plan = synth_encode(c, CUSTOMER, _COLS).plan
+    f = fidelity(c.filter("c_custkey % 2 = 0").select(*_COLS), c.filter("c_custkey % 2 = 1").select(*_COLS), plan)
+    return f.select("column", F.round("distance", 6).alias("distance"), *[F.round(f"mean_{s}", 6).alias(f"mean_{s}") for s in "ab"],
+                    *[F.round(f"variance_{s}", 3).alias(f"variance_{s}") for s in "ab"])

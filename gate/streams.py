@@ -1 +1,51 @@
-"""placeholder"""
+"""Streams over the events file, drained once; the SQL is that of the batch form."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gate.core import query, table
+from gate.ledgers import ADMIT_SQL, budgets
+from hushframe.operators.ledger import KEYS
+from hushframe.streaming.admission import admit_stream
+from hushframe.streaming.metrics import request_metrics
+from hushframe.streaming.run import drain
+
+
+def _stream(spark, sf):
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("admit_stream", ADMIT_SQL)
+def _(spark, sf):
+    requests = _stream(spark, sf).select(
+        F.col("event_id").alias("request_id"), F.concat(F.lit("u"), F.col("user_id")).alias("user_name"),
+        F.col("event_type").alias("dataset_name"), F.col("value").alias("cost_epsilon"), (F.col("value") * 1e-6).alias("cost_delta"))
+    return drain(admit_stream(requests, budgets(spark, sf))).select("request_id", *KEYS, "admitted")
+
+
+_METRICS = """select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type as path, count(*) as n_requests,
+ count(*) filter (where event_type = 'error' and value > 50) as n_failed, count(*) filter (where value <= 10) as le_10,
+ count(*) filter (where value <= 100) as le_100, count(*) filter (where value <= 1000) as le_1000 from events {where} group by 1, 2"""
+
+
+def _metrics(rows):
+    failed = (F.col("event_type") == "error") & (F.col("value") > 50)
+    return request_metrics(rows, time="ts", path="event_type", duration="value", failed=failed)
+
+
+def _by_day(df):
+    return df.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "path", "n_requests", "n_failed", "le_10", "le_100", "le_1000")
+
+
+@query("request_metrics", _METRICS.format(where=""))
+def _(spark, sf):
+    return _by_day(_metrics(table(spark, sf, "events")))
+
+
+@query("request_metrics_stream", _METRICS.format(where="where date_trunc('day', ts) + interval 2 day <= (select max(ts) from events)"))
+def _(spark, sf):
+    # append mode emits a day once the watermark, one day behind the newest event, has passed its end
+    return _by_day(drain(_metrics(_stream(spark, sf))))

@@ -37,8 +37,8 @@ class Label:
         return F.when(c.isNull(), F.lit(len(self.categories))).otherwise(code) if self.nullable else code
 
     def decode(self, c: Column) -> Column:
-        inside = F.when(c.between(0, len(self.categories) - 1), c)
-        return F.element_at(F.array(*map(F.lit, self.categories)), (inside + 1).cast("int"))
+        inside = c.between(0, len(self.categories) - 1)
+        return F.when(inside, F.element_at(F.array(*map(F.lit, self.categories)), (c + 1).cast("int")))
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,7 @@ from hushframe.errors import InvalidQuery
 from hushframe.metadata import TableMeta
 
 MAX_CELLS = 10_000_000
+CELLS_PER_TASK = 100_000
 
 
 def domains_of(meta: TableMeta, columns: list[str], given: dict[str, list] | None = None) -> dict[str, list]:
@@ -22,17 +23,23 @@ def domain_size(domains: dict[str, list]) -> int:
     return math.prod(len(v) for v in domains.values())
 
 
-def domain_frame(spark: SparkSession, domains: dict[str, list], types: dict | None = None) -> DataFrame:
-    """Every combination of the public values, built from literals by explode."""
-    if domain_size(domains) > MAX_CELLS:
+def domain_frame(spark: SparkSession, domains: dict[str, list], types: dict | None = None, number: str | None = None) -> DataFrame:
+    """Every combination of the public values, decoded from the cell number of a generated range.
+
+    ``number`` keeps the cell number, in row-major order, under that name.
+    """
+    cells = domain_size(domains)
+    if cells > MAX_CELLS:
         raise InvalidQuery(f"public domain above {MAX_CELLS} cells; use censored keys or fewer columns")
-    frame = spark.range(1).select()
+    columns, stride = [F.col("id").alias(number)] if number else [], cells
     for name, values in domains.items():
+        stride //= len(values)
         literal = F.array(*[F.lit(v) for v in values])
         if types and name in types:
             literal = literal.cast(f"array<{types[name]}>")
-        frame = frame.select("*", F.explode(literal).alias(name))
-    return frame
+        at = F.floor(F.col("id") / F.lit(float(stride))) % len(values)
+        columns.append(F.element_at(literal, at.cast("int") + 1).alias(name))
+    return spark.range(0, cells, 1, max(1, cells // CELLS_PER_TASK)).select(*columns)
 
 
 def complete(counts: DataFrame, domains: dict[str, list], fill: list[str]) -> DataFrame:

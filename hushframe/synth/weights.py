@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hushframe.errors import InvalidQuery
@@ -42,16 +42,13 @@ class WeightsSampler:
         return F.exp(exponent)
 
     def cells(self, spark: SparkSession) -> DataFrame:
-        return domain_frame(spark, self.encoded.domains).withColumn("__w", self.weight())
+        return domain_frame(spark, self.encoded.domains, number="__cell").withColumn("__w", self.weight())
 
     def draw_codes(self, spark: SparkSession, n: int, seed: int, first: int = 0) -> DataFrame:
         """Systematic sampling: a cell gets the marks of a randomly shifted grid of n points that fall on it."""
-        number = F.lit(0).cast("bigint")
-        for c, k in self.encoded.sizes.items():
-            number = number * F.lit(k) + F.col(c)
         size = math.prod(self.encoded.sizes.values())
         edges = [float(size * i // CELL_CHUNKS) for i in range(1, CELL_CHUNKS)] if size > CELL_CHUNKS else []
-        cells = self.cells(spark).withColumns({"__cell": number, "__all": F.lit(0)})
+        cells = self.cells(spark).withColumn("__all", F.lit(0))
         total = cells.agg(F.sum("__w").alias("t")).first()["t"]
         upto = running_sums(cells, ["__all"], ["__cell"], {"__to": F.col("__w")}, sorted(set(edges)))
         shift = uniform(seed, "grid", index=first)
@@ -91,11 +88,12 @@ def mwem(df: DataFrame, meta: TableMeta, columns: list[str] | None, epsilon: flo
             cells = model.cells(spark)
             grouped = cells.groupingSets([[F.col(c) for c in s] for s in sets], *names).agg(F.sum("__w").alias("w"))
             answers = grouped.select(*[F.col(c).alias(f"__{c}") for c in names], "w")
-            whole = cells.agg(F.sum("__w").alias("w")).first()["w"]
             same = F.lit(True)
             for c in names:
                 same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-            joined = exact.join(answers, same).withColumn("model", F.col("w") * F.lit(n / whole))
+            # every marginal adds up to the whole weight
+            whole = F.sum("w").over(Window.partitionBy("marginal"))
+            joined = exact.join(answers, same).withColumn("model", F.col("w") * F.lit(n) / whole)
             scored = joined.withColumn("gap", F.abs(F.col("n") - F.col("model")))
             noisy = add_noise(scored, [Noise("gap", "gumbel", 2.0 * max_ids / share)], ["marginal", *names], mode, f"mwem-pick{step}")
             noisy = noisy.withColumn("n", F.col("n").cast("double"))
