@@ -43,10 +43,18 @@ def domain_frame(spark: SparkSession, domains: dict[str, list], types: dict | No
 
 
 def complete(counts: DataFrame, domains: dict[str, list], fill: list[str]) -> DataFrame:
-    """Left join from the public domain; missing groups get 0 in the ``fill`` columns."""
+    """Left join from the public domain; missing groups get 0 in the ``fill`` columns.
+
+    The keys are compared null-safe: a plain equality would make the optimizer push ``key IS NOT NULL`` below
+    the aggregate, where a computed key (a hash, a nearest centre) is worked out again for every row.
+    """
     types = {f.name: f.dataType.simpleString() for f in counts.schema.fields}
     frame = domain_frame(counts.sparkSession, domains, types)
-    joined = frame.join(counts, list(domains), "left")
+    found = counts.withColumnsRenamed({k: f"__of_{k}" for k in domains})
+    same = F.lit(True)
+    for k in domains:
+        same = same & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    joined = frame.join(found, same, "left").drop(*[f"__of_{k}" for k in domains])
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(types[c])) for c in fill})
 
 

@@ -38,7 +38,7 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
         .select(*[F.col(k).alias(f"__o{i}") for i, k in enumerate(keys)], F.col("__chunk").alias("__ochunk"),
                 *[F.coalesce(F.sum(f"__t{i}").over(earlier), F.lit(0)).alias(f"__o_{i}") for i in range(len(sums))])
     )
-    same = F.col("__chunk") == F.col("__ochunk")
+    same = F.col("__chunk").eqNullSafe(F.col("__ochunk"))
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__o{i}"))
     joined = tagged.withColumns(part).join(offsets, same, "left")
