@@ -29,12 +29,13 @@ def edges_at_or_below(value: Column, edges: Sequence) -> Column:
     return F.when(value.isNotNull(), fence * width + inside)
 
 
-def edge_position(value: Column, edges: Sequence) -> Column:
-    """Odd ``2i+1`` when the value equals ``edges[i]``, else even ``2i`` with i edges below it."""
-    ordered = list(edges)
-    upto = edges_at_or_below(value, ordered)
-    on_edge = F.element_at(F.array(*map(F.lit, ordered)), F.greatest(upto, F.lit(1))) == value
-    return 2 * upto - F.when((upto > 0) & on_edge, 1).otherwise(0)
+def edge_position(value: Column, edges: Sequence[float]) -> Column:
+    """Odd ``2i+1`` when the number equals ``edges[i]``, else even ``2i`` with i edges below it.
+
+    Each edge is listed with the next larger double, so that only equal values fall between the two.
+    """
+    doubled = [x for e in edges for x in (float(e), math.nextafter(float(e), math.inf))]
+    return edges_at_or_below(value.cast("double"), doubled)
 
 
 def _tree(value: Column, edges: list, low: int, high: int) -> Column:

@@ -7,9 +7,13 @@ the seeded noise mode; not a source of secrecy.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hushframe.functions.ranges import edges_at_or_below
+
 NULL_KEY = "\\N"
 
 
@@ -29,6 +33,22 @@ def hash52(seed: int | str, tag: str, *keys: str | Column, index: int | str | Co
     return F.conv(F.substring(digest(seed, tag, *keys, index=index), 1, 13), 16, 10).cast("bigint")
 
 
+def hex_mark(share: float) -> str:
+    """The 13 hex digits below which a digest's uniform is smaller than ``share``."""
+    return f"{min(max(math.ceil(share * 2**52 - 0.5), 0), 2**52 - 1):013x}"
+
+
+def uniform_below(share: float, seed: int | str, tag: str, *keys: str | Column) -> Column:
+    """``uniform(...) < share`` by comparing digits as text, without turning them into a number per row."""
+    return F.substring(digest(seed, tag, *keys), 1, 13) < F.lit(hex_mark(share))
+
+
+def uniform_slot(slots: int, seed: int | str, tag: str, *keys: str | Column) -> Column:
+    """``floor(uniform(...) * slots)``, likewise by text comparisons."""
+    marks = [hex_mark(i / slots) for i in range(1, slots)]
+    return edges_at_or_below(F.substring(digest(seed, tag, *keys), 1, 13), marks)
+
+
 def uniform(seed: int | str, tag: str, *keys: str | Column, index: int | str | Column = 0) -> Column:
     """Uniform on the open interval (0, 1)."""
     return (hash52(seed, tag, *keys, index=index).cast("double") + F.lit(0.5)) / F.lit(float(2**52))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hushframe.errors import InvalidQuery
 from hushframe.functions.noise import Noise, Secure, Seeded, add_noise
-from hushframe.functions.uniform import hash52
+from hushframe.functions.uniform import uniform_slot
 from hushframe.ml.base import Bounds, Estimator, Model, arg_max, check_bounds, noisy_sums, unit_scaled
 from hushframe.operators.domain import complete
 
@@ -160,7 +160,7 @@ class DPRandomForest(Estimator):
         if self.n_estimators > 1 and not key:
             raise InvalidQuery("a forest needs key columns to spread rows over its trees")
         shapes = self.shapes()
-        tree = F.pmod(hash52(self.seed, "tree", *key), F.lit(self.n_estimators)).cast("int") if len(shapes) > 1 else F.lit(0)
+        tree = uniform_slot(len(shapes), self.seed, "tree", *key) if len(shapes) > 1 else F.lit(0)
         leaf = shapes[0].leaf()
         if len(shapes) > 1:
             leaf = F.coalesce(*[F.when(F.col("tree") == t, s.leaf()) for t, s in enumerate(shapes)])

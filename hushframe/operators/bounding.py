@@ -58,7 +58,7 @@ def keep_smallest(
     keys = [f"__k{i}" for i in range(len(by))] or ["__k0"]
     key_cols = {k: F.col(c) for k, c in zip(keys, by)} or {"__k0": F.lit(0)}
     tagged = df.withColumns({**key_cols, "__hash": row_order(order, seed)})
-    tagged = tagged.withColumn("__bucket", F.conv(F.substring("__hash", 1, BUCKET_HEX_DIGITS), 16, 10).cast("int"))
+    tagged = tagged.withColumn("__bucket", F.substring("__hash", 1, BUCKET_HEX_DIGITS))
 
     running = Window.partitionBy(*keys).orderBy("__bucket")
     cut = (

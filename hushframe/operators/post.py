@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.errors import InvalidQuery
-from hushframe.functions.uniform import uniform
+from hushframe.functions.uniform import uniform, uniform_below
 
 # Fixed value: normal quantile of a 95 % interval.
 Z95 = 1.96
@@ -87,5 +87,5 @@ def split(df: DataFrame, key: list[str], test_size: float = 0.2, seed: int = 1)
     """Disjoint train and test parts, decided per row by a hash of its key: no shuffle, stable under retry."""
     if not 0.0 < test_size < 1.0:
         raise InvalidQuery("test_size must lie in (0, 1)")
-    u = uniform(seed, "split", *key)
-    return df.filter(u >= test_size), df.filter(u < test_size)
+    is_test = uniform_below(test_size, seed, "split", *key)
+    return df.filter(~is_test), df.filter(is_test)
