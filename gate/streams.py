@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from gate.core import query, table
 from gate.ledgers import ADMIT_SQL, budgets
 from hushframe.operators.ledger import KEYS
-from hushframe.streaming.admission import admit_stream
+from hushframe.session import fresh_path
+from hushframe.streaming.admission import admit_micro_batches, admit_stream
 from hushframe.streaming.metrics import request_metrics
 from hushframe.streaming.run import drain
 
@@ -18,12 +19,22 @@ def _stream(spark, sf):
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("admit_stream", ADMIT_SQL)
-def _(spark, sf):
-    requests = _stream(spark, sf).select(
+def _requests(spark, sf):
+    return _stream(spark, sf).select(
         F.col("event_id").alias("request_id"), F.concat(F.lit("u"), F.col("user_id")).alias("user_name"),
         F.col("event_type").alias("dataset_name"), F.col("value").alias("cost_epsilon"), (F.col("value") * 1e-6).alias("cost_delta"))
-    return drain(admit_stream(requests, budgets(spark, sf))).select("request_id", *KEYS, "admitted")
+
+
+@query("admit_stream", ADMIT_SQL)
+def _(spark, sf):
+    return drain(admit_stream(_requests(spark, sf), budgets(spark, sf))).select("request_id", *KEYS, "admitted")
+
+
+@query("admit_micro_batches", ADMIT_SQL)
+def _(spark, sf):
+    path = fresh_path(spark, "admission")
+    admit_micro_batches(_requests(spark, sf), budgets(spark, sf), path, fresh_path(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/decisions").select("request_id", *KEYS, "admitted")
 
 
 _METRICS = """select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type as path, count(*) as n_requests,

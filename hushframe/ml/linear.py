@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-import secrets
+import random
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -152,7 +152,6 @@ class DPLogisticRegression(Estimator):
     C: float = 1.0
     tol: float = 1e-4
     max_iter: int = 100
-    seed_tag: int = 0
 
     def fit(self, df: DataFrame, features: list[str], target: str, mode: Secure | Seeded) -> LogisticModel:
         if not self.data_norm or self.data_norm <= 0:
@@ -167,8 +166,8 @@ class DPLogisticRegression(Estimator):
             alpha = curvature / (math.expm1(per_class / 4.0))
             usable = per_class / 2.0
         size = len(features) + 1
-        rng = np.random.default_rng(mode.seed + self.seed_tag if isinstance(mode, Seeded) else secrets.randbits(128))
-        noise = np.array([_ball_noise(rng, size, 2.0 / usable) for _ in outputs])
+        source = random.Random(mode.seed) if isinstance(mode, Seeded) else random.SystemRandom()
+        noise = np.array([_ball_noise(source, size, 2.0 / usable) for _ in outputs])
 
         # features and a constant share the unit ball
         root = math.sqrt(0.5)
@@ -205,10 +204,10 @@ class DPLogisticRegression(Estimator):
         return LogisticModel(list(features), list(self.classes), (root * w).tolist(), float(self.data_norm))
 
 
-def _ball_noise(rng: np.random.Generator, size: int, scale: float) -> np.ndarray:
+def _ball_noise(source: random.Random, size: int, scale: float) -> np.ndarray:
     """Density proportional to exp(-|b| / scale): uniform direction, Gamma length."""
-    direction = rng.normal(size=size)
-    return direction / np.linalg.norm(direction) * rng.gamma(size, scale)
+    direction = np.array([source.gauss(0.0, 1.0) for _ in range(size)])
+    return direction / np.linalg.norm(direction) * source.gammavariate(size, scale)
 
 
 @dataclass

@@ -131,13 +131,17 @@ class PrivateQuery:
 
     @property
     def tau(self) -> float:
-        """A group of one unit passes with probability at most delta (Wilson et al. 2020)."""
+        """A group of one unit passes with probability at most delta (Wilson et al. 2020).
+
+        Without a unit column group sizes count rows, and one unit may bring ``max_ids`` of them.
+        """
         groups = self.groups_per_unit if self.unit else self.meta.max_ids
+        alone = 1.0 if self.unit else float(self.meta.max_ids)
         noise = self.noise_of(self.key_size)
         keep = (1.0 - self.delta) ** (1.0 / groups)
         if noise.mechanism == "laplace":
-            return 1.0 - noise.scale * math.log(2.0 - 2.0 * keep)
-        return 1.0 + noise.scale * NormalDist().inv_cdf(keep)
+            return alone - noise.scale * math.log(2.0 - 2.0 * keep)
+        return alone + noise.scale * NormalDist().inv_cdf(keep)
 
     # -- the job ---------------------------------------------------------------------------------------
 

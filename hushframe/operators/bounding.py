@@ -46,7 +46,10 @@ def bound_partitions(
 def keep_smallest(
     df: DataFrame, by: list[str], n: int, order: list[str], seed: int = 0, map_side_limit: int = MAP_SIDE_LIMIT
 ) -> DataFrame:
-    """The ``n`` rows of each group with the smallest hash of ``order``, exactly, for any group size."""
+    """The ``n`` rows of each group with the smallest hash of ``order``, exactly, for any group size.
+
+    Without group columns the cut is found at once (one small job); otherwise everything is lazy.
+    """
     if n <= 0:
         raise InvalidQuery("a row limit must be positive")
     if not order:
@@ -55,12 +58,10 @@ def keep_smallest(
         ranked = Window.partitionBy(*by).orderBy(row_order(order, seed), *order)
         return df.withColumn("__rank", F.row_number().over(ranked)).filter(F.col("__rank") <= n).drop("__rank")
 
-    keys = [f"__k{i}" for i in range(len(by))] or ["__k0"]
-    key_cols = {k: F.col(c) for k, c in zip(keys, by)} or {"__k0": F.lit(0)}
-    tagged = df.withColumns({**key_cols, "__hash": row_order(order, seed)})
+    keys = [f"__k{i}" for i in range(len(by))]
+    tagged = df.withColumns({**{k: F.col(c) for k, c in zip(keys, by)}, "__hash": row_order(order, seed)})
     tagged = tagged.withColumn("__bucket", F.substring("__hash", 1, BUCKET_HEX_DIGITS))
-
-    running = Window.partitionBy(*keys).orderBy("__bucket")
+    running = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__bucket")
     cut = (
         tagged.groupBy(*keys, "__bucket")
         .agg(F.count("*").alias("__n"))
@@ -69,15 +70,22 @@ def keep_smallest(
         .select(*[F.col(k).alias(f"{k}c") for k in keys], F.col("__bucket").alias("__cut"),
                 (F.lit(n) - (F.col("__upto") - F.col("__n"))).alias("__left"))
     )
-    matched = F.lit(True)
-    for k in keys:
-        matched = matched & F.col(k).eqNullSafe(F.col(f"{k}c"))
-    joined = tagged.join(cut, matched, "left")
-    whole = joined.filter(F.col("__cut").isNull() | (F.col("__bucket") < F.col("__cut"))).select(*df.columns)
-
-    within = Window.partitionBy(*keys).orderBy("__hash", *df.columns)
+    if by:
+        matched = F.lit(True)
+        for k in keys:
+            matched = matched & F.col(k).eqNullSafe(F.col(f"{k}c"))
+        marked = tagged.join(cut, matched, "left")
+    else:
+        # one group, so one cut: two constants instead of a join
+        found = cut.first()
+        if found is None:
+            return df
+        marked = tagged.withColumns({"__cut": F.lit(found["__cut"]), "__left": F.lit(found["__left"])})
+    whole = marked.filter(F.col("__cut").isNull() | (F.col("__bucket") < F.col("__cut"))).select(*df.columns)
+
+    within = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__hash", *df.columns)
     edge = (
-        joined.filter(F.col("__bucket") == F.col("__cut"))
+        marked.filter(F.col("__bucket") == F.col("__cut"))
         .groupBy(*keys, "__hash", "__left", *df.columns)
         .agg(F.count("*").alias("__copies"))
         .withColumn("__before", F.sum("__copies").over(within) - F.col("__copies"))

@@ -137,8 +137,9 @@ class Measure:
         cost = pure_cost(self.sensitivity, self.scale)
         if self.tau is None:
             return cost
-        # one unit alone makes a key: it shows with probability P(1 + noise >= tau), for each of its keys
-        tail = 0.5 * math.exp(-(self.tau - 1.0) / self.scale) if self.tau >= 1.0 else 1.0
+        # a key of one unit alone shows with probability P(its rows + noise >= tau), for each of its keys
+        slack = self.tau - self.max_ids
+        tail = 0.5 * math.exp(-slack / self.scale) if slack >= 0 else 1.0
         return cost + Cost(0.0, min(1.0, self.max_ids * tail))
 
     # -- the job ---------------------------------------------------------------------------------------

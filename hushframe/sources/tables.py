@@ -50,13 +50,13 @@ def _require(meta: TableMeta, present: list[str]) -> None:
 
 def split_lines(df: DataFrame, separator: str, names: list[str], value: str = "value") -> DataFrame:
     """Delimited text lines into named string columns."""
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return df.select(F.from_csv(value, schema.simpleString()[len("struct<"):-1].replace(":", " "), {"sep": separator}).alias("r")).select("r.*")
+    schema = ", ".join(f"`{n}` string" for n in names)
+    return df.select(F.from_csv(value, schema, {"sep": separator}).alias("r")).select("r.*")
 
 
 def typed_decode(df: DataFrame, meta: TableMeta) -> DataFrame:
     """String-typed table to declared types; datetimes parsed."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in meta.to_struct([c for c in df.columns]).fields])
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in meta.to_struct(df.columns).fields])
 
 
 def iso_datetimes(df: DataFrame) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Budget admission on a stream of requests, with the same answer as ``operators.ledger.admit``."""
+"""Budget admission on a stream of requests, with the same answer as ``operators.ledger.admit``.
+
+``admit_stream`` keeps the spent amounts as operator state and suits small, frequent micro-batches.
+``admit_micro_batches`` settles each micro-batch with the batch operator against a stored ledger, so a
+backlog in which one user holds most of the requests is spread over the cluster as well.
+"""
 
 from __future__ import annotations
 
@@ -8,12 +13,16 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
-from hushframe.operators.ledger import AMOUNT, KEYS
+from hushframe.operators.ledger import AMOUNT, KEYS, admit
 
 OUTPUT = "user_name string, dataset_name string, request_id bigint, cost_epsilon double, cost_delta double, admitted boolean"
 
 
+SPENT = f"user_name string, dataset_name string, e {AMOUNT}, d {AMOUNT}"
+
+
 def admit_stream(requests: DataFrame, budgets: DataFrame) -> DataFrame:
     """Admit requests in order per (user, dataset); the spent amounts are the state.
 
@@ -35,6 +44,29 @@ def admit_stream(requests: DataFrame, budgets: DataFrame) -> DataFrame:
     return decided.unionByName(refused)
 
 
+def admit_micro_batches(requests: DataFrame, budgets: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Writer that stores decisions under ``path/decisions`` and amounts spent so far under ``path/spent``.
+
+    Both are written per batch number and replaced when a batch is retried; a batch reads only the totals
+    of the batch before it, so a retry decides the same.
+    """
+
+    def settle(batch: DataFrame, number: int) -> None:
+        spark, none = batch.sparkSession, F.lit(0).cast(AMOUNT)
+        before = spark.read.schema(SPENT).parquet(f"{path}/spent/batch={number - 1}") if number else spark.createDataFrame([], SPENT)
+        left = budgets.join(before, KEYS, "left").select(
+            *KEYS, (F.col("epsilon").cast(AMOUNT) - F.coalesce("e", none)).alias("epsilon"),
+            (F.col("delta").cast(AMOUNT) - F.coalesce("d", none)).alias("delta"))
+        decided = admit(batch, left)
+        decided.write.mode("overwrite").parquet(f"{path}/decisions/batch={number}")
+        stored = spark.read.schema(decided.schema).parquet(f"{path}/decisions/batch={number}").filter("admitted")
+        fresh = stored.select(*KEYS, F.col("cost_epsilon").cast(AMOUNT).alias("e"), F.col("cost_delta").cast(AMOUNT).alias("d"))
+        totals = fresh.unionByName(before).groupBy(*KEYS).agg(F.sum("e").cast(AMOUNT).alias("e"), F.sum("d").cast(AMOUNT).alias("d"))
+        totals.write.mode("overwrite").parquet(f"{path}/spent/batch={number}")
+
+    return requests.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint)
+
+
 def _decide(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     spent_e, spent_d = map(Decimal, state.get) if state.exists else (Decimal(0), Decimal(0))
     rows = pd.concat(list(batches)).sort_values("request_id")

@@ -7,7 +7,7 @@ from gate import ledgers as G
 from hushframe.errors import InvalidQuery
 from hushframe.operators import ledger as L
 from hushframe.plans.accounting import invalid_requests, price
-from hushframe.streaming.admission import admit_stream
+from hushframe.streaming.admission import admit_micro_batches, admit_stream
 from hushframe.streaming.run import drain
 
 CENT = Decimal("1e-15")
@@ -53,8 +53,13 @@ def test_stream_equals_batch_over_several_micro_batches(spark, tmp_path):
     for part in range(3):  # files in request order
         requests.filter(f"request_id >= {300 * part} and request_id < {300 * part + 300}").coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    streamed = {r["request_id"]: r["admitted"] for r in drain(admit_stream(stream, budgets)).collect()}
-    assert streamed == {r["request_id"]: r["admitted"] for r in L.admit(requests, budgets).collect()}
+    batch = {r["request_id"]: r["admitted"] for r in L.admit(requests, budgets).collect()}
+    assert {r["request_id"]: r["admitted"] for r in drain(admit_stream(stream, budgets)).collect()} == batch
+    path = str(tmp_path / "settled")
+    admit_micro_batches(stream, budgets, path, str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    settled = spark.read.parquet(f"{path}/decisions")
+    assert settled.select("batch").distinct().count() == 3
+    assert {r["request_id"]: r["admitted"] for r in settled.collect()} == batch
 
 
 def test_prices(spark):
