@@ -36,6 +36,26 @@ def noisy_sums(df: DataFrame, sums: dict[str, tuple[Column, float]], epsilon: fl
     return add_noise(table, noises, list(by or {}), mode, tag)
 
 
+MAX_SUM_COLUMNS = 200
+
+
+def noisy_products(df: DataFrame, terms: list[Column], pairs: list[tuple[int, int]], prefix: str, epsilon: float, mode: Secure | Seeded,
+                   tag: str) -> DataFrame:
+    """Noisy sums of products of [-1, 1]-bounded terms, one column ``{prefix}_i_j`` per pair.
+
+    Many pairs would make one aggregation too wide to compile; they are added up as a matrix product per
+    partition instead, before the same noise.
+    """
+    names = {p: f"{prefix}_{p[0]}_{p[1]}" for p in pairs}
+    if len(pairs) <= MAX_SUM_COLUMNS:
+        return noisy_sums(df, {names[i, j]: (terms[i] * terms[j], 1.0) for i, j in pairs}, epsilon, mode, tag)
+    rows = df.select(*[t.alias(f"t{i}") for i, t in enumerate(terms)])
+    sums = partition_sums(rows, rows.columns, lambda x: (x.T @ x).ravel())
+    gram = sums.reshape(len(terms), len(terms)) if len(sums) else np.zeros((len(terms), len(terms)))
+    exact = df.sparkSession.createDataFrame([[float(gram[p]) for p in pairs]], [names[p] for p in pairs])
+    return add_noise(exact, [Noise(n, "laplace", len(pairs) / epsilon) for n in names.values()], [], mode, tag)
+
+
 def unit_scaled(bounds: Bounds) -> dict[str, Column]:
     """Each bounded column moved onto [-1, 1]; missing values sit in the middle."""
     out = {}

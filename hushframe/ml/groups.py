@@ -115,6 +115,34 @@ class Splits:
         return walk(0)
 
 
+MAX_CASE_NODES = 64
+
+
+def walk(trees: list[Splits], tree: Column) -> Column:
+    """Leaf number of a row in tree number ``tree``, by following literal arrays: short code for large forests."""
+    names = list(dict.fromkeys(f for t in trees for f in t.features))
+    row = F.array(*[F.col(c).cast("double") for c in names])
+    features = F.array(*[F.array(*[F.lit(names.index(f) + 1) for f in t.features]) for t in trees])
+    cuts = F.array(*[F.array(*map(F.lit, t.thresholds)) for t in trees])
+    mine, at = F.element_at(features, tree + 1), F.element_at(cuts, tree + 1)
+
+    def step(node: Column, _: Column) -> Column:
+        left = F.element_at(row, F.element_at(mine, node + 1)) < F.element_at(at, node + 1)
+        return node * 2 + F.when(left, 1).otherwise(2)
+
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(trees[0].depth)), F.lit(0), step)
+    return last - len(trees[0].features)
+
+
+def leaf_of(trees: list[Splits], tree: Column) -> Column:
+    """Leaf of a row in its tree; few nodes stay a CASE expression inside generated code."""
+    if len(trees) == 1 and len(trees[0].features) <= MAX_CASE_NODES:
+        return trees[0].leaf()
+    if sum(len(t.features) for t in trees) > MAX_CASE_NODES:
+        return walk(trees, tree)
+    return F.coalesce(*[F.when(tree == i, t.leaf()) for i, t in enumerate(trees)])
+
+
 @dataclass
 class ForestModel(Model):
     trees: list[Splits]
@@ -122,11 +150,13 @@ class ForestModel(Model):
     leaves: list[list[int]]  # class number per tree and leaf
 
     def predict_column(self) -> Column:
-        votes = [F.element_at(F.array(*map(F.lit, labels)), splits.leaf() + 1) for splits, labels in zip(self.trees, self.leaves)]
-        if len(votes) == 1:
+        labels = F.array(*[F.array(*map(F.lit, row)) for row in self.leaves])
+        votes = F.transform(F.sequence(F.lit(0), F.lit(len(self.trees) - 1)),
+                            lambda t: F.element_at(F.element_at(labels, t + 1), leaf_of(self.trees, t) + 1))
+        if len(self.trees) == 1:
             return F.element_at(F.array(*map(F.lit, self.classes)), votes[0] + 1)
-        tally = [sum((F.when(v == k, 1).otherwise(0) for v in votes[1:]), F.when(votes[0] == k, 1).otherwise(0)) for k in range(len(self.classes))]
-        return arg_max(tally, self.classes)
+        tally = F.transform(F.sequence(F.lit(0), F.lit(len(self.classes) - 1)), lambda k: F.size(F.filter(votes, lambda v: v == k)))
+        return F.element_at(F.array(*map(F.lit, self.classes)), F.array_position(tally, F.array_max(tally)).cast("int"))
 
     def parameters(self):
         rows = []
@@ -161,9 +191,7 @@ class DPRandomForest(Estimator):
             raise InvalidQuery("a forest needs key columns to spread rows over its trees")
         shapes = self.shapes()
         tree = uniform_slot(len(shapes), self.seed, "tree", *key) if len(shapes) > 1 else F.lit(0)
-        leaf = shapes[0].leaf()
-        if len(shapes) > 1:
-            leaf = F.coalesce(*[F.when(F.col("tree") == t, s.leaf()) for t, s in enumerate(shapes)])
+        leaf = leaf_of(shapes, F.col("tree"))
         label = F.array_position(F.array(*map(F.lit, self.classes)), F.col(target)).cast("int") - 1
         used = list(dict.fromkeys([*self.bounds, target, *key]))
         routed = df.select(*used).withColumn("tree", tree).select("tree", leaf.alias("leaf"), label.alias("label"))
@@ -210,6 +238,10 @@ class KMeansModel(Model):
 
 def nearest(columns: list[Column], centers: list[list[float]]) -> Column:
     """Number of the closest centre, the first on ties."""
+    if len(columns) * len(centers) > MAX_CASE_NODES:
+        row, table = F.array(*columns), F.array(*[F.array(*map(F.lit, c)) for c in centers])
+        squares = F.transform(table, lambda c: F.aggregate(F.zip_with(row, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+        return (F.array_position(squares, F.array_min(squares)) - 1).cast("int")
     distances = []
     for center in centers:
         total = None

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hushframe.errors import InvalidQuery, LibraryFailure
 from hushframe.functions.noise import Secure, Seeded
-from hushframe.ml.base import Bounds, Estimator, Model, arg_max, check_bounds, noisy_sums, one_row, partition_sums, unit_scaled
+from hushframe.ml.base import Bounds, Estimator, Model, arg_max, check_bounds, noisy_products, noisy_sums, one_row, partition_sums, unit_scaled
 from hushframe.operators.domain import clamped
 
 
@@ -87,8 +87,8 @@ class DPLinearRegression(Estimator):
         columns = unit_scaled({**check_bounds(self.bounds), target: check_bounds({target: self.target_bounds})[target]})
         terms = [F.lit(1.0), *columns.values()]
         last = len(terms) - 1
-        sums = {f"m_{i}_{j}": (terms[i] * terms[j], 1.0) for i in range(last) for j in range(i, last + 1)}
-        return noisy_sums(df, sums, self.epsilon, mode, self.tag)
+        pairs = [(i, j) for i in range(last) for j in range(i, last + 1)]
+        return noisy_products(df, terms, pairs, "m", self.epsilon, mode, self.tag)
 
     def fit(self, df: DataFrame, target: str, mode: Secure | Seeded) -> LinearModel:
         row = one_row(self.moments(df, target, mode))
@@ -259,8 +259,8 @@ class DPPCA(Estimator):
         u = [F.col(f"u{i}") for i in range(d)]
         # one row in the unit ball adds at most sqrt(d) to the first sums and (d + 1) / 2 to the products, in L1
         first = noisy_sums(rows, {f"s{i}": (c, 1.0) for i, c in enumerate(u)}, self.epsilon / 3.0 * math.sqrt(d), mode, self.tag + "1")
-        pairs = {f"p_{i}_{j}": (u[i] * u[j], 1.0) for i in range(d) for j in range(i, d)}
-        second = noisy_sums(rows, pairs, self.epsilon / 3.0 * d, mode, self.tag + "2")
+        pairs = [(i, j) for i in range(d) for j in range(i, d)]
+        second = noisy_products(rows, u, pairs, "p", self.epsilon / 3.0 * d, mode, self.tag + "2")
         count = noisy_sums(rows, {}, self.epsilon / 3.0, mode, self.tag + "0", counts=("n",))
         row = {**one_row(first).asDict(), **one_row(second).asDict(), **one_row(count).asDict()}
         n = max(row["n"], 2.0)

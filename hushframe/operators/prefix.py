@@ -26,7 +26,8 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
     """Append running sums in the given order within each key.
 
     Rows are ranked inside (key, chunk of the order column), so a key with most of the rows is spread over
-    all chunks; totals of earlier chunks are added from a table of at most CHUNKS rows per key.
+    all chunks; totals of earlier chunks are added from a table of at most CHUNKS rows per key.  Rows stay
+    partitioned by (key, chunk) for that join, so they are shuffled once.  Keys must not be null.
     """
     edges = chunk_edges(df, order[0]) if edges is None else edges
     tagged = df.withColumn("__chunk", chunk_of(order[0], edges))
@@ -38,9 +39,9 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
         .select(*[F.col(k).alias(f"__o{i}") for i, k in enumerate(keys)], F.col("__chunk").alias("__ochunk"),
                 *[F.coalesce(F.sum(f"__t{i}").over(earlier), F.lit(0)).alias(f"__o_{i}") for i in range(len(sums))])
     )
-    same = F.col("__chunk").eqNullSafe(F.col("__ochunk"))
+    same = F.col("__chunk") == F.col("__ochunk")
     for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__o{i}"))
+        same = same & (F.col(k) == F.col(f"__o{i}"))
     joined = tagged.withColumns(part).join(offsets, same, "left")
     out = {name: (F.col(f"__s{i}") + F.col(f"__o_{i}")) for i, name in enumerate(sums)}
     return joined.select(*df.columns, *[c.alias(n) for n, c in out.items()])

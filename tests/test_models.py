@@ -95,3 +95,20 @@ def test_refusals(rows):
     ):
         with pytest.raises(InvalidQuery):
             bad()
+
+
+def test_short_and_long_forms_agree(spark, rows, monkeypatch):
+    import hushframe.ml.base as base
+    import hushframe.ml.groups as groups
+    forest = DPRandomForest(5.0, BOUNDS, CLASSES, n_estimators=3, depth=3, seed=1)
+    holes = rows.withColumn("a", F.when(F.col("id") % 11 != 0, F.col("a")))
+    model, means = forest.fit(holes, "c", MODE, ["id"]), DPKMeans(5.0, k=3, bounds=BOUNDS, iterations=2, seed=4).fit(rows, MODE)
+    line = DPLinearRegression(5.0, BOUNDS, (-50.0, 30.0)).fit(rows, "y", MODE)
+    components = DPPCA(5.0, 2, BOUNDS).fit(rows, MODE)
+    expected = [[r["prediction"] for r in m.predict(holes).select("prediction").collect()] for m in (model, means)]
+    monkeypatch.setattr(groups, "MAX_CASE_NODES", 0)
+    monkeypatch.setattr(base, "MAX_SUM_COLUMNS", 0)
+    assert forest.fit(holes, "c", MODE, ["id"]).leaves == model.leaves
+    assert [[r["prediction"] for r in m.predict(holes).select("prediction").collect()] for m in (model, means)] == expected
+    assert np.allclose(DPLinearRegression(5.0, BOUNDS, (-50.0, 30.0)).fit(rows, "y", MODE).coefficients, line.coefficients, rtol=1e-6)
+    assert np.allclose(DPPCA(5.0, 2, BOUNDS).fit(rows, MODE).explained_variance, components.explained_variance, rtol=1e-6)
