@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hushframe.functions.literals import constant_array
+
 TREE_EDGES = 31
 
 
@@ -23,7 +25,7 @@ def edges_at_or_below(value: Column, edges: Sequence) -> Column:
     width = math.isqrt(len(ordered)) + 1
     fences = ordered[width - 1::width]
     blocks = [ordered[i * width:(i + 1) * width - 1] for i in range(len(fences) + 1)]
-    table = F.array(*[F.array(*map(F.lit, b)) if b else F.array().cast(_array_type(ordered[0])) for b in blocks])
+    table = F.array(*[constant_array(b) if b else F.array().cast(_array_type(ordered[0])) for b in blocks])
     fence = _tree(value, fences, 0, len(fences))
     inside = F.size(F.filter(F.element_at(table, fence + 1), lambda e: e <= value))
     return F.when(value.isNotNull(), fence * width + inside)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.errors import InvalidQuery
+from hushframe.functions.literals import constant_table
 from hushframe.functions.noise import Noise, Secure, Seeded, add_noise
 from hushframe.functions.uniform import uniform_slot
 from hushframe.ml.base import Bounds, Estimator, Model, arg_max, check_bounds, noisy_sums, unit_scaled
@@ -122,8 +123,8 @@ def walk(trees: list[Splits], tree: Column) -> Column:
     """Leaf number of a row in tree number ``tree``, by following literal arrays: short code for large forests."""
     names = list(dict.fromkeys(f for t in trees for f in t.features))
     row = F.array(*[F.col(c).cast("double") for c in names])
-    features = F.array(*[F.array(*[F.lit(names.index(f) + 1) for f in t.features]) for t in trees])
-    cuts = F.array(*[F.array(*map(F.lit, t.thresholds)) for t in trees])
+    features = constant_table([[names.index(f) + 1 for f in t.features] for t in trees])
+    cuts = constant_table([t.thresholds for t in trees])
     mine, at = F.element_at(features, tree + 1), F.element_at(cuts, tree + 1)
 
     def step(node: Column, _: Column) -> Column:
@@ -150,7 +151,7 @@ class ForestModel(Model):
     leaves: list[list[int]]  # class number per tree and leaf
 
     def predict_column(self) -> Column:
-        labels = F.array(*[F.array(*map(F.lit, row)) for row in self.leaves])
+        labels = constant_table(self.leaves)
         votes = F.transform(F.sequence(F.lit(0), F.lit(len(self.trees) - 1)),
                             lambda t: F.element_at(F.element_at(labels, t + 1), leaf_of(self.trees, t) + 1))
         if len(self.trees) == 1:
@@ -239,7 +240,7 @@ class KMeansModel(Model):
 def nearest(columns: list[Column], centers: list[list[float]]) -> Column:
     """Number of the closest centre, the first on ties."""
     if len(columns) * len(centers) > MAX_CASE_NODES:
-        row, table = F.array(*columns), F.array(*[F.array(*map(F.lit, c)) for c in centers])
+        row, table = F.array(*columns), constant_table(centers)
         squares = F.transform(table, lambda c: F.aggregate(F.zip_with(row, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
         return (F.array_position(squares, F.array_min(squares)) - 1).cast("int")
     distances = []

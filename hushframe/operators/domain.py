@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.errors import InvalidQuery
+from hushframe.functions.literals import constant_array
 from hushframe.metadata import TableMeta
 
 MAX_CELLS = 10_000_000
@@ -34,11 +35,9 @@ def domain_frame(spark: SparkSession, domains: dict[str, list], types: dict | No
     columns, stride = [F.col("id").alias(number)] if number else [], cells
     for name, values in domains.items():
         stride //= len(values)
-        literal = F.array(*[F.lit(v) for v in values])
-        if types and name in types:
-            literal = literal.cast(f"array<{types[name]}>")
-        at = F.floor(F.col("id") / F.lit(float(stride))) % len(values)
-        columns.append(F.element_at(literal, at.cast("int") + 1).alias(name))
+        at = (F.floor(F.col("id") / F.lit(float(stride))) % len(values)).cast("int")
+        value = at if list(values) == list(range(len(values))) else F.element_at(constant_array(values), at + 1)
+        columns.append((value.cast(types[name]) if types and name in types else value).alias(name))
     return spark.range(0, cells, 1, max(1, cells // CELLS_PER_TASK)).select(*columns)
 
 

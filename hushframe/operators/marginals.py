@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.errors import InvalidQuery
+from hushframe.functions.literals import constant_array
 from hushframe.functions.noise import Noise, Secure, Seeded, add_noise
 from hushframe.functions.ranges import edge_position
 from hushframe.operators.domain import MAX_CELLS, clamped, complete, domain_frame, domain_size
@@ -120,7 +121,7 @@ def private_quantile(df: DataFrame, column: str, candidates: list[float], alpha:
     scored = (
         full.withColumns({"__upto": upto, "__all": F.sum("__n").over(group)})
         .filter(F.col("__at") % 2 == 1)
-        .select(*keys, F.element_at(F.array(*map(F.lit, edges)), ((F.col("__at") + 1) / 2).cast("int")).alias(label),
+        .select(*keys, F.element_at(constant_array(edges), ((F.col("__at") + 1) / 2).cast("int")).alias(label),
                 score.alias("__score"), ((F.col("__at") - 1) / 2).cast("int").alias("__c"))
     )
     return _noisy_best(scored, keys, label, temperature, mode, tag)

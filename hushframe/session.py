@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from hushframe.errors import LibraryFailure
@@ -36,3 +37,8 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or fresh_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
+    """Driver-side parameters as a table, handed to the JVM as one Arrow batch without Python workers."""
+    return spark.createDataFrame(pa.table({k: list(v) for k, v in columns.items()}), schema)

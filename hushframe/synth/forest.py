@@ -14,14 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.errors import InvalidQuery, LibraryFailure
+from hushframe.functions.literals import constant_table
 from hushframe.functions.noise import Noise, Secure, Seeded, add_noise
 from hushframe.functions.uniform import uniform
 from hushframe.metadata import TableMeta
 from hushframe.ml.groups import plain_uniform
 from hushframe.operators.marginals import exact_marginals
+from hushframe.session import small_table
 from hushframe.synth.prepare import DEFAULT_SAMPLES, Encoded, check_request, pair_cells, synth_encode
 
 MAX_MODEL_CELLS = 2_000_000
+MAX_LITERAL_CELLS = 10_000
 
 
 def rho_of(epsilon: float, delta: float) -> float:
@@ -40,7 +43,7 @@ def _gumbel(mode: Secure | Seeded, *tag) -> float:
 
 @dataclass
 class ForestSampler:
-    """First columns drawn alone, others given their parent.
+    """First columns drawn alone, others given their parent, row by row without a shuffle.
 
     ``order`` lists (column, parent or None, table): a row of probabilities per parent code.
     """
@@ -53,15 +56,15 @@ class ForestSampler:
         for column, parent, table in self.order:
             cdf = np.cumsum(table, axis=1)
             cdf /= cdf[:, -1:]
-            lookup = spark.createDataFrame([(i, [float(v) for v in r[:-1]]) for i, r in enumerate(cdf)], "__p int, __cdf array<double>")
+            steps = [[float(v) for v in r[:-1]] for r in cdf]
             key = F.col(parent) if parent else F.lit(0)
-            u = uniform(seed, column, "id")
-            rows = (
-                rows.withColumn("__key", key).join(lookup, F.col("__key") == F.col("__p"))
-                .withColumn("__u", u)
-                .withColumn(column, F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))))
-                .drop("__key", "__p", "__cdf", "__u")
-            )
+            rows = rows.withColumn("__u", uniform(seed, column, "id"))
+            if cdf.size <= MAX_LITERAL_CELLS:
+                rows = rows.withColumn("__cdf", F.element_at(constant_table(steps), key + 1))
+            else:
+                lookup = small_table(spark, {"__p": list(range(len(steps))), "__cdf": steps}, "__p int, __cdf array<double>")
+                rows = rows.withColumn("__key", key).join(lookup, F.col("__key") == F.col("__p"))
+            rows = rows.withColumn(column, F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).drop("__key", "__p", "__cdf", "__u")
         return rows.select("id", *self.encoded.plan)
 
     def parameters(self) -> list[tuple]:
@@ -118,8 +121,8 @@ class _Marginals:
 
     def errors(self, spark: SparkSession, models: dict[tuple[str, str], np.ndarray]) -> dict[tuple[str, str], float]:
         """L1 distance between the exact and a modelled table, per pair: one join, one row per pair back."""
-        rows = [(",".join(s), i, j, float(v)) for s, t in models.items() for (i, j), v in np.ndenumerate(t)]
-        model = spark.createDataFrame(rows, "marginal string, i int, j int, m double")
+        cells = [(",".join(s), i, j, float(v)) for s, t in models.items() for (i, j), v in np.ndenumerate(t)]
+        model = small_table(spark, dict(zip(("marginal", "i", "j", "m"), zip(*cells))), "marginal string, i int, j int, m double")
         joined = self.table.join(model, ["marginal", "i", "j"])
         found = joined.groupBy("marginal").agg(F.sum(F.abs(F.col("n") - F.col("m"))).alias("e")).collect()
         return {tuple(r["marginal"].split(",")): r["e"] for r in found}
