@@ -290,12 +290,13 @@ def _(spark, sf):
     f"(select l_returnflag, null::int as l_linenumber, count(*) as n from lineitem group by 1) union all "
     f"select 'l_returnflag,l_linestatus', l_returnflag, l_linestatus, null, count(*) from lineitem group by 2, 3 union all "
     f"select 'l_linestatus,l_linenumber', null, l_linestatus, l_linenumber, count(*) from lineitem group by 3, 4) "
-    f"select marginal, l_returnflag, l_linestatus, l_linenumber, "
+    f"select marginal, l_returnflag, l_linestatus, l_linenumber::varchar as l_linenumber, "
     f"{out(f'''n + {lap('marg|n', ['marginal', 'l_returnflag', 'l_linestatus', 'l_linenumber'], 3.0)}''', 'n')} from c"))
 def _(spark, sf):
     domains = {"l_returnflag": FLAGS, "l_linestatus": STATUSES, "l_linenumber": list(range(1, 8))}
     sets = [("l_returnflag",), ("l_returnflag", "l_linestatus"), ("l_linestatus", "l_linenumber")]
-    return rounded(private_marginals(table(spark, sf, LI), domains, sets, 1.0, MODE, tag="marg"))
+    noisy = private_marginals(table(spark, sf, LI), domains, sets, 1.0, MODE, tag="marg")
+    return rounded(noisy.withColumn("l_linenumber", F.col("l_linenumber").cast("string")))
 
 
 # -- mechanisms -----------------------------------------------------------------------------------------------

@@ -32,6 +32,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables hold zoneless times, compared as UTC
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     stamps = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in stamps}) if stamps else df

@@ -216,14 +216,14 @@ def _(spark, sf):
 @query("decode_archive", """select event_id as entry_id, ['smartnoise_sql','smartnoise_synth','opendp','diffprivlib'][event_id % 4 + 1] as family, event_type as dataset_name,
  case when event_id % 4 = 0 then 'SELECT COUNT(*) AS n FROM df WHERE k = ' || event_id end as query_str,
  case when event_id % 4 = 1 then case when event_id % 8 = 1 then 'mst' else 'aim' end end as synth_name,
- case when event_id % 4 = 1 then (event_id % 100)::int end as nb_samples, case when event_id % 4 = 2 then 1e-6::double end as fixed_delta,
+ case when event_id % 4 = 1 then (event_id % 100)::varchar end as nb_samples, case when event_id % 4 = 2 then 1e-6::double end as fixed_delta,
  case when event_id % 4 = 3 then 'a,' || event_type end as features, case when event_id % 4 < 2 then value end as epsilon from events""")
 def _(spark, sf):
     d = L.decode_archive(archive(spark, sf))
     return d.select(
         "entry_id", F.col("dp_librairy").alias("family"),
         F.coalesce(*[F.col(f"{f}.dataset_name") for f in L.FAMILY_SCHEMAS]).alias("dataset_name"), F.col("smartnoise_sql.query_str").alias("query_str"),
-        F.col("smartnoise_synth.synth_name").alias("synth_name"), F.col("smartnoise_synth.nb_samples").alias("nb_samples"),
+        F.col("smartnoise_synth.synth_name").alias("synth_name"), F.col("smartnoise_synth.nb_samples").cast("string").alias("nb_samples"),
         F.col("opendp.fixed_delta").alias("fixed_delta"), F.when(F.col("diffprivlib").isNotNull(), F.array_join("diffprivlib.feature_columns", ",")).alias("features"),
         F.coalesce("smartnoise_sql.epsilon", "smartnoise_synth.epsilon").alias("epsilon"))
 
@@ -269,15 +269,15 @@ def _(spark, sf):
  m as (select event_type as dataset_name, count(*)::bigint as rows from events where event_type <> 'click' group by 1),
  nd as (select distinct event_type as dataset_name, 'new' as origin from events where event_type in ('view', 'click')),
  nm as (select event_type as dataset_name, 1::bigint as rows from events where event_type in ('view', 'click') group by 1)
- select 'dataset' as kind, dataset_name, origin, null::bigint as rows from d union all select 'dataset', dataset_name, origin, null from nd where dataset_name not in (select dataset_name from d)
- union all select 'metadata', dataset_name, null, rows from nm union all select 'metadata', dataset_name, null, rows from m where dataset_name not in (select dataset_name from nm)""")
+ select kind, dataset_name, origin, rows::varchar as rows from (select 'dataset' as kind, dataset_name, origin, null::bigint as rows from d union all select 'dataset', dataset_name, origin, null from nd where dataset_name not in (select dataset_name from d)
+ union all select 'metadata', dataset_name, null, rows from nm union all select 'metadata', dataset_name, null, rows from m where dataset_name not in (select dataset_name from nm))""")
 def _(spark, sf):
     fresh = table(spark, sf, "events").filter("event_type in ('view', 'click')").select(F.col("event_type").alias("dataset_name")).distinct()
     d, m = R.upsert_datasets(
         datasets(spark, sf).withColumn("origin", F.lit("old")), metadata(spark, sf), fresh.withColumn("origin", F.lit("new")),
         fresh.withColumn("rows", F.lit(1).cast("bigint")), overwrite_metadata=True)
     return d.select(F.lit("dataset").alias("kind"), "dataset_name", "origin", F.lit(None).cast("bigint").alias("rows")).unionByName(
-        m.select(F.lit("metadata").alias("kind"), "dataset_name", F.lit(None).cast("string").alias("origin"), "rows"))
+        m.select(F.lit("metadata").alias("kind"), "dataset_name", F.lit(None).cast("string").alias("origin"), "rows")).withColumn("rows", F.col("rows").cast("string"))
 
 
 _ALL = "(select distinct 'u' || user_id as user_name, event_type as dataset_name, user_id from events)"

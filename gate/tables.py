@@ -40,9 +40,10 @@ def _(spark, sf):
     return iso_datetimes(read_private(spark, _ORDERS_FILE, path))
 
 
-@query("read_parquet", "select o_orderkey, o_orderdate, o_totalprice, o_orderpriority from orders where o_totalprice > 400000")
+@query("read_parquet", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as o_orderdate, o_totalprice, o_orderpriority from orders where o_totalprice > 400000")
 def _(spark, sf):
-    return read_private(spark, _ORDERS_FILE, f"{sf}/orders.parquet").filter("o_totalprice > 400000")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return iso_datetimes(read_private(spark, _ORDERS_FILE, f"{sf}/orders.parquet").filter("o_totalprice > 400000"))
 
 
 @query("from_frame", "select c_custkey, c_nationkey, c_acctbal, c_mktsegment from customer")
@@ -92,10 +93,10 @@ def _(spark, sf):
     return split_lines(lines, ";", ["c_custkey", "c_name", "c_mktsegment"])
 
 
-@query("typed_decode", "select o_orderkey, o_orderdate, o_totalprice, o_orderpriority from orders")
+@query("typed_decode", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as o_orderdate, o_totalprice, o_orderpriority from orders")
 def _(spark, sf):
     text = table(spark, sf, "orders").select(*[F.col(c).cast("string").alias(c) for c in _ORDERS_FILE.columns])
-    return typed_decode(text, _ORDERS_FILE)
+    return iso_datetimes(typed_decode(text, _ORDERS_FILE))
 
 
 @query("iso_datetimes", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as ts from events")
@@ -307,11 +308,11 @@ def _(spark, sf):
     return coded.withColumn("back", t.decode(F.col("code")))
 
 
-@query("one_hot_codes", f"select c_custkey, list_transform({_CATS}, lambda x: (x = c_mktsegment)::int) as hot, c_mktsegment as back from customer")
+@query("one_hot_codes", f"select c_custkey, array_to_string(list_transform({_CATS}, lambda x: (x = c_mktsegment)::int), ',') as hot, c_mktsegment as back from customer")
 def _(spark, sf):
     t = Chain((Label(tuple(SEGMENTS)), OneHot(len(SEGMENTS))))
     coded = table(spark, sf, "customer").select("c_custkey", t.encode(F.col("c_mktsegment")).alias("hot"))
-    return coded.withColumn("back", t.decode(F.col("hot")))
+    return coded.select("c_custkey", F.array_join(F.col("hot").cast("array<string>"), ",").alias("hot"), t.decode(F.col("hot")).alias("back"))
 
 
 @query("min_max_scale", f"select c_custkey, round(({clamp('c_acctbal', 0.0, 8000.0)} - 0) * 0.00025::double - 1::double, 9) + 0.0::double as scaled, round({clamp('c_acctbal', 0.0, 8000.0)}, 6) as back from customer")

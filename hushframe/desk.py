@@ -105,7 +105,9 @@ class ModelRequest:
     family = "diffprivlib"
 
     def cost(self, meta, spark):
-        return self.chain.cost() + Cost(self.score_epsilon or 0.0)
+        # models are trained with noise for single rows; a unit of several rows pays for each of them
+        rows = self.chain.cost() + Cost(self.score_epsilon or 0.0)
+        return Cost(rows.epsilon * meta.max_ids)
 
     def run(self, df, meta, mode):
         fitted = self.chain.fit(df, list(self.features), self.target, list(self.key), mode, self.test_size, self.split_seed, self.imputer)

@@ -76,6 +76,15 @@ def test_refusals(desk):
         desk.cost("ana", "customers", AggregateRequest((count(),), {"epsilon": 0.1, "surprise": 1}))
 
 
+def test_a_unit_of_several_rows_pays_for_each(spark):
+    many = TableMeta.from_dict({"max_ids": 3, "rows": 10, "columns": {k: c.to_dict() for k, c in CUSTOMER.columns.items()}})
+    bayes = ModelRequest(DPPipeline([DPGaussianNB(1.0, {"c_acctbal": (-1000.0, 10000.0)}, SEGMENTS)]), ("c_acctbal",), "c_mktsegment", ("c_custkey",))
+    assert bayes.cost(many, spark).epsilon == 3.0
+    total = MeasureRequest(lambda m: m.column("c_acctbal").clamp(0, 5000).sum().laplace(5000.0))
+    assert total.cost(many, spark).epsilon == 3.0
+    assert AggregateRequest((count(),), {"epsilon": 0.5}).cost(many, spark).epsilon == 0.5
+
+
 def test_a_failed_release_stays_paid_and_silent(spark, desk):
     desk.tables["customers"] = (CUSTOMER, lambda: spark.range(5).select(F.raise_error(F.lit("secret value")).cast("string").alias("c_mktsegment")))
     with pytest.raises(InternalFailure) as caught:
