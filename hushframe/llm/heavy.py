@@ -45,6 +45,5 @@ def heavy_keys(df: DataFrame, key: str, counters: int = COUNTERS) -> DataFrame:
     parts = max(1, math.isqrt(max(1, df.rdd.getNumPartitions())))
     found = rows.mapInPandas(step, "key string, n bigint").repartition(parts).mapInPandas(step, "key string, n bigint")
     found = found.coalesce(1).mapInPandas(step, "key string, n bigint").select("key")
-    total = rows.agg(F.sum("n").alias("total"))
     exact = rows.join(F.broadcast(found), "key").groupBy("key").agg(F.sum("n").alias("n"))
-    return exact.join(F.broadcast(total), F.col("n") * counters >= F.col("total")).select(F.col("key").alias(key), "n")
+    return exact.filter(F.col("n") * counters >= df.count()).select(F.col("key").alias(key), "n")
