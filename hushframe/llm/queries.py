@@ -1,4 +1,4 @@
 """All queries of the subpackage: importing this module registers them."""
 
-from hushframe.llm import exact_dedup, mixing, packing, simhash, substring_dedup, suffix_dedup  # noqa: F401
+from hushframe.llm import archives, exact_dedup, html_text, mixing, packing, simhash, substring_dedup, suffix_dedup  # noqa: F401
 from hushframe.llm.catalog import ORACLES, QUERIES  # noqa: F401

@@ -106,7 +106,18 @@ def drop_repeats(docs: DataFrame, window: int = 50, text: str = "text", id: str
         run, "id bigint, n_words bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>, kept string")
 
 
-@query("op7_seed_extend")
+SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+t as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i, len(w) as n from d),
+s as (select doc_id, word, i, n, case when i + 49 <= n then string_agg(word, ' ') over (partition by doc_id order by i rows between current row and 49 following) end as win from t),
+f as (select doc_id, word, i, n, case when win is not null and min(doc_id) over (partition by win) < doc_id then 1 else 0 end as hit from s),
+g as (select doc_id, word, i, n, max(hit) over (partition by doc_id order by i rows between 49 preceding and current row) as gone from f),
+r as (select doc_id, sum(gone)::bigint as n_removed, coalesce(string_agg(word, ' ' order by i) filter (gone = 0), '') as kept from g group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join r using (doc_id)
+"""
+
+
+@query("op7_seed_extend", SQL)
 def op7_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeats(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
