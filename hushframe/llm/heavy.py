@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +24,14 @@ def merged(counts: dict, more: dict, counters: int) -> dict:
     return {key: n - floor for key, n in counts.items() if n > floor}
 
 
-def summarise(batches: Iterable[pd.DataFrame], counters: int) -> Iterator[pd.DataFrame]:
-    counts: dict = {}
+def summarise(batches: Iterable[pa.RecordBatch], counters: int) -> Iterator[pa.RecordBatch]:
+    counts: dict[str, int] = {}
     for batch in batches:
-        counts = merged(counts, batch.groupby("key", sort=False)["n"].sum().to_dict(), counters)
-    yield pd.DataFrame({"key": list(counts), "n": list(counts.values())})
+        more: dict[str, int] = {}
+        for key, n in zip(*[c.to_pylist() for c in batch.columns]):
+            more[key] = more.get(key, 0) + n
+        counts = merged(counts, more, counters)
+    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["key", "n"])
 
 
 def heavy_keys(df: DataFrame, key: str, counters: int = COUNTERS) -> DataFrame:
@@ -43,7 +46,7 @@ def heavy_keys(df: DataFrame, key: str, counters: int = COUNTERS) -> DataFrame:
 
     rows = df.select(F.col(key).alias("key"), F.lit(1).cast("bigint").alias("n")).filter(F.col("key").isNotNull())
     parts = max(1, math.isqrt(max(1, df.rdd.getNumPartitions())))
-    found = rows.mapInPandas(step, "key string, n bigint").repartition(parts).mapInPandas(step, "key string, n bigint")
-    found = found.coalesce(1).mapInPandas(step, "key string, n bigint").select("key")
+    found = rows.mapInArrow(step, "key string, n bigint").repartition(parts).mapInArrow(step, "key string, n bigint")
+    found = found.coalesce(1).mapInArrow(step, "key string, n bigint").select("key")
     exact = rows.join(F.broadcast(found), "key").groupBy("key").agg(F.sum("n").alias("n"))
     return exact.filter(F.col("n") * counters >= df.count()).select(F.col("key").alias(key), "n")
