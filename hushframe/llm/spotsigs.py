@@ -48,14 +48,14 @@ def with_signatures(df: DataFrame, text: str, name: str, common: list[str], chai
 
     Each step is a column of its own, so that Spark computes it once per text.
     """
-    word, skip = f"[^ {MARK}][^ ]*", f"(?: {MARK}[^ ]+)*"
-    pattern = f"{MARK}(?=([^ ]+" + (skip + f" {word}") * chain + "))"
+    word, skip = f"[^ {MARK}][^ ]*+", f"(?: {MARK}[^ ]++)*+"
+    pattern = f"{MARK}(?=([^ ]++" + (skip + f" {word}") * chain + "))"
     marked = F.col("__norm")
     if common:  # common words are runs of letters and digits: nothing in them to escape
         marked = F.regexp_replace(marked, "(?<![^ ])(?:" + "|".join(sorted(common)) + ")(?![^ ])", MARK + "$0")
     df = df.withColumn("__norm", normalised(F.col(text))).withColumn("__marked", F.concat(F.lit(MARK + ". "), marked))
     # The extra anchor stands before its word, which stays a content word of other chains.
-    df = df.withColumn("__marked", F.regexp_replace("__marked", f"((?: {word}){{{GAP}}})(?= {word})", f"$1 {MARK}-"))
+    df = df.withColumn("__marked", F.regexp_replace("__marked", f"((?: {word}){{{GAP}}}+)(?= [^{MARK}])", f"$1 {MARK}-"))
     df = df.withColumn("__chains", F.regexp_extract_all("__marked", F.lit(pattern), F.lit(1)))
     found = F.transform("__chains", lambda c: _number(F.regexp_replace(c, f" {MARK}[^ ]+", "")))
     signs = F.when(F.size("__chains") > 0, found).otherwise(F.transform(F.split("__norm", " "), _number))
