@@ -32,7 +32,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
-CONTAINER = frozenset("article body div main section table td".split())
+CONTAINER = frozenset("article div main section table td".split())
 DROPPED = frozenset("aside audio button canvas datalist dialog footer form head iframe menu nav noscript object script search select style svg template textarea title video".split())
 #: Elements whose start ends an open one of the second set.
 CLOSES = {
@@ -194,15 +194,25 @@ def content(lines: list[Line]) -> list[Line]:
     if main := [x for x in kept if x.main]:
         return main
     own: dict[tuple[int, ...], int] = defaultdict(int)
-    inside: dict[int, int] = defaultdict(int)
     for x in dense:
         own[x.chain] += len(x.text)
-        for n in x.chain:
-            inside[n] += len(x.text)
     chain = max(own, key=own.get)
-    while len(chain) > 1 and inside[chain[-2]] > 1.1 * inside[chain[-1]]:  # the parts of a text share a parent
+    while chain and _belongs(chain, kept, dense):
         chain = chain[:-1]
-    return [x for x in kept if not chain or chain[-1] in x.chain]
+    return [x for x in kept if x.chain[: len(chain)] == chain]
+
+
+def _belongs(chain: tuple[int, ...], kept: list[Line], dense: list[Line]) -> bool:
+    """Whether the container around ``chain`` holds more of its text: of the lines it adds at least half are dense.
+
+    The page itself, where anything may stand, has to add a tenth of the dense text as well.
+    """
+    def added(lines: list[Line]) -> list[Line]:
+        return [x for x in lines if x.chain[: len(chain) - 1] == chain[:-1] and x.chain[: len(chain)] != chain]
+
+    more = added(dense)
+    text = sum(len(x.text) for x in dense if x.chain[: len(chain)] == chain)
+    return bool(more) and 2 * len(more) >= len(added(kept)) and (len(chain) > 1 or sum(len(x.text) for x in more) > 0.1 * text)
 
 
 def main_text(html: str | None) -> str:
