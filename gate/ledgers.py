@@ -19,7 +19,7 @@ DATASETS = ["click", "error", "purchase", "signup", "view"]
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         F.col("event_id").alias("request_id"), F.concat(F.lit("u"), F.col("user_id")).alias("user_name"),
-        F.col("event_type").alias("dataset_name"), F.col("value").alias("cost_epsilon"), (F.col("value") * 1e-6).alias("cost_delta"))
+        F.col("event_type").alias("dataset_name"), F.col("value").alias("cost_epsilon"), F.round(F.col("value") / 1e6, 8).alias("cost_delta"))
 
 
 def users(spark: SparkSession, sf: str) -> DataFrame:

@@ -22,10 +22,12 @@ from hushframe.session import written
 EPSILON_LIMIT = 10.0
 DELTA_LIMIT = 0.01
 
-AMOUNT = "decimal(30,15)"
+# Amounts with room for a sum of two of a type, so that no digit is lost in adding; costs below the last digit count as one of it.
+AMOUNTS = {"epsilon": "decimal(36,20)", "delta": "decimal(36,28)"}
 KEYS = ["user_name", "dataset_name"]
 HOT_REQUESTS = 20_000
 
+# The fields of a user's grants.
 BUDGET_STRUCT = (
     "array<struct<dataset_name: string, initial_epsilon: double, initial_delta: double, "
     "total_spent_epsilon: double, total_spent_delta: double>>"
@@ -43,6 +45,14 @@ FAMILY_SCHEMAS = {
 }
 
 
+def amount(column: Column | str, kind: str) -> Column:
+    """A cost or budget as an exact decimal; a positive one is never rounded to nothing."""
+    value = F.col(column) if isinstance(column, str) else column
+    exact = value.cast(AMOUNTS[kind])
+    least = F.lit("1e-" + AMOUNTS[kind].split(",")[1].rstrip(")")).cast(AMOUNTS[kind])
+    return F.when((value > 0) & (exact < least), least).otherwise(exact)
+
+
 # -- budgets -------------------------------------------------------------------------------------------------
 
 
@@ -52,23 +62,21 @@ def initial_budget(users: DataFrame) -> DataFrame:
 
 
 def spent_budget(archive: DataFrame) -> DataFrame:
-    return archive.groupBy(*KEYS).agg(
-        F.sum(F.col("spent_epsilon").cast(AMOUNT)).cast("double").alias("spent_epsilon"),
-        F.sum(F.col("spent_delta").cast(AMOUNT)).cast("double").alias("spent_delta"))
+    return archive.groupBy(*KEYS).agg(*[F.sum(amount(f"spent_{x}", x)).cast("double").alias(f"spent_{x}") for x in AMOUNTS])
 
 
 def remaining_budget(users: DataFrame, archive: DataFrame) -> DataFrame:
     """Initial minus spent; a user without queries keeps all of it."""
     left = [
-        (F.col(f"initial_{x}").cast(AMOUNT) - F.coalesce(F.col(f"spent_{x}"), F.lit(0.0)).cast(AMOUNT)).cast("double").alias(f"remaining_{x}")
-        for x in ("epsilon", "delta")
+        (amount(f"initial_{x}", x) - amount(F.coalesce(F.col(f"spent_{x}"), F.lit(0.0)), x)).cast("double").alias(f"remaining_{x}")
+        for x in AMOUNTS
     ]
     return initial_budget(users).join(spent_budget(archive), KEYS, "left").select(*KEYS, *left)
 
 
 def budget_timeline(archive: DataFrame, order: list[str]) -> DataFrame:
     """Spend so far after every archived query, in ``order``."""
-    sums = {f"running_{x}": F.col(f"spent_{x}").cast(AMOUNT) for x in ("epsilon", "delta")}
+    sums = {f"running_{x}": amount(f"spent_{x}", x) for x in AMOUNTS}
     out = running_sums(archive, KEYS, order, sums)
     return out.withColumns({n: F.col(n).cast("double") for n in sums})
 
@@ -88,9 +96,9 @@ def admit(requests: DataFrame, budgets: DataFrame, hot_requests: int = HOT_REQUE
     affordable requests are folded in one expression; larger keys are settled in phases, see ``_settle_hot``.
     Requests that alone exceed the whole budget, or have none, are rejected before any grouping.
     """
-    budget = budgets.select(*KEYS, F.col("epsilon").cast(AMOUNT).alias("__be"), F.col("delta").cast(AMOUNT).alias("__bd"))
+    budget = budgets.select(*KEYS, amount("epsilon", "epsilon").alias("__be"), amount("delta", "delta").alias("__bd"))
     priced = requests.join(budget, KEYS, "left").withColumns(
-        {"__e": F.col("cost_epsilon").cast(AMOUNT), "__d": F.col("cost_delta").cast(AMOUNT)})
+        {"__e": amount("cost_epsilon", "epsilon"), "__d": amount("cost_delta", "delta")})
     affordable = F.coalesce((F.col("__e") <= F.col("__be")) & (F.col("__d") <= F.col("__bd")), F.lit(False))
     open_ = priced.filter(affordable).select(*KEYS, "request_id", "__e", "__d", "__be", "__bd")
 
@@ -108,19 +116,20 @@ def admit(requests: DataFrame, budgets: DataFrame, hot_requests: int = HOT_REQUE
 
 def _fold(requests: DataFrame) -> DataFrame:
     """Admitted requests of keys whose requests fit one array."""
-    zero = F.lit(0).cast("decimal(38,15)")
-    start = F.struct(zero.alias("e"), zero.alias("d"), F.array().cast("array<bigint>").alias("ids"))
+    zero = [F.lit(0).cast(t).alias(n) for n, t in zip("ed", AMOUNTS.values())]
+    start = F.struct(*zero, F.lit("").alias("taken"))
 
-    def step(acc: Column, r: Column, be: Column, bd: Column) -> Column:
-        e, d = (acc["e"] + r["e"]).cast("decimal(38,15)"), (acc["d"] + r["d"]).cast("decimal(38,15)")
-        fits = (e <= be) & (d <= bd)
-        taken = F.struct(e.alias("e"), d.alias("d"), F.concat(acc["ids"], F.array(r["id"])).alias("ids"))
-        return F.when(fits, taken).otherwise(acc)
+    def step(acc: Column, r: Column) -> Column:
+        e, d = (acc["e"] + r["e"]).cast(AMOUNTS["epsilon"]), (acc["d"] + r["d"]).cast(AMOUNTS["delta"])
+        fits = (e <= F.col("__be")) & (d <= F.col("__bd"))
+        return F.when(fits, F.struct(e.alias("e"), d.alias("d"), F.concat(acc["taken"], F.lit("1")).alias("taken"))).otherwise(
+            F.struct(acc["e"].alias("e"), acc["d"].alias("d"), F.concat(acc["taken"], F.lit("0")).alias("taken")))
 
     grouped = requests.groupBy(*KEYS, "__be", "__bd").agg(
         F.sort_array(F.collect_list(F.struct(F.col("request_id").alias("id"), F.col("__e").alias("e"), F.col("__d").alias("d")))).alias("r"))
-    folded = F.aggregate("r", start, lambda acc, r: step(acc, r, F.col("__be"), F.col("__bd")))["ids"]
-    return grouped.select(*KEYS, F.explode(folded).alias("request_id"))
+    folded = grouped.withColumn("taken", F.aggregate("r", start, step)["taken"])  # one byte a request: a fold copies little
+    flags = F.filter("r", lambda r, i: F.substr("taken", i + 1, F.lit(1)) == "1")
+    return folded.select(*KEYS, F.explode(F.transform(flags, lambda r: r["id"])).alias("request_id"))
 
 
 def _settle_hot(requests: DataFrame, hot_requests: int) -> DataFrame:
@@ -136,7 +145,7 @@ def _settle_hot(requests: DataFrame, hot_requests: int) -> DataFrame:
     rows = written(requests, "admission-requests")
     state = rows.groupBy(*KEYS).agg(
         F.first("__be").alias("e"), F.first("__bd").alias("d"), F.lit(None).cast("bigint").alias("after"))
-    none = F.lit(0).cast(AMOUNT)
+    none_e, none_d = (F.lit(0).cast(t) for t in AMOUNTS.values())
     accepted = []
     while True:
         state = written(state, "admission-state")
@@ -147,16 +156,16 @@ def _settle_hot(requests: DataFrame, hot_requests: int) -> DataFrame:
         accepted.append(_fold(live.join(settled, KEYS, "left_semi").withColumnsRenamed({"e": "__be", "d": "__bd"})))
         if sizes.filter("large").isEmpty():
             break
-        small = (F.col("__e") * 2 <= F.col("e")) & (F.col("__d") * 2 <= F.col("d"))
+        small = (F.col("__e") + F.col("__e") <= F.col("e")) & (F.col("__d") + F.col("__d") <= F.col("d"))
         large = live.join(sizes.filter("large").select(*KEYS), KEYS, "left_semi").withColumn("__small", small)
         summed = running_sums(large, KEYS, ["request_id"], {
-            "__se": F.when(F.col("__small"), F.col("__e")).otherwise(none),
-            "__sd": F.when(F.col("__small"), F.col("__d")).otherwise(none)}, edges)
-        left_e, left_d = F.col("e") - F.col("__se"), F.col("d") - F.col("__sd")
-        crossing = F.col("__small") & ((left_e * 2 < F.col("e")) | (left_d * 2 < F.col("d")))
+            "__se": F.when(F.col("__small"), F.col("__e")).otherwise(none_e),
+            "__sd": F.when(F.col("__small"), F.col("__d")).otherwise(none_d)}, edges)
+        left_e, left_d = (F.col("e") - F.col("__se")).cast(AMOUNTS["epsilon"]), (F.col("d") - F.col("__sd")).cast(AMOUNTS["delta"])
+        crossing = F.col("__small") & ((left_e + left_e < F.col("e")) | (left_d + left_d < F.col("d")))
         fits = ~F.col("__small") & (F.col("__e") <= left_e) & (F.col("__d") <= left_d)
-        after_e = F.when(F.col("__small"), left_e).otherwise(left_e - F.col("__e")).cast(AMOUNT).alias("e")
-        after_d = F.when(F.col("__small"), left_d).otherwise(left_d - F.col("__d")).cast(AMOUNT).alias("d")
+        after_e = F.when(F.col("__small"), left_e).otherwise(left_e - F.col("__e")).cast(AMOUNTS["epsilon"]).alias("e")
+        after_d = F.when(F.col("__small"), left_d).otherwise(left_d - F.col("__d")).cast(AMOUNTS["delta"]).alias("d")
         # the first request that ends the phase; without one every small request of the key was admitted
         stop = F.min(F.when(crossing | fits, F.struct("request_id", after_e, after_d)))
         stops = written(summed.groupBy(*KEYS).agg(stop.alias("stop")), "admission-stop")

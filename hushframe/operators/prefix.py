@@ -4,44 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hushframe.functions.ranges import edges_at_or_below
+from hushframe.functions.ranges import edge_position, edges_at_or_below
 
-CHUNKS = 256
+CHUNK_ROWS = 100_000  # rows of a chunk, about
+FEWEST, MOST = 64, 4096
 
 
-def chunk_edges(df: DataFrame, order: str, chunks: int = CHUNKS) -> list:
-    """About ``chunks`` cut points of the order column, from one sketch pass."""
-    number = F.col(order).cast("double")
-    cuts = df.agg(F.percentile_approx(number, [i / chunks for i in range(1, chunks)], 10 * chunks).alias("e")).first()["e"]
-    return sorted(set(cuts or []))
+def chunk_edges(df: DataFrame, *order: str) -> list[list]:
+    """Cut points of the first two order columns, as many as the rows ask for, from one sketch pass."""
+    shares = [i / MOST for i in range(1, MOST)]
+    cuts = [F.percentile_approx(F.col(c).cast("double"), shares, 4 * MOST).alias(f"e{i}") for i, c in enumerate(order[:2])]
+    row = df.agg(F.count("*").alias("n"), *cuts).first()
+    step = max(1, MOST // max(FEWEST, -(-row["n"] // CHUNK_ROWS)))
+    return [sorted(set((row[f"e{i}"] or [])[step - 1::step])) for i in range(len(cuts))]
 
 
-def chunk_of(order: str, edges: list) -> Column:
-    return F.coalesce(edges_at_or_below(F.col(order).cast("double"), edges), F.lit(0))
+def chunk_of(order: list[str], edges: list[list]) -> Column:
+    """Number of a chunk, rising with the order.
+
+    Rows that share an edge's value of the first column are cut by the second one, so that equal values of the
+    first column, however many, do not stay together.
+    """
+    first = F.coalesce(edge_position(F.col(order[0]), edges[0]), F.lit(0)) if edges[0] else F.lit(0)
+    if len(edges) < 2 or not edges[1]:
+        return first.cast("bigint")
+    second = F.coalesce(edges_at_or_below(F.col(order[1]).cast("double"), edges[1]), F.lit(0))
+    return (first * (len(edges[1]) + 1)).cast("bigint") + F.when(first % 2 == 1, second).otherwise(F.lit(0))
 
 
-def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], edges: list | None = None,
+def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], edges: list[list] | None = None,
                  inclusive: bool = True) -> DataFrame:
     """Append running sums in the given order within each key.
 
-    Rows are ranked inside (key, chunk of the order column), so a key with most of the rows is spread over
-    all chunks; totals of earlier chunks are added from a table of at most CHUNKS rows per key.  Rows stay
-    partitioned by (key, chunk) for that join, so they are shuffled once.  Keys must not be null.
+    Rows are ranked inside (key, chunk of the order), so a key with most of the rows is spread over all chunks;
+    totals of earlier chunks are added from a table of one row per key and chunk.  Rows stay partitioned by
+    (key, chunk) for that join, so they are shuffled once.  Keys must not be null.  Sums of decimals keep the
+    type of what is summed, digits and all.
     """
-    edges = chunk_edges(df, order[0]) if edges is None else edges
-    tagged = df.withColumn("__chunk", chunk_of(order[0], edges))
+    edges = chunk_edges(df, *order) if edges is None else edges
+    kinds = [f.dataType for f in df.select(*[c.alias(n) for n, c in sums.items()]).schema.fields]
+    kept = lambda c, t: c.cast(t) if isinstance(t, T.DecimalType) else c
+    columns = list(zip(sums.values(), kinds))
+    tagged = df.withColumn("__chunk", chunk_of(order, edges))
     inner = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    part = {f"__s{i}": F.sum(c).over(inner) - (F.lit(0) if inclusive else F.coalesce(c, F.lit(0))) for i, c in enumerate(sums.values())}
+    part = {f"__s{i}": kept(F.sum(c).over(inner), t) - (kept(F.lit(0), t) if inclusive else F.coalesce(c, F.lit(0))) for i, (c, t) in enumerate(columns)}
     earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        tagged.groupBy(*keys, "__chunk").agg(*[F.sum(c).alias(f"__t{i}") for i, c in enumerate(sums.values())])
+        tagged.groupBy(*keys, "__chunk").agg(*[kept(F.sum(c), t).alias(f"__t{i}") for i, (c, t) in enumerate(columns)])
         .select(*[F.col(k).alias(f"__o{i}") for i, k in enumerate(keys)], F.col("__chunk").alias("__ochunk"),
-                *[F.coalesce(F.sum(f"__t{i}").over(earlier), F.lit(0)).alias(f"__o_{i}") for i in range(len(sums))])
+                *[F.coalesce(kept(F.sum(f"__t{i}").over(earlier), t), kept(F.lit(0), t)).alias(f"__o_{i}") for i, t in enumerate(kinds)])
     )
     same = F.col("__chunk") == F.col("__ochunk")
     for i, k in enumerate(keys):
         same = same & (F.col(k) == F.col(f"__o{i}"))
     joined = tagged.withColumns(part).join(offsets, same, "left")
-    out = {name: (F.col(f"__s{i}") + F.col(f"__o_{i}")) for i, name in enumerate(sums)}
+    out = {name: kept(kept(F.col(f"__s{i}"), t) + F.col(f"__o_{i}"), t) for i, (name, t) in enumerate(zip(sums, kinds))}
     return joined.select(*df.columns, *[c.alias(n) for n, c in out.items()])

@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":  # a local-cluster has executors of its own
         raise LibraryFailure("set spark.checkpoint.dir to a folder shared by all executors")
     path = tempfile.mkdtemp(prefix="hushframe-")
     spark.conf.set("spark.checkpoint.dir", path)

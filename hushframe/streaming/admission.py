@@ -15,31 +15,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from hushframe.operators.ledger import AMOUNT, KEYS, admit
+from hushframe.errors import LibraryFailure
+from hushframe.operators.ledger import AMOUNTS, KEYS, admit, amount
+from hushframe.session import written
 
 OUTPUT = "user_name string, dataset_name string, request_id bigint, cost_epsilon double, cost_delta double, admitted boolean"
 
 
-SPENT = f"user_name string, dataset_name string, e {AMOUNT}, d {AMOUNT}"
+SPENT = f"user_name string, dataset_name string, e {AMOUNTS['epsilon']}, d {AMOUNTS['delta']}"
 
 
 def admit_stream(requests: DataFrame, budgets: DataFrame) -> DataFrame:
     """Admit requests in order per (user, dataset); the spent amounts are the state.
 
-    Requests must arrive in request order across micro-batches.  Requests above the whole budget never reach
+    Requests must arrive in request order across micro-batches; one that is older than a request settled
+    before it fails the stream, since its answer would depend on the order of arrival.  Requests above the whole budget never reach
     the state function.  A group's rows within one micro-batch are sorted in one task: bound the batch at the
     source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``); a backlog is better settled by the batch form.
     """
-    budget = budgets.select(*KEYS, F.col("epsilon").cast(AMOUNT).alias("be"), F.col("delta").cast(AMOUNT).alias("bd"))
+    budget = budgets.select(*KEYS, amount("epsilon", "epsilon").alias("be"), amount("delta", "delta").alias("bd"))
     priced = requests.join(budget, KEYS, "left").withColumns(
-        {"e": F.col("cost_epsilon").cast(AMOUNT), "d": F.col("cost_delta").cast(AMOUNT)})
+        {"e": amount("cost_epsilon", "epsilon"), "d": amount("cost_delta", "delta")})
     affordable = F.coalesce((F.col("e") <= F.col("be")) & (F.col("d") <= F.col("bd")), F.lit(False))
     plain = [*KEYS, "request_id", "cost_epsilon", "cost_delta"]
     refused = priced.filter(~affordable).select(*plain, F.lit(False).alias("admitted"))
     decided = (
         priced.filter(affordable).select(*plain, "e", "d", "be", "bd")
         .groupBy(*KEYS)
-        .applyInPandasWithState(_decide, OUTPUT, "e string, d string", "append", "NoTimeout")
+        .applyInPandasWithState(_decide, OUTPUT, "e string, d string, last bigint", "append", "NoTimeout")
     )
     return decided.unionByName(refused)
 
@@ -52,30 +55,32 @@ def admit_micro_batches(requests: DataFrame, budgets: DataFrame, path: str, chec
     """
 
     def settle(batch: DataFrame, number: int) -> None:
-        spark, none = batch.sparkSession, F.lit(0).cast(AMOUNT)
+        spark = batch.sparkSession
         before = spark.read.schema(SPENT).parquet(f"{path}/spent/batch={number - 1}") if number else spark.createDataFrame([], SPENT)
         left = budgets.join(before, KEYS, "left").select(
-            *KEYS, (F.col("epsilon").cast(AMOUNT) - F.coalesce("e", none)).alias("epsilon"),
-            (F.col("delta").cast(AMOUNT) - F.coalesce("d", none)).alias("delta"))
-        decided = admit(batch, left)
+            *KEYS, (amount("epsilon", "epsilon") - F.coalesce("e", F.lit(0).cast(AMOUNTS["epsilon"]))).alias("epsilon"),
+            (amount("delta", "delta") - F.coalesce("d", F.lit(0).cast(AMOUNTS["delta"]))).alias("delta"))
+        decided = admit(written(batch, "admission-batch"), left)  # read once from its source
         decided.write.mode("overwrite").parquet(f"{path}/decisions/batch={number}")
         stored = spark.read.schema(decided.schema).parquet(f"{path}/decisions/batch={number}").filter("admitted")
-        fresh = stored.select(*KEYS, F.col("cost_epsilon").cast(AMOUNT).alias("e"), F.col("cost_delta").cast(AMOUNT).alias("d"))
-        totals = fresh.unionByName(before).groupBy(*KEYS).agg(F.sum("e").cast(AMOUNT).alias("e"), F.sum("d").cast(AMOUNT).alias("d"))
+        fresh = stored.select(*KEYS, amount("cost_epsilon", "epsilon").alias("e"), amount("cost_delta", "delta").alias("d"))
+        totals = fresh.unionByName(before).groupBy(*KEYS).agg(F.sum("e").cast(AMOUNTS["epsilon"]).alias("e"), F.sum("d").cast(AMOUNTS["delta"]).alias("d"))
         totals.write.mode("overwrite").parquet(f"{path}/spent/batch={number}")
 
     return requests.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint)
 
 
 def _decide(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    spent_e, spent_d = map(Decimal, state.get) if state.exists else (Decimal(0), Decimal(0))
+    spent_e, spent_d, last = (Decimal(state.get[0]), Decimal(state.get[1]), state.get[2]) if state.exists else (Decimal(0), Decimal(0), None)
     rows = pd.concat(list(batches)).sort_values("request_id")
+    if last is not None and len(rows) and rows["request_id"].iloc[0] <= last:
+        raise LibraryFailure(f"request {rows['request_id'].iloc[0]} of {key} arrived after request {last}")
     admitted = []
     for e, d, be, bd in zip(rows["e"], rows["d"], rows["be"], rows["bd"]):
         fits = spent_e + e <= be and spent_d + d <= bd
         admitted.append(fits)
         if fits:
             spent_e, spent_d = spent_e + e, spent_d + d
-    state.update((str(spent_e), str(spent_d)))
+    state.update((str(spent_e), str(spent_d), int(rows["request_id"].iloc[-1]) if len(rows) else last))
     out = rows[["request_id", "cost_epsilon", "cost_delta"]].assign(user_name=key[0], dataset_name=key[1], admitted=admitted)
     yield out[["user_name", "dataset_name", "request_id", "cost_epsilon", "cost_delta", "admitted"]]

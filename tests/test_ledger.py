@@ -10,8 +10,6 @@ from hushframe.plans.accounting import invalid_requests, price
 from hushframe.streaming.admission import admit_micro_batches, admit_stream
 from hushframe.streaming.run import drain
 
-CENT = Decimal("1e-15")
-
 
 def brute_force(rows, budgets):
     spent, admitted = {}, set()
@@ -19,7 +17,7 @@ def brute_force(rows, budgets):
         key = (r["user_name"], r["dataset_name"])
         if key not in budgets:
             continue
-        cost = tuple(Decimal(repr(r[c])).quantize(CENT) for c in ("cost_epsilon", "cost_delta"))
+        cost = tuple(Decimal(repr(r[c])) for c in ("cost_epsilon", "cost_delta"))
         new = tuple(a + b for a, b in zip(spent.get(key, (Decimal(0), Decimal(0))), cost))
         if all(n <= b for n, b in zip(new, budgets[key])):
             spent[key] = new
@@ -62,6 +60,37 @@ def test_stream_equals_batch_over_several_micro_batches(spark, tmp_path):
     assert {r["request_id"]: r["admitted"] for r in settled.collect()} == batch
 
 
+@pytest.mark.parametrize("hot", [10**9, 3])
+def test_tiny_costs_are_not_free(spark, hot):
+    requests = spark.createDataFrame([(i, "u", "d", 4e-18, 4e-16) for i in range(10)] + [(20, "v", "d", 1e-300, 1e-300)], "request_id bigint, user_name string, dataset_name string, cost_epsilon double, cost_delta double")
+    budgets = spark.createDataFrame([("u", "d", 1.0, 1e-15), ("v", "d", 1.0, 0.0)], "user_name string, dataset_name string, epsilon double, delta double")
+    assert sorted(r.request_id for r in L.admit(requests, budgets, hot).collect() if r.admitted) == [0, 1]
+
+
+def test_running_sums_split_equal_order_values(spark):
+    from hushframe.operators import prefix
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"), F.lit(5).alias("ts"), F.col("id"), (F.col("id") % 13).cast("decimal(36,20)").alias("x"))
+    edges = prefix.chunk_edges(rows, "ts", "id")
+    chunks = rows.filter("k = 'hot'").groupBy(prefix.chunk_of(["ts", "id"], edges)).count().collect()
+    assert max(c["count"] for c in chunks) < 2700 / 20
+    total, expected = {}, {}
+    for r in rows.orderBy("id").collect():
+        total[r.k] = total.get(r.k, 0) + r.x
+        expected[r.id] = total[r.k]
+    assert {r.id: r.s for r in prefix.running_sums(rows, ["k"], ["ts", "id"], {"s": F.col("x")}).collect()} == expected
+
+
+def test_late_request_fails_the_stream(spark, tmp_path):
+    requests, source = _case(spark, 60), str(tmp_path / "late")
+    budgets = spark.createDataFrame([("hot", "d", 60.0, 0.01)], "user_name string, dataset_name string, epsilon double, delta double")
+    for part in ("request_id >= 30", "request_id < 30"):
+        requests.filter(part).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    with pytest.raises(Exception, match="arrived after request"):
+        drain(admit_stream(stream, budgets))
+
+
 def test_prices(spark):
     rows = [
         (1, "sql", 0.5, 1e-5, [("count", None), ("avg", "x"), ("std", "x")], None, None, None, None, None, None, None),
