@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from gate.core import (
-    CUSTOMER, FLAGS, LINEITEM, MODE, ORDERS, PRIORITIES, SEGMENTS, STATUSES, clamp, digest_sql, exact, gauss, gum, lap, num, out, query,
+    CUSTOMER, FLAGS, LINEITEM, MODE, ORDERS, PRIORITIES, SEGMENTS, SHORT_GROUPS, STATUSES, clamp, digest_sql, exact, gauss, gum, lap, num, out, query,
     rounded, table, uni, values,
 )
 from hushframe.functions.noise import Noise, add_discrete_laplace, add_gaussian, add_laplace, add_noise, select_noisy_max, threshold
@@ -166,10 +166,46 @@ _UNIT_ROWS = (
     f"select o_orderpriority, {out('c', 'n', 3)}, {out('s', 'total', 3)} from n"))
 def _(spark, sf):
     df = private_agg(table(spark, sf, "orders"), ORDERS, [count().alias("n"), sum_("o_totalprice").alias("total")], epsilon=1.0,
-                     by=["o_orderpriority"], unit="o_custkey", row_key=["o_orderkey"], noise=MODE, tag="unit")
+                     by=["o_orderpriority"], row_key=["o_orderkey"], noise=MODE, tag="unit")  # the unit is the declared private id
     return rounded(df, 3)
 
 
+@query("private_count_bounded_length", (
+    f"with u as (select * from (select *, row_number() over (partition by o_orderpriority order by {_ORDER}, o_orderkey) as r from orders) where r <= 1500), "
+    f"e as (select o_orderpriority, count(*) as c, {exact(clamp('o_totalprice', 1000.0, 500000.0), 5e5)} as s from u group by 1), "
+    f"n as (select d.o_orderpriority, coalesce(c, 0)::double + {lap('length|count_rows', ['d.o_orderpriority'], 1.0)} as c, "
+    f"coalesce(s, 0) + {lap('length|sum_o_totalprice', ['d.o_orderpriority'], 5e5)} as s "
+    f"from (select * from {values('o_orderpriority', PRIORITIES)}) d left join e using (o_orderpriority)) "
+    f"select o_orderpriority, {out('c', 'n', 3)}, {out('s', 'total', 3)} from n"))
+def _(spark, sf):
+    df = private_agg(table(spark, sf, "orders"), SHORT_GROUPS, [count().alias("n"), sum_("o_totalprice").alias("total")], epsilon=1.0,
+                     by=["o_orderpriority"], row_key=["o_orderkey"], noise=MODE, tag="length")
+    return rounded(df, 3)
+
+
+# A third of the prices missing, as null or NaN.
+_GAPS = "(select l_returnflag, case when l_linenumber = 1 then null when l_linenumber = 2 then 'nan'::double else l_extendedprice end as l_extendedprice from lineitem) as lineitem"
+
+
+def _with_gaps(spark, sf):
+    price = F.when(F.col("l_linenumber") == 2, F.lit(float("nan"))).when(F.col("l_linenumber") != 1, F.col("l_extendedprice"))
+    return table(spark, sf, LI).select("l_returnflag", price.alias("l_extendedprice"))
+
+
+_GAP_PARTS = {"count_l_extendedprice": f"count({P})", "sum_l_extendedprice": exact(P, 1e5), "sumsq_l_extendedprice": exact(f"{P} * {P}", 1e10)}
+_GAP_MEAN = "sum_l_extendedprice / count_l_extendedprice"
+
+
+@query("private_moments_with_gaps", _grouped(
+    f"{out(_GAP_MEAN, 'mean', 4)}, {out(f'greatest(0, sumsq_l_extendedprice / count_l_extendedprice - ({_GAP_MEAN}) * ({_GAP_MEAN}))', 'variance', 2)}, "
+    f"{out(f'sqrt(greatest(0, sumsq_l_extendedprice / count_l_extendedprice - ({_GAP_MEAN}) * ({_GAP_MEAN})))', 'deviation', 4)}",
+    _GAP_PARTS, "gaps", 1.0, {"count_l_extendedprice": 1.0, "sum_l_extendedprice": 1e5, "sumsq_l_extendedprice": 1e10}, rows=_GAPS))
+def _(spark, sf):
+    aggs = [avg("l_extendedprice").alias("mean"), var("l_extendedprice").alias("variance"), std("l_extendedprice").alias("deviation")]
+    df = private_agg(_with_gaps(spark, sf), LINEITEM, aggs, epsilon=1.0, by=["l_returnflag"], noise=MODE, tag="gaps")
+    return df.select("l_returnflag", (F.round("mean", 4) + 0.0).alias("mean"), (F.round("variance", 2) + 0.0).alias("variance"), (F.round("deviation", 4) + 0.0).alias("deviation"))
+
+
 # -- step-by-step measurements ---------------------------------------------------------------------------------
 
 

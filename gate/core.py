@@ -125,8 +125,11 @@ CUSTOMER = TableMeta.from_dict({"max_ids": 1, "rows": 1500, "row_privacy": True,
     "c_nationkey": {"type": "int", "precision": 32, "cardinality": 25, "categories": list(range(25))},
     "c_acctbal": _float(-1000.0, 10000.0), "c_mktsegment": _labels(SEGMENTS),
 }})
+SHORT_GROUPS = TableMeta.from_dict({"max_ids": 1, "rows": 15000, "row_privacy": True, "columns": {
+    "o_orderpriority": _labels(PRIORITIES, max_partition_length=1500), "o_totalprice": _float(1000.0, 500000.0)}})
 ORDERS = TableMeta.from_dict({"max_ids": 4, "rows": 15000, "row_privacy": False, "columns": {
     "o_orderpriority": _labels(PRIORITIES, max_influenced_partitions=2, max_partition_contributions=2),
+    "o_custkey": {"type": "int", "precision": 64, "lower": 0, "upper": 2**40, "private_id": True},
     "o_orderstatus": {"type": "string"},
     "o_totalprice": _float(0.0, 500000.0),
     "o_orderdate": {"type": "datetime", "lower": "1992-01-01T00:00:00", "upper": "2002-01-01T00:00:00"},

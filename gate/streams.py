@@ -10,7 +10,7 @@ from hushframe.operators.ledger import KEYS
 from hushframe.session import fresh_path
 from hushframe.streaming.admission import admit_micro_batches, admit_stream
 from hushframe.streaming.metrics import request_metrics
-from hushframe.streaming.run import drain
+from hushframe.streaming.run import drain, drain_all
 
 
 def _stream(spark, sf):
@@ -22,7 +22,7 @@ def _stream(spark, sf):
 def _requests(spark, sf):
     return _stream(spark, sf).select(
         F.col("event_id").alias("request_id"), F.concat(F.lit("u"), F.col("user_id")).alias("user_name"),
-        F.col("event_type").alias("dataset_name"), F.col("value").alias("cost_epsilon"), (F.col("value") * 1e-6).alias("cost_delta"))
+        F.col("event_type").alias("dataset_name"), F.col("value").alias("cost_epsilon"), F.round(F.col("value") / 1e6, 8).alias("cost_delta"))
 
 
 @query("admit_stream", ADMIT_SQL)
@@ -56,7 +56,7 @@ def _(spark, sf):
     return _by_day(_metrics(table(spark, sf, "events")))
 
 
-@query("request_metrics_stream", _METRICS.format(where="where date_trunc('day', ts) + interval 2 day <= (select max(ts) from events)"))
+@query("request_metrics_stream", _METRICS.format(where=""))
 def _(spark, sf):
-    # append mode emits a day once the watermark, one day behind the newest event, has passed its end
-    return _by_day(drain(_metrics(_stream(spark, sf))))
+    # what is drained ends here, so the newest days are complete: all windows are emitted, not only those the watermark has passed
+    return _by_day(drain_all(_metrics(_stream(spark, sf)), ["window_start", "path"]))

@@ -40,10 +40,10 @@ def _(spark, sf):
     return iso_datetimes(read_private(spark, _ORDERS_FILE, path))
 
 
-@query("read_parquet", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as o_orderdate, o_totalprice, o_orderpriority from orders where o_totalprice > 400000")
+@query("read_parquet", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as o_orderdate, o_totalprice, o_orderpriority from orders")
 def _(spark, sf):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return iso_datetimes(read_private(spark, _ORDERS_FILE, f"{sf}/orders.parquet").filter("o_totalprice > 400000"))
+    return iso_datetimes(read_private(spark, _ORDERS_FILE, f"{sf}/orders.parquet"))
 
 
 @query("from_frame", "select c_custkey, c_nationkey, c_acctbal, c_mktsegment from customer")
@@ -288,12 +288,12 @@ def _(spark, sf):
 @query("append_by_name", "select c_custkey as key, c_name as name from customer union all select s_suppkey, s_name from supplier")
 def _(spark, sf):
     a = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
-    return a.unionByName(table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("key")))
+    return P.append_rows(a, table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("key")))
 
 
 @query("users_with_archive", "select distinct c_custkey from customer where c_custkey in (select o_custkey from orders)")
 def _(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+    return P.rows_with(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders"), {"c_custkey": "o_custkey"})
 
 
 # -- transformers ----------------------------------------------------------------------------------------------

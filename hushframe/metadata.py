@@ -25,6 +25,7 @@ _SPARK_TYPES = {
     ("float", 64): T.DoubleType(),
 }
 
+# Names of the declared limits.
 _LIMITS = ("max_partition_length", "max_influenced_partitions", "max_partition_contributions")
 
 
@@ -137,6 +138,11 @@ class TableMeta:
         known = {"max_ids", "rows", "row_privacy", "censor_dims"}
         return cls(columns=columns, **{k: v for k, v in doc.items() if k in known and v is not None})
 
+    @property
+    def private_id(self) -> str | None:
+        """The declared column of privacy units, if there is one."""
+        return next((c.name for c in self.columns.values() if c.private_id), None)
+
     def column(self, name: str) -> Column:
         if name not in self.columns:
             raise InvalidQuery(f"unknown column {name!r}")

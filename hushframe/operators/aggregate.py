@@ -13,7 +13,7 @@ from hushframe.errors import InvalidQuery
 from hushframe.functions.exact import exact_sum
 from hushframe.functions.noise import Noise, Secure, Seeded, add_noise, threshold
 from hushframe.metadata import TableMeta
-from hushframe.operators.bounding import bound_contributions, bound_partitions
+from hushframe.operators.bounding import bound_contributions, bound_partition_length, bound_partitions
 from hushframe.operators.domain import clamped, complete, domains_of
 from hushframe.plans.accounting import Cost, check_budget, gaussian_sigma, grouped_cost
 from hushframe.plans.primitives import Aggregate, Primitive, distinct_primitives, mechanisms_for
@@ -24,8 +24,10 @@ from hushframe.session import written
 class PrivateQuery:
     """A private aggregate query over one table, priced without touching data.
 
-    ``unit`` names the column of the privacy unit (none: a row is a unit), ``row_key`` the columns that
-    identify a row, used to choose which rows survive bounding.
+    ``unit`` names the column of the privacy unit, ``row_key`` the columns that identify a row, used to choose
+    which rows survive bounding.  Where the table declares that a row is not a unit, the unit defaults to its
+    declared private id and the row key to all declared columns; without either the query is refused, since
+    nothing would hold a unit to its ``max_ids`` rows.
     """
 
     meta: TableMeta
@@ -58,8 +60,15 @@ class PrivateQuery:
                 raise InvalidQuery("Gaussian noise needs a positive delta")
         if self.censored and self.delta <= 0:
             raise InvalidQuery("censored keys need a positive delta")
+        if self.unit is None and not self.meta.row_privacy:
+            if self.meta.private_id is None:
+                raise InvalidQuery("rows are not privacy units here: name the unit")
+            object.__setattr__(self, "unit", self.meta.private_id)
+            object.__setattr__(self, "row_key", self.row_key or tuple(self.meta.columns))
         if self.unit and not self.row_key:
             raise InvalidQuery("bounding by a unit needs row_key columns")
+        if self.group_length and not self.row_key:
+            raise InvalidQuery("bounding the length of a group needs row_key columns")
 
     @property
     def censored(self) -> bool:
@@ -95,6 +104,11 @@ class PrivateQuery:
     def rows_per_group(self) -> int:
         return min(self.meta.max_ids, self._limit("max_partition_contributions") or self.meta.max_ids)
 
+    @property
+    def group_length(self) -> int | None:
+        """Declared most rows of a group."""
+        return self._limit("max_partition_length")
+
     @property
     def rows_per_unit(self) -> int:
         if self.unit is None:
@@ -105,8 +119,13 @@ class PrivateQuery:
         """Apply the user filter, then enforce every declared limit."""
         if self.where is not None:
             df = df.filter(self.where)
-        if self.unit is None:
-            return df
+        if self.unit is not None:
+            df = self._bound_unit(df)
+        if self.group_length:
+            df = bound_partition_length(df, list(self.by), self.group_length, list(self.row_key), self.bound_seed)
+        return df
+
+    def _bound_unit(self, df: DataFrame) -> DataFrame:
         if self._limit("max_influenced_partitions") or self._limit("max_partition_contributions"):
             df = bound_partitions(df, self.unit, list(self.by), self.groups_per_unit, self.rows_per_group,
                                   list(self.row_key), self.bound_seed)
@@ -120,7 +139,12 @@ class PrivateQuery:
     def sensitivity(self, primitive: Primitive) -> float:
         if primitive.kind == "units":
             return float(self.groups_per_unit)
-        return self.rows_per_unit * primitive.bound(self.meta)
+        bound = primitive.bound(self.meta)
+        if self.group_length and primitive.kind == "sum":
+            # a row that enters a full group pushes another one out
+            declared = self.meta.column(primitive.column)
+            bound = max(bound, float(declared.upper) - float(declared.lower))
+        return self.rows_per_unit * bound
 
     def noise_of(self, primitive: Primitive) -> Noise:
         mechanism = mechanisms_for(self.mechanisms)[self._statistic(primitive)]
@@ -157,10 +181,12 @@ class PrivateQuery:
     def _aggregate_column(self, primitive: Primitive) -> Column:
         if primitive.kind == "units":
             return F.count_distinct(self.unit)
-        if primitive.kind == "count":
+        if primitive.kind == "count" and (primitive.column is None or self.meta.column(primitive.column).type != "float"):
             return F.count(primitive.column or F.lit(1))
         declared = self.meta.column(primitive.column)
         value = clamped(primitive.column, declared.lower, declared.upper).cast("double")
+        if primitive.kind == "count":
+            return F.count(value)  # NaN is missing, in the count of an average as in its sum
         value = value * value if primitive.kind == "sumsq" else value
         return exact_sum(value, primitive.bound(self.meta))
 

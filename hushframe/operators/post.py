@@ -27,6 +27,22 @@ def top(df: DataFrame, by: list, n: int) -> DataFrame:
     return df.orderBy(*by).limit(n)
 
 
+def append_rows(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Rows of frames with the same columns in any order, one under the other; differing columns are refused."""
+    for other in others:
+        if sorted(other.columns) != sorted(first.columns):
+            raise InvalidQuery(f"cannot append columns {sorted(other.columns)} to {sorted(first.columns)}")
+        first = first.unionByName(other)
+    return first
+
+
+def rows_with(df: DataFrame, other: DataFrame, on: dict[str, str], found: bool = True) -> DataFrame:
+    """Rows of ``df`` that have a partner in ``other`` (or, with ``found=False``, have none); null finds none."""
+    keys = other.select(*[F.col(b).alias(f"__o{i}") for i, b in enumerate(on.values())])
+    same = [F.col(a) == F.col(f"__o{i}") for i, a in enumerate(on)]
+    return df.join(keys, same, "left_semi" if found else "left_anti")
+
+
 def explode_col(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
     return df.withColumn(name or column, F.explode(column))
 

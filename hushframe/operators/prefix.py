@@ -9,10 +9,15 @@ from pyspark.sql import types as T
 from hushframe.functions.ranges import edge_position, edges_at_or_below
 
 CHUNK_ROWS = 100_000  # rows of a chunk, about
-FEWEST, MOST = 64, 4096
+FEWEST, MOST = 256, 4096
 
 
-def chunk_edges(df: DataFrame, *order: str) -> list[list]:
+def chunk_edges(df: DataFrame, order: str) -> list:
+    """Cut points of one order column."""
+    return order_edges(df, [order])[0]
+
+
+def order_edges(df: DataFrame, order: list[str]) -> list[list]:
     """Cut points of the first two order columns, as many as the rows ask for, from one sketch pass."""
     shares = [i / MOST for i in range(1, MOST)]
     cuts = [F.percentile_approx(F.col(c).cast("double"), shares, 4 * MOST).alias(f"e{i}") for i, c in enumerate(order[:2])]
@@ -34,7 +39,7 @@ def chunk_of(order: list[str], edges: list[list]) -> Column:
     return (first * (len(edges[1]) + 1)).cast("bigint") + F.when(first % 2 == 1, second).otherwise(F.lit(0))
 
 
-def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], edges: list[list] | None = None,
+def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], edges: list | None = None,
                  inclusive: bool = True) -> DataFrame:
     """Append running sums in the given order within each key.
 
@@ -43,7 +48,8 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
     (key, chunk) for that join, so they are shuffled once.  Keys must not be null.  Sums of decimals keep the
     type of what is summed, digits and all.
     """
-    edges = chunk_edges(df, *order) if edges is None else edges
+    edges = order_edges(df, order) if edges is None else edges
+    edges = edges if edges and isinstance(edges[0], list) else [edges]
     kinds = [f.dataType for f in df.select(*[c.alias(n) for n, c in sums.items()]).schema.fields]
     kept = lambda c, t: c.cast(t) if isinstance(t, T.DecimalType) else c
     columns = list(zip(sums.values(), kinds))

@@ -132,3 +132,31 @@ def test_resized_pads_and_truncates(spark):
     m = Measure(_rows(spark), row_key=("id",)).column("x").clamp(0.0, 10.0)
     for n in (1, 599, 600, 601, 2500):
         assert m.resize(n, 5.0).resized().count() == n
+
+
+def test_averages_leave_nan_out_of_the_count(spark):
+    meta = TableMeta.from_dict({"columns": {"x": {"type": "float", "precision": 64, "lower": 0.0, "upper": 10.0}}})
+    rows = spark.createDataFrame([(8.0,)] * 500 + [(float("nan"),)] * 500 + [(None,)] * 7, "x double")
+    exact = PrivateQuery(meta, (avg("x"), std("x")), 1.0).exact(rows).first()
+    assert exact["count_x"] == 500 and exact["sum_x"] == 4000.0
+
+
+def test_rows_that_are_no_units_need_a_unit(spark):
+    columns = {"g": {"type": "string", "cardinality": 1, "categories": ["a"]}, "x": {"type": "int", "precision": 32, "lower": 0, "upper": 9}}
+    with pytest.raises(InvalidQuery, match="name the unit"):
+        PrivateQuery(TableMeta.from_dict({"max_ids": 4, "row_privacy": False, "columns": columns}), (count(),), 1.0)
+    who = {"who": {"type": "int", "precision": 64, "lower": 0, "upper": 99, "private_id": True}}
+    query = PrivateQuery(TableMeta.from_dict({"max_ids": 4, "row_privacy": False, "columns": {**columns, **who}}), (count(),), 1.0)
+    rows = spark.createDataFrame([("a", 1, 7)] * 10 + [("a", 2, 8)] * 3, "g string, x int, who bigint")
+    assert query.unit == "who" and query.exact(rows).first()["count_rows"] == 7
+
+
+def test_declared_group_length_is_applied(spark):
+    meta = TableMeta.from_dict({"columns": {"g": {"type": "string", "cardinality": 2, "categories": ["a", "b"], "max_partition_length": 5},
+                                            "x": {"type": "float", "precision": 64, "lower": -3.0, "upper": 10.0}}})
+    with pytest.raises(InvalidQuery, match="row_key"):
+        PrivateQuery(meta, (count(),), 1.0, by=("g",))
+    query = PrivateQuery(meta, (count(), sum_("x")), 1.0, by=("g",), row_key=("id",))
+    rows = spark.createDataFrame([(i, "a", 1.0) for i in range(100)] + [(200, "b", 1.0)], "id int, g string, x double")
+    assert {r["g"]: r["count_rows"] for r in query.exact(rows).collect()} == {"a": 5, "b": 1}
+    assert [query.sensitivity(p) for p in query.primitives] == [1.0, 13.0]  # a row in, another out
