@@ -344,9 +344,12 @@ def _(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", Anonymize(3).encode(F.col("c_custkey")).alias("alias"))
 
 
-@query("anonymize_fresh")
+@query("anonymize_fresh", "select c_mktsegment, count(*) as n, count(*) as n_aliases, count(*) as n_random_ids from customer group by 1")
 def _(spark, sf):
-    return table(spark, sf, "customer").select("c_mktsegment", Anonymize().encode(F.col("c_custkey")).alias("alias"))
+    """Fresh ids differ from run to run: what is compared is that each row has one of its own, of random-uuid shape."""
+    rows = table(spark, sf, "customer").select("c_mktsegment", Anonymize().encode(F.col("c_custkey")).alias("alias"))
+    shaped = F.col("alias").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    return rows.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.countDistinct("alias").alias("n_aliases"), F.count_if(shaped).alias("n_random_ids"))
 
 
 @query("clamp_transformer", f"select c_custkey, {clamp('c_acctbal', 0.0, 9000.0)} as c_acctbal from customer")

@@ -131,7 +131,7 @@ def secure_draws(mechanism: str, scale: np.ndarray) -> np.ndarray:
         return scale * np.sqrt(-2.0 * np.log(_entropy_uniform(n))) * np.cos(2.0 * np.pi * _entropy_uniform(n))
     if mechanism == "gumbel":
         return -scale * np.log(-np.log(_entropy_uniform(n)))
-    return np.array([discrete_laplace_draw(Fraction(s).limit_denominator(10**6)) for s in scale], dtype=float)
+    return np.array([discrete_laplace_draw(Fraction(float(s))) for s in scale], dtype=float)
 
 
 def add_noise(df: DataFrame, noises: list[Noise], keys: list[str], mode: Secure | Seeded, tag: str) -> DataFrame:

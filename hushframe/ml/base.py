@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.errors import InvalidQuery
-from hushframe.functions.exact import exact_sum
+from hushframe.functions.exact import exact_sum, grid_digits
 from hushframe.functions.noise import Noise, Secure, Seeded, add_noise
 from hushframe.operators.domain import clamped, complete
 from hushframe.plans.accounting import Cost
@@ -43,19 +43,25 @@ def noisy_products(df: DataFrame, terms: list[Column], pairs: list[tuple[int, in
                    tag: str) -> DataFrame:
     """Noisy sums of products of [-1, 1]-bounded terms, one column ``{prefix}_i_j`` per pair.
 
-    Many pairs would make one aggregation too wide to compile; they are added up as a matrix product per
-    partition instead, before the same noise.
+    Many pairs would make one aggregation too wide to compile; they are added up per partition instead, on the
+    same grid of whole numbers, so that both ways give the same sum whatever the order of rows.
     """
     names = {p: f"{prefix}_{p[0]}_{p[1]}" for p in pairs}
     if len(pairs) <= MAX_SUM_COLUMNS:
         return noisy_sums(df, {names[i, j]: (terms[i] * terms[j], 1.0) for i, j in pairs}, epsilon, mode, tag)
     rows = df.select(*[t.alias(f"t{i}") for i, t in enumerate(terms)])
-    sums = partition_sums(rows, rows.columns, lambda x: (x.T @ x).ravel())
-    gram = sums.reshape(len(terms), len(terms)) if len(sums) else np.zeros((len(terms), len(terms)))
-    exact = df.sparkSession.createDataFrame([[float(gram[p]) for p in pairs]], [names[p] for p in pairs])
+    sums = partition_sums(rows, rows.columns, lambda x: _grid_products(x, pairs), exact=True)
+    scale = 10.0 ** grid_digits(1.0)
+    exact = df.sparkSession.createDataFrame([[v / scale for v in (sums or [0] * len(pairs))]], [names[p] for p in pairs])
     return add_noise(exact, [Noise(n, "laplace", len(pairs) / epsilon) for n in names.values()], [], mode, tag)
 
 
+def _grid_products(x: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
+    """What ``exact_sum`` adds, pair by pair."""
+    scale = 10.0 ** grid_digits(1.0)
+    return np.array([np.floor(x[:, i] * x[:, j] * scale + 0.5).astype(np.int64).sum() for i, j in pairs])
+
+
 def unit_scaled(bounds: Bounds) -> dict[str, Column]:
     """Each bounded column moved onto [-1, 1]; missing values sit in the middle."""
     out = {}
@@ -65,8 +71,8 @@ def unit_scaled(bounds: Bounds) -> dict[str, Column]:
     return out
 
 
-def partition_sums(df: DataFrame, columns: list[str], block: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Sum of ``block(rows)`` over all rows: one vector per partition, added up on the cluster.
+def partition_sums(df: DataFrame, columns: list[str], block: Callable[[np.ndarray], np.ndarray], exact: bool = False) -> np.ndarray | list[int]:
+    """Sum of ``block(rows)`` over all rows: one vector per partition, added up on the cluster; whole numbers if ``exact``.
 
     For iterations whose terms are too many for an expression; the driver sees the final vector only.
     """
@@ -80,7 +86,10 @@ def partition_sums(df: DataFrame, columns: list[str], block: Callable[[np.ndarra
         if total is not None:
             yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
 
-    rows = df.select(*columns).mapInPandas(partial, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    total = F.sum(F.col("v").cast("decimal(38,0)") if exact else "v").alias("v")
+    rows = df.select(*columns).mapInPandas(partial, f"i long, v {'long' if exact else 'double'}").groupBy("i").agg(total).collect()
+    if exact:
+        return [int(r["v"]) for r in sorted(rows)]
     out = np.zeros(len(rows))
     for r in rows:
         out[r["i"]] = r["v"]

@@ -199,6 +199,8 @@ class DPLogisticRegression(Estimator):
             w = w - step
             if np.abs(step).max() < self.tol * max(1.0, np.abs(w).max()):
                 break
+        else:  # objective perturbation is private at the optimum only
+            raise LibraryFailure(f"no optimum after {self.max_iter} steps")
         if len(self.classes) == 2:
             w = np.vstack([-w[0], w[0]])
         return LogisticModel(list(features), list(self.classes), (root * w).tolist(), float(self.data_norm))

@@ -11,8 +11,9 @@ from hushframe.errors import InvalidQuery
 from hushframe.functions.literals import constant_array
 from hushframe.metadata import TableMeta
 
-MAX_CELLS = 10_000_000
+MOST_CELLS = 2**63 - 1  # cells are numbered by longs
 CELLS_PER_TASK = 100_000
+MOST_TASKS = 100_000  # cells are generated one by one, so a task may hold any number of them
 
 
 def domains_of(meta: TableMeta, columns: list[str], given: dict[str, list] | None = None) -> dict[str, list]:
@@ -30,15 +31,15 @@ def domain_frame(spark: SparkSession, domains: dict[str, list], types: dict | No
     ``number`` keeps the cell number, in row-major order, under that name.
     """
     cells = domain_size(domains)
-    if cells > MAX_CELLS:
-        raise InvalidQuery(f"public domain above {MAX_CELLS} cells; use censored keys or fewer columns")
+    if cells > MOST_CELLS:
+        raise InvalidQuery("public domain with more cells than a long can number; use censored keys or fewer columns")
     columns, stride = [F.col("id").alias(number)] if number else [], cells
     for name, values in domains.items():
         stride //= len(values)
-        at = (F.floor(F.col("id") / F.lit(float(stride))) % len(values)).cast("int")
+        at = F.expr(f"int((id div {stride}L) % {len(values)}L)")
         value = at if list(values) == list(range(len(values))) else F.element_at(constant_array(values), at + 1)
         columns.append((value.cast(types[name]) if types and name in types else value).alias(name))
-    return spark.range(0, cells, 1, max(1, cells // CELLS_PER_TASK)).select(*columns)
+    return spark.range(0, cells, 1, min(MOST_TASKS, max(1, cells // CELLS_PER_TASK))).select(*columns)
 
 
 def complete(counts: DataFrame, domains: dict[str, list], fill: list[str]) -> DataFrame:

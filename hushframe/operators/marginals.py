@@ -9,11 +9,14 @@ from hushframe.errors import InvalidQuery
 from hushframe.functions.literals import constant_array
 from hushframe.functions.noise import Noise, Secure, Seeded, add_noise
 from hushframe.functions.ranges import edge_position
-from hushframe.operators.domain import MAX_CELLS, clamped, complete, domain_frame, domain_size
+from hushframe.operators.domain import clamped, complete, domain_frame, domain_size
 from hushframe.plans.accounting import Cost
 
 ALL = "__all__"
 
+# Joint cells beyond which grouping sets expand rows and not cells; the result is the same.
+JOINT_CELLS = 10_000_000
+
 
 def bin_code(column: str | Column, lower: float, upper: float, bins: int) -> Column:
     """Equal-width bin 0 … bins-1 of the clamped value; the upper bound belongs to the last bin."""
@@ -60,7 +63,7 @@ def exact_marginals(df: DataFrame, domains: dict[str, list], sets: list[tuple[st
     for c in columns:
         known = known.filter(F.col(c).isin(*domains[c]))
     weight: Column = F.count("*")
-    if domain_size(domains) <= MAX_CELLS:
+    if domain_size(domains) <= JOINT_CELLS:
         known = known.groupBy(*columns).agg(F.count("*").alias("__w"))
         weight = F.sum("__w")
     bit = {c: 1 << (len(columns) - 1 - i) for i, c in enumerate(columns)}

@@ -7,7 +7,7 @@ from gate.check import compare, connection
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # queries whose draws cannot be written as SQL; other tests look at their results
-WITHOUT_SQL = {"anonymize_fresh", "logistic_regression", "mwem_sample", "mst_sample", "aim_sample", "conditional_sample"}
+WITHOUT_SQL = {"logistic_regression", "mwem_sample", "mst_sample", "aim_sample", "conditional_sample"}
 
 
 @pytest.fixture(scope="module")

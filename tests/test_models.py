@@ -78,11 +78,38 @@ def test_chain(rows):
     assert chain.cost().epsilon == 5.0
     fitted = chain.fit(rows, ["a", "b"], "c", ["id"], MODE, test_size=0.3, seed=2)
     assert fitted.score(5.0, MODE).first()["accuracy"] > 0.9
-    line = DPPipeline([DPLinearRegression(BIG, BOUNDS, (-50.0, 30.0), ridge=1e-9)]).fit(rows, ["a", "b"], "y", ["id"], MODE, imputer="mean")
+    line = DPPipeline([DPLinearRegression(BIG, BOUNDS, (-50.0, 30.0), ridge=1e-9)], imputer_epsilon=BIG).fit(rows, ["a", "b"], "y", ["id"], MODE, imputer="mean")
     assert line.score(BIG, MODE).first()["r2"] > 0.99
     clusters = DPPipeline([DPKMeans(5.0, k=2, bounds=BOUNDS)]).fit(rows, ["a", "b"], None, ["id"], MODE)
+    test = clusters.test.toPandas()
+    exact = np.min([((test[["a", "b"]].to_numpy() - c) ** 2).sum(axis=1) for c in clusters.model.centers], axis=0).mean()
+    assert abs(clusters.score(BIG, MODE).first()["mean_squared_distance"] - exact) < 1e-3 * exact
+
+
+def test_scores_and_steps_of_components(rows):
+    plane = DPPipeline([DPPCA(BIG, 1, BOUNDS)]).fit(rows, ["a", "b"], None, ["id"], MODE)
+    x = plane.test.toPandas()[["a", "b"]].to_numpy() - plane.model.mean
+    exact = ((x - (x @ np.array(plane.model.components).T) @ np.array(plane.model.components)) ** 2).sum(axis=1).mean()
+    assert abs(plane.score(BIG, MODE).first()["mean_squared_distance"] - exact) < 1e-2 * exact
+    chain = DPPipeline([DPPCA(BIG, 2, BOUNDS), DPGaussianNB(BIG, {"pc0": (-40.0, 40.0), "pc1": (-40.0, 40.0)}, CLASSES)]).fit(rows, ["a", "b"], "c", ["id"], MODE)
+    assert chain.score(BIG, MODE).first()["accuracy"] > 0.9
     with pytest.raises(InvalidQuery):
-        clusters.score(1.0, MODE)
+        DPPipeline([DPStandardScaler(1.0, BOUNDS)]).fit(rows, ["a", "b"], None, ["id"], MODE).score(1.0, MODE)
+
+
+def test_imputation_of_a_pipeline_is_paid_for(rows):
+    holes = rows.withColumn("a", F.when(F.col("id") % 5 != 0, F.col("a")))
+    steps = [DPLinearRegression(BIG, BOUNDS, (-50.0, 30.0), ridge=1e-9)]
+    assert DPPipeline(steps, imputer_epsilon=2.0).cost().epsilon == BIG + 2.0
+    assert DPPipeline(steps, imputer_epsilon=BIG).fit(holes, ["a", "b"], "y", ["id"], MODE, imputer="mean").test.filter("a is null").count() == 0
+    for imputer, epsilon in (("mean", 0.0), ("median", 1.0), ("most_frequent", 1.0)):
+        with pytest.raises(InvalidQuery):
+            DPPipeline(steps, imputer_epsilon=epsilon).fit(holes, ["a", "b"], "y", ["id"], MODE, imputer=imputer)
+
+
+def test_logistic_regression_stops_at_its_optimum_only(rows):
+    with pytest.raises(Exception, match="no optimum"):
+        DPLogisticRegression(5.0, data_norm=40.0, classes=CLASSES, max_iter=1).fit(rows, ["a", "b"], "c", MODE)
 
 
 def test_refusals(rows):
@@ -110,5 +137,5 @@ def test_short_and_long_forms_agree(spark, rows, monkeypatch):
     monkeypatch.setattr(base, "MAX_SUM_COLUMNS", 0)
     assert forest.fit(holes, "c", MODE, ["id"]).leaves == model.leaves
     assert [[r["prediction"] for r in m.predict(holes).select("prediction").collect()] for m in (model, means)] == expected
-    assert np.allclose(DPLinearRegression(5.0, BOUNDS, (-50.0, 30.0)).fit(rows, "y", MODE).coefficients, line.coefficients, rtol=1e-6)
-    assert np.allclose(DPPCA(5.0, 2, BOUNDS).fit(rows, MODE).explained_variance, components.explained_variance, rtol=1e-6)
+    assert DPLinearRegression(5.0, BOUNDS, (-50.0, 30.0)).fit(rows.repartition(5), "y", MODE).coefficients == line.coefficients
+    assert DPPCA(5.0, 2, BOUNDS).fit(rows.repartition(3), MODE).explained_variance == components.explained_variance

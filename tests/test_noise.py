@@ -69,3 +69,19 @@ def test_text_comparisons_equal_the_uniform(spark):
     for r in rows.collect():
         assert r["below"] == (r["u"] < 0.3) and r["slot"] == int(r["u"] * 7)
     assert hex_mark(0.0) == "0" * 13
+
+
+def test_small_discrete_scales_are_exact():
+    import numpy as np
+
+    from hushframe.functions.noise import secure_draws
+    draws = secure_draws("discrete_laplace", np.array([1e-9] * 20 + [2.0] * 400))
+    assert set(draws[:20]) == {0.0} and 1.5 < np.abs(draws[20:]).mean() < 2.6
+
+
+def test_public_domains_have_no_cap(spark):
+    from hushframe.operators.domain import domain_frame
+    cells = domain_frame(spark, {f"c{i}": list(range(10)) for i in range(12)}, number="id")
+    assert cells.rdd.getNumPartitions() == 100_000 and len(cells.columns) == 13  # generated lazily, far above what fits anywhere
+    exact = domain_frame(spark, {"a": ["x", "y"], "b": list(range(3))}, number="id").orderBy("id").collect()
+    assert [(r.a, r.b) for r in exact] == [(a, b) for a in "xy" for b in range(3)]
