@@ -145,9 +145,10 @@ def test_links_of_shards(spark, block):
     assert classes_of(links, prints) == closure(prints, 4)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [500_000, 10])
+def test_components(spark, chunk):
     edges = [(i, i + 1) for i in range(30)] + [(100, 90), (90, 95), (200, 200)] + [(500, 500 + i) for i in range(1, 40)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u bigint, v bigint"), chunk).collect()}
     assert got == {**{i: 0 for i in range(31)}, **{i: 90 for i in (90, 95, 100)}, **{500 + i: 500 for i in range(40)}}
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
