@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.errors import InvalidQuery, LibraryFailure
-from hushframe.functions.noise import Secure, Seeded
+from hushframe.functions.exact import exact_sum
+from hushframe.functions.noise import Noise, Secure, Seeded, add_noise
+from hushframe.ml import base
 from hushframe.ml.base import Bounds, Estimator, Model, arg_max, check_bounds, noisy_products, noisy_sums, one_row, partition_sums, unit_scaled
 from hushframe.operators.domain import clamped
 
@@ -260,11 +262,20 @@ class DPPCA(Estimator):
         rows = df.select(*[c.alias(f"u{i}") for i, c in enumerate(unit)])
         u = [F.col(f"u{i}") for i in range(d)]
         # one row in the unit ball adds at most sqrt(d) to the first sums and (d + 1) / 2 to the products, in L1
-        first = noisy_sums(rows, {f"s{i}": (c, 1.0) for i, c in enumerate(u)}, self.epsilon / 3.0 * math.sqrt(d), mode, self.tag + "1")
         pairs = [(i, j) for i in range(d) for j in range(i, d)]
-        second = noisy_products(rows, u, pairs, "p", self.epsilon / 3.0 * d, mode, self.tag + "2")
-        count = noisy_sums(rows, {}, self.epsilon / 3.0, mode, self.tag + "0", counts=("n",))
-        row = {**one_row(first).asDict(), **one_row(second).asDict(), **one_row(count).asDict()}
+        firsts = {f"s{i}": (c, 1.0) for i, c in enumerate(u)}
+        if len(pairs) <= base.MAX_SUM_COLUMNS:  # one scan: all sums at once, then the three draws with their own scales
+            products = {f"p_{i}_{j}": (u[i] * u[j], 1.0) for i, j in pairs}
+            exact = rows.agg(F.count(F.lit(1)).alias("n"), *[exact_sum(c, b).alias(k) for k, (c, b) in {**firsts, **products}.items()])
+            third = self.epsilon / 3.0
+            for drawn, scale, tag in ((firsts, d / (third * math.sqrt(d)), "1"), (products, len(pairs) / (third * d), "2"), (["n"], 1.0 / third, "0")):
+                exact = add_noise(exact, [Noise(k, "laplace", scale) for k in drawn], [], mode, self.tag + tag)
+            row = one_row(exact).asDict()
+        else:
+            first = noisy_sums(rows, firsts, self.epsilon / 3.0 * math.sqrt(d), mode, self.tag + "1")
+            second = noisy_products(rows, u, pairs, "p", self.epsilon / 3.0 * d, mode, self.tag + "2")
+            count = noisy_sums(rows, {}, self.epsilon / 3.0, mode, self.tag + "0", counts=("n",))
+            row = {**one_row(first).asDict(), **one_row(second).asDict(), **one_row(count).asDict()}
         n = max(row["n"], 2.0)
         mean = np.array([row[f"s{i}"] / n for i in range(d)])
         product = np.array([[row[f"p_{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])

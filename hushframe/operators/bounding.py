@@ -55,7 +55,8 @@ def keep_smallest(
     if not order:
         raise InvalidQuery("name the columns that identify a row")
     if by and n <= map_side_limit:
-        ranked = Window.partitionBy(*by).orderBy(row_order(order, seed), *order)
+        rest = [c for c in df.columns if c not in order]  # so that a key that is not unique is cut alike whatever the layout
+        ranked = Window.partitionBy(*by).orderBy(row_order(order, seed), *order, *rest)
         return df.withColumn("__rank", F.row_number().over(ranked)).filter(F.col("__rank") <= n).drop("__rank")
 
     keys = [f"__k{i}" for i in range(len(by))]
@@ -83,7 +84,7 @@ def keep_smallest(
         marked = tagged.withColumns({"__cut": F.lit(found["__cut"]), "__left": F.lit(found["__left"])})
     whole = marked.filter(F.col("__cut").isNull() | (F.col("__bucket") < F.col("__cut"))).select(*df.columns)
 
-    within = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__hash", *df.columns)
+    within = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__hash", *order, *[c for c in df.columns if c not in order])
     edge = (
         marked.filter(F.col("__bucket") == F.col("__cut"))
         .groupBy(*keys, "__hash", "__left", *df.columns)
