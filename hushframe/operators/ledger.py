@@ -100,7 +100,7 @@ def admit(requests: DataFrame, budgets: DataFrame, hot_requests: int = HOT_REQUE
     priced = requests.join(budget, KEYS, "left").withColumns(
         {"__e": amount("cost_epsilon", "epsilon"), "__d": amount("cost_delta", "delta")})
     affordable = F.coalesce((F.col("__e") <= F.col("__be")) & (F.col("__d") <= F.col("__bd")), F.lit(False))
-    open_ = priced.filter(affordable).select(*KEYS, "request_id", "__e", "__d", "__be", "__bd")
+    open_ = written(priced.filter(affordable).select(*KEYS, "request_id", "__e", "__d", "__be", "__bd"), "admission-open")  # priced once
 
     sizes = open_.groupBy(*KEYS).agg(F.count("*").alias("__n"))
     hot_keys = sizes.filter(F.col("__n") > hot_requests).select(*KEYS)
