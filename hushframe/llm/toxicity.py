@@ -32,6 +32,7 @@ SAMPLE = 20_000
 LEXICON = 2_000
 BEGINNINGS = (4, 5, 6, 7)  # bytes of a word that may be a term
 STRONG = 3.0  # least weight of a strong term
+KEPT_WORDS = 200_000  # words whose weight a task keeps at hand
 TERMS = 300_000  # terms that a task counts before it passes them on
 FOLDS = 4
 HELD_OUT = 2
@@ -56,24 +57,29 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(PLAIN).split()
 
 
-class Lexicon:
-    """Terms with their weights: whole words end in a space, word beginnings do not."""
+class Lexicon(dict):
+    """Weight of the strongest term of a word, 0 without one; looked up once per word and then kept.
+
+    Terms are whole words, which end in a space, and word beginnings, which do not.
+    """
 
     def __init__(self, weights: dict[bytes, float]):
+        super().__init__()
         self.weights = weights
-        self.heads = frozenset(t[:4] for t in weights)
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        get = self.weights.get
+        weight = self[word] = max(get(word + b" ", 0.0), *[get(word[:k], 0.0) for k in BEGINNINGS])
+        return weight
+
+    def __reduce__(self):
+        return Lexicon, (self.weights,)
 
     def found(self, words: list[bytes]) -> list[tuple[int, float]]:
-        """(place, weight of the strongest term) of every word that has one."""
-        heads, get = self.heads, self.weights.get
-        short = {h for h in heads if len(h) < 4 or h.endswith(b" ")}
-        out = []
-        for i, w in enumerate(words):
-            if w[:4] in heads or short and w + b" " in short:
-                weight = max(get(w + b" ", 0.0), *[get(w[:k], 0.0) for k in BEGINNINGS])
-                if weight:
-                    out.append((i, weight))
-        return out
+        """(place, weight) of every word that has a term."""
+        return [(i, weight) for i, weight in enumerate(map(self.__getitem__, words)) if weight]
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
