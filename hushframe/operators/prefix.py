@@ -23,7 +23,9 @@ def order_edges(df: DataFrame, order: list[str]) -> list[list]:
     cuts = [F.percentile_approx(F.col(c).cast("double"), shares, 4 * MOST).alias(f"e{i}") for i, c in enumerate(order[:2])]
     row = df.agg(F.count("*").alias("n"), *cuts).first()
     step = max(1, MOST // max(FEWEST, -(-row["n"] // CHUNK_ROWS)))
-    return [sorted(set((row[f"e{i}"] or [])[step - 1::step])) for i in range(len(cuts))]
+    found = [(row[f"e{i}"] or [])[step - 1::step] for i in range(len(cuts))]
+    shared = len(set(found[0])) < len(found[0])  # only values that many rows share need the second column
+    return [sorted(set(f)) for f in (found if shared else found[:1])]
 
 
 def chunk_of(order: list[str], edges: list[list]) -> Column:
@@ -32,9 +34,9 @@ def chunk_of(order: list[str], edges: list[list]) -> Column:
     Rows that share an edge's value of the first column are cut by the second one, so that equal values of the
     first column, however many, do not stay together.
     """
-    first = F.coalesce(edge_position(F.col(order[0]), edges[0]), F.lit(0)) if edges[0] else F.lit(0)
     if len(edges) < 2 or not edges[1]:
-        return first.cast("bigint")
+        return F.coalesce(edges_at_or_below(F.col(order[0]).cast("double"), edges[0]), F.lit(0)).cast("bigint")
+    first = F.coalesce(edge_position(F.col(order[0]), edges[0]), F.lit(0))
     second = F.coalesce(edges_at_or_below(F.col(order[1]).cast("double"), edges[1]), F.lit(0))
     return (first * (len(edges[1]) + 1)).cast("bigint") + F.when(first % 2 == 1, second).otherwise(F.lit(0))
 
