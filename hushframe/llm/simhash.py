@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.llm.bktree import shard_links
@@ -58,17 +58,18 @@ def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int = 4, seed: int = 42) -> DataFrame:
-    """(id, print): one row per document, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int = 4, seed: int = 42, row: str | None = None) -> DataFrame:
+    """(id, print) and, if named, (row): one row per document, the fingerprint as a signed long."""
     kind = docs.schema[id].dataType
-    schema = f"id {kind.simpleString()}, print bigint"
+    more = [] if row is None else ["row"]
+    schema = f"id {kind.simpleString()}, print bigint" + ", row bigint" * len(more)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = pa.array([signed(fingerprint(t.as_py(), words, seed)) for t in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), prints], ["id", "print"])
+            yield pa.RecordBatch.from_arrays([b.column(0), prints, *b.columns[2:]], ["id", "print", *more])
 
-    return docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), *[F.col(f"`{row}`").alias(m) for m in more]).mapInArrow(run, schema)
 
 
 def block_masks(distinct: int, radius: int) -> list[int]:
@@ -115,12 +116,17 @@ def link_prints(prints: DataFrame, radius: int = 4, block: int = BLOCK) -> DataF
     return placed.mapInArrow(run, "u bigint, v bigint")
 
 
+def print_roots(prints: DataFrame, radius: int, block: int) -> DataFrame:
+    """Distinct ``print`` values to (print, root)."""
+    roots = components(link_prints(prints.select("print"), radius, block))
+    return prints.join(roots, prints["print"] == roots["node"], "left").withColumn("root", F.coalesce("root", "print")).drop("node")
+
+
 def near_groups(docs: DataFrame, radius: int = 4, words: int = 4, text: str = "text", id: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """One row per document: id, print, component (smallest id reachable over links, its own included)."""
     slim = written(fingerprints(docs, text, id, words), "simhash")
     groups = written(slim.groupBy("print").agg(F.min("id").alias("lo"), F.count("*").alias("n")), "simhash-groups")
-    roots = components(link_prints(groups.select("print"), radius, block))
-    rooted = groups.join(roots, groups["print"] == roots["node"], "left").withColumn("root", F.coalesce("root", "print"))
+    rooted = print_roots(groups, radius, block)
     least = rooted.groupBy("root").agg(F.min("lo").alias("component"))
     labels = written(rooted.select("print", "root", "n").join(least, "root").select("print", "component", "n"), "simhash-labels")
     hot = written(labels.filter(F.col("n") * HOT >= slim.count()).select("print", "component"), "simhash-hot")
@@ -129,17 +135,31 @@ def near_groups(docs: DataFrame, radius: int = 4, words: int = 4, text: str = "t
     return direct.filter(F.col("component").isNotNull()).unionByName(rest)
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """(d, row): the rows of ``docs`` as structs, each with a number of its own; stored, so that it keeps it."""
+    d = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")
+    return written(docs.select(d, F.monotonically_increasing_id().alias("row")), "dedup-rows")
+
+
+def first_of_class(stored: DataFrame, labelled: DataFrame, columns: list[str]) -> DataFrame:
+    """The row of each ``root`` with the smallest (id, row), null ids last; ``labelled`` has row, id and root of all rows."""
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    stays = labelled.groupBy("root").agg(best.alias("best")).select("best.row")
+    return stored.join(stays, "row", "left_semi").select(*[F.col(f"d.`{c}`") for c in columns])
+
+
 def simhash_dedup(docs: DataFrame, radius: int = 4, words: int = 4, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """One document of each group stays, the one with the smallest id, with all its columns.
+    """One row of each group stays, the one with the smallest id, with all its columns.
 
-    An id names one document: of rows that share a staying id one stays.
+    Rows decide for themselves: null and repeated ids take no row of another group along.  Of a group's rows without
+    an id, or with the same smallest id, the first one as stored stays.
     """
-    groups = near_groups(docs, radius, words, text, id)
-    stays = groups.filter(F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col(f"`{id}`").alias("key"))
-    held = rows.join(stays, F.col("key").eqNullSafe(F.col("id")), "left_semi")
-    first = held.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(f"d.`{text}`")))).filter("place = 1")
-    return first.select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    stored = with_rows(docs)
+    slim = fingerprints(stored.select("row", F.col(f"d.`{id}`").alias("id"), F.col(f"d.`{text}`").alias("text")), "text", "id", words, row="row")
+    slim = written(slim, "simhash")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))  # a print's rows meet as partial minima
+    groups = written(slim.groupBy("print").agg(best.alias("best")).select("print", "best.id", "best.row"), "simhash-groups")
+    return first_of_class(stored, print_roots(groups, radius, BLOCK), docs.columns)
 
 
 @query("op2_simhash")
