@@ -10,7 +10,7 @@ document at the cut in part.  Ties and hot sources: the order is by md5 of (seed
 two levels (buckets of the order, then documents of the one bucket that holds the cut), so a source with a third
 of all rows is no single task's work.
 
-Defined results: null text has size 0; null ids are one id; null sources are one source, the last; documents of
+Defined results: null text has size 0; null ids are one id in ``mixed`` and rows of their own in ``mix_documents``; null sources are one source, the last; documents of
 size 0 take 0 words; an empty table gives an empty table.  Only DataFrame functions are used.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hushframe.llm.catalog import query, table
+from hushframe.llm.simhash import with_rows
 from hushframe.session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,10 +57,17 @@ def water_filling(sizes: DataFrame, weights: list[int], share: float, max_epochs
 
 
 def mixed(docs: DataFrame, weights: list[int] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 0,
-          text: str = "text", id: str = "doc_id", source: str = "source") -> DataFrame:
-    """One row per document: id, source, size, source_size, target, whole (repetitions), part (words of one more), taken."""
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(f"`{id}`").cast("string"), F.lit(""))))
-    slim = written(docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), key.alias("key")), "mix-sizes")
+          text: str = "text", id: str = "doc_id", source: str = "source", row: str | None = None) -> DataFrame:
+    """One row per document: id, source, size, source_size, target, whole (repetitions), part (words of one more), taken.
+
+    ``row`` names a column that numbers the rows.  It is then kept as ``row`` and ends the order, and rows without an
+    id are ordered by a hash of their text, which spreads them over the buckets.
+    """
+    more = [] if row is None else ["row"]
+    name = F.coalesce(F.col(f"`{id}`").cast("string"), F.concat(F.lit("|"), F.xxhash64(f"`{text}`").cast("string")) if more else F.lit(""))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), name))
+    slim = written(docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"),
+                               key.alias("key"), *[F.col(f"`{row}`").alias(m) for m in more]), "mix-sizes")
     bucket = F.substring("key", 1, BUCKET_DIGITS)
     buckets = slim.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
     filled = water_filling(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), list(weights), share, max_epochs)
@@ -74,11 +82,11 @@ def mixed(docs: DataFrame, weights: list[int] = (5, 2, 1), share: float = 1.5, m
     rows = rows.join(marks, F.col("s").eqNullSafe(F.col("source")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
     state = F.when(F.col("start") + F.col("words") <= F.col("extra"), 1).when(F.col("start") >= F.col("extra"), -1).otherwise(0)
     rows = rows.withColumn("state", state)
-    order = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", *more).rowsBetween(Window.unboundedPreceding, -1)
     cut = rows.filter("state = 0").withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     cut = cut.withColumn("part", F.least("size", F.greatest(F.lit(0), F.col("extra") - F.col("at"))))
     sure = rows.filter("state <> 0").withColumn("part", F.when(F.col("state") > 0, F.col("size")).otherwise(F.lit(0)))
-    columns = ["id", "source", "size", "source_size", "target", "whole", F.col("part").cast("bigint").alias("part")]
+    columns = ["id", "source", "size", "source_size", "target", "whole", F.col("part").cast("bigint").alias("part"), *more]
     out = sure.select(*columns).unionByName(cut.select(*columns))
     return out.withColumn("taken", F.col("whole") * F.col("size") + F.col("part"))
 
@@ -88,13 +96,13 @@ def mix_documents(docs: DataFrame, weights: list[int] = (5, 2, 1), share: float
     """The mix itself: rows of ``docs`` as often as they are taken.
 
     A document taken in part once more appears whole, so a source overshoots its target by less than one document.
-    Copies are equal rows.  Rows of one id are one document's: each is repeated as often as the id's row of the same size.
+    Copies are equal rows.  Every row has its own number of copies, whatever its id.
     """
-    plan = mixed(docs, weights, share, max_epochs, seed, text, id, source)
-    times = plan.groupBy("id", "source", "size").agg(F.max(F.col("whole") + (F.col("part") > 0).cast("bigint")).alias("times")).filter("times > 0")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), word_count(F.col(f"`{text}`")).alias("n"))
-    same = F.col(f"d.`{id}`").eqNullSafe(F.col("id")) & F.col(f"d.`{source}`").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size"))
-    taken = rows.join(times, same).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
+    stored = with_rows(docs)
+    plan = mixed(stored.select("row", *[F.col(f"d.`{c}`").alias(n) for c, n in ((text, "text"), (id, "id"), (source, "source"))]),
+                 weights, share, max_epochs, seed, "text", "id", "source", "row")
+    times = plan.select("row", (F.col("whole") + (F.col("part") > 0).cast("bigint")).alias("times")).filter("times > 0")
+    taken = stored.join(times, "row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
     return taken.select(*[F.col(f"d.`{c}`") for c in docs.columns])
 
 

@@ -119,3 +119,18 @@ def test_mix_meets_its_targets(spark):
         words[r.source] = words.get(r.source, 0) + len((r.text or "").split())
     assert all(abs(words[s] - target[s]) <= 120 for s in target)  # rows of a repeated id, and one whole document, more
     assert mixed(df.limit(0)).count() == mix_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("id", [None, 7])
+def test_rows_without_an_id_of_their_own_do_not_overshoot(spark, id):
+    docs = [(id, "s", f"w{i} " + "w " * 9, i) for i in range(600)] + [(i, "t", "w " * 10, i) for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string, row int").repartition(4)
+    out = mix_documents(df)
+    assert out.columns == df.columns
+    target = {r.source: r.target for r in mixed(df).select("source", "target").distinct().collect()}
+    words, times = {}, {}
+    for r in out.collect():
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+        times[r.source, r.row] = times.get((r.source, r.row), 0) + 1
+    assert all(0 <= words[s] - target[s] <= 10 for s in target)
+    assert {n for (s, _), n in times.items() if s == "t"} <= {1, 2}
