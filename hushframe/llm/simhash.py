@@ -33,6 +33,7 @@ BITS = 64
 SHARD = 256  # mean fingerprints of a shard
 BLOCK = 50_000  # fingerprints of one tree
 CHUNK = 1 << 16  # shingles whose bits are counted at a time
+MAP = 1 << 19  # words of a map of rows
 HOT = 1024  # a fingerprint with this part of all rows is hot; there are at most so many
 
 
@@ -141,11 +142,27 @@ def with_rows(docs: DataFrame) -> DataFrame:
     return written(docs.select(d, F.monotonically_increasing_id().alias("row")), "dedup-rows")
 
 
+def perhaps_in(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds ``perhaps``: false only if the row's number is not in ``rows``.  A map of ``MAP`` words at most is broadcast."""
+    bit = F.pmod(F.xxhash64("row"), F.lit(64 * MAP))
+    flag = F.expr("shiftleft(1L, cast(__bit % 64 as int))")
+    words = rows.select(bit.alias("__bit")).groupBy(F.floor(F.col("__bit") / 64).alias("__word")).agg(F.bit_or(flag).alias("__bits"))
+    found = df.withColumn("__bit", bit).withColumn("__word", F.floor(F.col("__bit") / 64)).join(F.broadcast(words), "__word", "left")
+    return found.withColumn("perhaps", F.coalesce(F.col("__bits").bitwiseAND(flag) != 0, F.lit(False))).drop("__bit", "__word", "__bits")
+
+
 def first_of_class(stored: DataFrame, labelled: DataFrame, columns: list[str]) -> DataFrame:
-    """The row of each ``root`` with the smallest (id, row), null ids last; ``labelled`` has row, id and root of all rows."""
+    """The row of each ``root`` with the smallest (id, row), null ids last; ``labelled`` has row, id and root of the rows that may leave.
+
+    Rows of ``stored`` that ``labelled`` does not name stay.  Of all rows only those that may leave are shuffled.
+    """
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    stays = labelled.groupBy("root").agg(best.alias("best")).select("best.row")
-    return stored.join(stays, "row", "left_semi").select(*[F.col(f"d.`{c}`") for c in columns])
+    stays = labelled.groupBy("root").agg(best.alias("best")).select("root", F.col("best.row").alias("stays"))
+    leaves = written(labelled.join(stays, "root").filter("row <> stays").select("row"), "dedup-leaves")
+    flagged = perhaps_in(stored, leaves)
+    sure = flagged.filter("not perhaps").select("d")
+    rest = flagged.filter("perhaps").join(leaves, "row", "left_anti").select("d")
+    return sure.unionByName(rest).select(*[F.col(f"d.`{c}`") for c in columns])
 
 
 def simhash_dedup(docs: DataFrame, radius: int = 4, words: int = 4, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -157,9 +174,9 @@ def simhash_dedup(docs: DataFrame, radius: int = 4, words: int = 4, text: str =
     stored = with_rows(docs)
     slim = fingerprints(stored.select("row", F.col(f"d.`{id}`").alias("id"), F.col(f"d.`{text}`").alias("text")), "text", "id", words, row="row")
     slim = written(slim, "simhash")
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))  # a print's rows meet as partial minima
-    groups = written(slim.groupBy("print").agg(best.alias("best")).select("print", "best.id", "best.row"), "simhash-groups")
-    return first_of_class(stored, print_roots(groups, radius, BLOCK), docs.columns)
+    groups = written(slim.select("print").distinct(), "simhash-groups")
+    labelled = slim.join(print_roots(groups, radius, BLOCK), "print").select("row", "id", "root")
+    return first_of_class(stored, labelled, docs.columns)
 
 
 @query("op2_simhash")
