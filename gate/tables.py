@@ -19,7 +19,7 @@ from hushframe.operators.measure import Measure
 from hushframe.operators.order_stats import exact_quantiles
 from hushframe.plans.primitives import avg, count, std
 from hushframe.session import fresh_path
-from hushframe.sources.dummy import CHARACTERS, dummy
+from hushframe.sources.dummy import CHARACTERS, dummy_like
 from hushframe.sources.release import read_release, write_release
 from hushframe.sources.tables import conformance, from_frame, iso_datetimes, read_private, split_lines, typed_decode
 
@@ -83,8 +83,8 @@ _HOLES = " or ".join(f"id = floor({uni('flag|null', [], chr(39) + str(i) + chr(3
  case when not ({_HOLES}) then {_drawn('flag')} < 0.5 end as flag, {out(f'10::double + 10::double * {_drawn('small')}', 'small')},
  (100 + floor({_drawn('big')} * 21))::bigint as big, strftime(timestamp '2000-01-01' + to_days(floor({_drawn('day')} * 3654)::int), '%Y-%m-%dT%H:%M:%S') as day from r""")
 def _(spark, sf):
-    n = table(spark, sf, "customer").count()
-    return iso_datetimes(rounded(dummy(spark, _DUMMY, n, 42, keep_id=True)))
+    customers = table(spark, sf, "customer")
+    return iso_datetimes(rounded(dummy_like(customers, "c_custkey", _DUMMY, 42, customers.count())))
 
 
 @query("split_lines", "select c_custkey::varchar as c_custkey, c_name, c_mktsegment from customer")

@@ -26,10 +26,13 @@ def dummy(spark: SparkSession, meta: TableMeta, n: int = DEFAULT_ROWS, seed: int
     return rows.select(*(["id"] if keep_id else []), *values)
 
 
-def dummy_like(rows: DataFrame, id_column: str, meta: TableMeta, seed: int = DEFAULT_SEED) -> DataFrame:
-    """One dummy row per row of an existing table (same count), without reading its values."""
+def dummy_like(rows: DataFrame, id_column: str, meta: TableMeta, seed: int = DEFAULT_SEED, n: int = 0) -> DataFrame:
+    """One dummy row per row of an existing table (same count), without reading its values but the id.
+
+    Given ``n``, nullable columns have the nulls of a dummy table of ids below ``n``.
+    """
     keyed = rows.select(F.col(id_column).alias("id"))
-    return keyed.select("id", *[_value(c, seed).cast(c.spark_type).alias(c.name) for c in meta.columns.values()])
+    return keyed.select("id", *[_nulls(_value(c, seed), c, n, seed).cast(c.spark_type).alias(c.name) for c in meta.columns.values()])
 
 
 def _pick(values: list, u: SparkColumn) -> SparkColumn:

@@ -10,7 +10,7 @@ from hushframe.metadata import TableMeta
 from hushframe.operators import clean as C
 from hushframe.operators import post as P
 from hushframe.operators.order_stats import exact_quantiles
-from hushframe.sources.dummy import dummy
+from hushframe.sources.dummy import dummy, dummy_like
 from hushframe.sources.tables import from_frame, read_private
 
 META = TableMeta.from_dict({"columns": {
@@ -143,3 +143,9 @@ def test_t_test_against_textbook(spark):
     pooled = (11 * 4 + 14 * 9) / 25
     assert abs(out[("a", "b")]["t"] - (-2 / (pooled * (1 / 12 + 1 / 15)) ** 0.5)) < 1e-12
     assert len(out) == 3 and out[("b", "c")]["significant"]
+
+
+def test_dummy_like_has_the_rows_of_the_given_keys(spark):
+    whole = {r.id: r for r in dummy(spark, META, 50, 7, keep_id=True).collect()}
+    got = dummy_like(spark.range(50).filter("id % 3 = 0").withColumnRenamed("id", "k"), "k", META, 7, 50).collect()
+    assert {r.id: r for r in got} == {i: r for i, r in whole.items() if i % 3 == 0}
