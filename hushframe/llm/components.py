@@ -5,7 +5,7 @@ Links never leave the cluster, and no task holds more than about ``CHUNK`` of th
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,24 +50,24 @@ def _small(pairs: DataFrame) -> DataFrame:
     return around.unionByName(pairs.select("u", F.col("m").alias("v")))
 
 
-def components(links: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def components(links: DataFrame, chunk: int = CHUNK, store: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """(u, v) to (node, root): every node of a link with the smallest node it reaches.
 
     Links that fit one chunk are settled there.  More are contracted chunk by chunk and then star by star until
     nothing changes; rounds are few (about the square of the logarithm of the nodes at worst).  Each is stored in
     the shared folder, which cuts the lineage and survives lost executors.  A star's centre may hold most links: its
-    minimum is combined map-side, and the join on it is one that adaptive execution splits.
+    minimum is combined map-side, and the join on it is one that adaptive execution splits.  ``store`` writes a round's table.
     """
     down = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    links = written(links.select("u", "v"), "links")
+    links = store(links.select("u", "v"), "links")
     parts = -(-links.count() // chunk)
-    links = written(contracted(links, max(1, parts)), "links")
+    links = store(contracted(links, max(1, parts)), "links")
     if parts > 1:
         before, now = None, _mark(links)
         while before != now:
             both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            large = written(down(_star(both, _large)), "links")
-            links = written(down(_star(large, _small)), "links")
+            large = store(down(_star(both, _large)), "links")
+            links = store(down(_star(large, _small)), "links")
             before, now = now, _mark(links)
     found = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return found.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

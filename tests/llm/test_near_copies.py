@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from hushframe.llm.near_copies import Cluster, near_dedup, prefix_length, shingles
+from hushframe.llm.near_copies import near_dedup
+from hushframe.llm.shingle_sets import Cluster, prefix_length, shingles
 from hushframe.llm.simhash import fingerprint, simhash_dedup
 
 SCHEMA = "doc_id bigint, text string, root string, row string, id int, `a.b` array<int>"
