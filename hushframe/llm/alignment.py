@@ -1,9 +1,8 @@
 """Cross-tokenizer alignment by divide and conquer at shared cuts.
 
 A text is encoded by two tokenizers.  The byte offsets where tokens of both end are its cuts; between two neighbouring
-cuts lies a group of tokens of both.  An interval is split at a shared end near its middle: the middle is located by
-bisect among the ends of A, the ends around it are looked up by bisect among those of B, nearest first in rings that
-double, and both halves go on.  An interval without a shared end inside is a leaf, that is a group.  All open intervals
+cuts lies a group of tokens of both.  An interval is split at a shared end near its middle: the end of A's middle token
+is looked up by bisect among the ends of B, then those around it, nearest first in rings that double, and both halves go on.  An interval without a shared end inside is a leaf, that is a group.  All open intervals
 of a batch of texts are split at once, so the depth is the logarithm of the longest text.
 
 Two tokens are linked where their bytes end together, which is at the end of a group, since no token is without bytes.
@@ -22,6 +21,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,6 @@ from hushframe.session import written
 FREQUENT = 1 << 16  # pairs that reach every task
 SLICE = 1 << 20  # bytes of text aligned at a time, or one text
 HELD = 1 << 21  # pairs that a task adds up before it hands them on
-RING = 4  # ends looked up at first around the middle; twice as many each time
 
 
 class Side:
@@ -90,34 +89,38 @@ def shared_cuts(a: np.ndarray, b: np.ndarray, spans: np.ndarray) -> np.ndarray:
         short = (spans[:, 1] - spans[:, 0] < 2) | (spans[:, 3] - spans[:, 2] < 2)
         leaves.append(spans[short])
         spans = spans[~short]
-        if not len(spans):
-            break
         a0, a1, b0, b1 = spans.T
-        low = np.where(a0 > 0, a[a0 - 1], 0)
-        middle = np.clip(np.searchsorted(a, (low + a[a1 - 1]) // 2), a0, a1 - 2)
-        cut, todo, inner, outer = np.full(len(spans), -1), np.arange(len(spans)), 0, RING
-        while len(todo):
-            m, first, last = middle[todo], a0[todo], a1[todo] - 2
-            left, right = np.maximum(first, m - outer + 1), np.minimum(last, m + outer - 1)
-            starts = np.concatenate([left, m + max(inner, 1)])
-            lengths = np.maximum(0, np.concatenate([m - inner - left + 1, right - m - max(inner, 1) + 1]))
-            at, owner = ranges(starts, lengths), np.repeat(np.concatenate([todo, todo]), lengths)
-            ends = a[at]
-            there = b[np.minimum(np.searchsorted(b, ends), len(b) - 1)] == ends
-            at, owner = at[there], owner[there]
-            nearest = np.lexsort((at, np.abs(at - middle[owner]), owner))
-            owner, one = np.unique(owner[nearest], return_index=True)
-            cut[owner] = at[nearest][one]
-            open_ = (cut[todo] < 0) & ((left > first) | (right < last))
-            todo, inner, outer = todo[open_], outer, outer * 2
-        leaves.append(spans[cut < 0])
-        spans, cut = spans[cut >= 0], cut[cut >= 0]
+        cut = (a0 + a1 - 1) >> 1
         other = np.searchsorted(b, a[cut])
-        spans = np.concatenate([np.stack([spans[:, 0], cut + 1, spans[:, 2], other + 1], 1), np.stack([cut + 1, spans[:, 1], other + 1, spans[:, 3]], 1)])
-    found = np.concatenate(leaves) if leaves else np.empty((0, 4), np.int64)
+        shared = b[other] == a[cut]
+        if not shared.all():
+            around(a, b, spans, np.flatnonzero(~shared), cut, other, shared)
+        if not shared.all():
+            leaves.append(spans[~shared])
+            a0, a1, b0, b1, cut, other = (x[shared] for x in (a0, a1, b0, b1, cut, other))
+        spans = np.stack([a0, cut + 1, b0, other + 1, cut + 1, a1, other + 1, b1], 1).reshape(-1, 4)  # halves stay in order
+    found = np.concatenate(leaves) if leaves else spans
     return found[np.argsort(found[:, 0], kind="stable")]
 
 
+def around(a: np.ndarray, b: np.ndarray, spans: np.ndarray, todo: np.ndarray, cut: np.ndarray, other: np.ndarray, shared: np.ndarray) -> None:
+    """For the intervals ``todo``, whose middle is no shared end, the shared end nearest to it: sets cut, other and shared."""
+    middle, inner, outer = cut.copy(), 1, 3
+    while len(todo):
+        m, first, last = middle[todo], spans[todo, 0], spans[todo, 1] - 2
+        left, right = np.maximum(first, m - outer + 1), np.minimum(last, m + outer - 1)
+        lengths = np.maximum(0, np.concatenate([m - inner - left + 1, right - m - inner + 1]))
+        at, owner = ranges(np.concatenate([left, m + inner]), lengths), np.repeat(np.concatenate([todo, todo]), lengths)
+        found = np.searchsorted(b, a[at])
+        there = b[found] == a[at]
+        at, owner, found = at[there], owner[there], found[there]
+        nearest = np.lexsort((np.abs(at - middle[owner]), owner))
+        owner, one = np.unique(owner[nearest], return_index=True)
+        cut[owner], other[owner], shared[owner] = at[nearest][one], found[nearest][one], True
+        todo = todo[~shared[todo] & ((left > first) | (right < last))]
+        inner, outer = outer, outer * 2
+
+
 class Aligned:
     """Alignment of some texts, one after the other: ids, groups and the groups' first and last text."""
 
@@ -133,7 +136,7 @@ class Aligned:
                 whole = b" " + text.encode("utf-8", "surrogatepass")
                 own[k] = (x, y) if a.bytes_of(x) == whole and b.bytes_of(y) == whole else none
         self.n_a, self.n_b = (np.array([len(o[s]) for o in own], np.int64) for s in (0, 1))
-        self.a, self.b = (np.array([i for o in own for i in o[s]], np.int64) for s in (0, 1))
+        self.a, self.b = (np.fromiter(chain.from_iterable(o[s] for o in own), np.int64) for s in (0, 1))
         stop_a, stop_b = np.cumsum(self.n_a), np.cumsum(self.n_b)
         spans = np.stack([stop_a - self.n_a, stop_a, stop_b - self.n_b, stop_b], 1)
         self.groups = shared_cuts(np.cumsum(a.sizes[self.a]), np.cumsum(b.sizes[self.b]), spans[self.n_a > 0])
