@@ -10,9 +10,7 @@ from hushframe.ml.chain import DPPipeline
 from hushframe.ml.groups import DPDecisionTree, DPGaussianNB, DPKMeans, DPRandomForest
 from hushframe.ml.linear import DPPCA, DPLinearRegression, DPLogisticRegression, DPStandardScaler
 from hushframe.synth.fidelity import fidelity
-from hushframe.synth.forest import aim, fit_mst, mst, sample
 from hushframe.synth.prepare import synth_encode
-from hushframe.synth.weights import mwem
 
 QB, PB, DB = (0.0, 50.0), (0.0, 100000.0), (0.0, 0.1)
 QU, PU, DU = unit("l_quantity", *QB), unit("l_extendedprice", *PB), unit("l_discount", *DB)
@@ -308,32 +306,6 @@ def _(spark, sf):
     return encoded.decode(encoded.codes)
 
 
-@query("mwem_sample")
-def _(spark, sf):
-    customers = table(spark, sf, "customer")
-    model = mwem(customers, CUSTOMER, _COLS, 4.0, MODE, iterations=5, rows=customers.count())
-    return sample(model, spark, customers.count(), seed=3)
-
-
-@query("mst_sample")
-def _(spark, sf):
-    customers = table(spark, sf, "customer")
-    return mst(customers, CUSTOMER, _COLS, 2.0, 1e-5, MODE, n=customers.count(), seed=3)
-
-
-@query("aim_sample")
-def _(spark, sf):
-    customers = table(spark, sf, "customer")
-    return sample(aim(customers, CUSTOMER, _COLS, 2.0, 1e-5, MODE), spark, customers.count(), seed=3)
-
-
-@query("conditional_sample")
-def _(spark, sf):
-    customers = table(spark, sf, "customer")
-    model = fit_mst(customers, CUSTOMER, _COLS, 2.0, 1e-5, MODE)
-    return sample(model, spark, customers.count() // 10, "c_acctbal > 5000 AND c_mktsegment = 'BUILDING'", seed=3)
-
-
 @query("fidelity_report", f"""with a as (select {_CODES} from customer where c_custkey % 2 = 0), b as (select {_CODES} from customer where c_custkey % 2 = 1),
  la as (select 'c_nationkey' as "column", c_nationkey as code from a union all select 'c_acctbal', c_acctbal from a union all select 'c_mktsegment', c_mktsegment from a),
  lb as (select 'c_nationkey' as "column", c_nationkey as code from b union all select 'c_acctbal', c_acctbal from b union all select 'c_mktsegment', c_mktsegment from b),

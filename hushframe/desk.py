@@ -27,7 +27,9 @@ from hushframe.operators.measure import Measure
 from hushframe.plans.accounting import Cost
 from hushframe.session import fresh_path, written
 from hushframe.sources.dummy import DEFAULT_ROWS, DEFAULT_SEED, dummy
-from hushframe.synth.forest import aim, fit_mst, sample
+from hushframe.synth.aim import aim
+from hushframe.synth.factors import sample
+from hushframe.synth.mst import fit_mst
 from hushframe.synth.prepare import DEFAULT_SAMPLES, check_request
 from hushframe.synth.weights import mwem
 
