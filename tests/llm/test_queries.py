@@ -10,6 +10,8 @@ COLUMNS = {
     "op1": "doc_id keep_id group_size kept text_sha256", "op2": "doc_id fingerprint component_id",
     "op3": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op4": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op5": "doc_id held_out score predicted", "op6": "doc_id piece start length ids_crc32 sequence_id offset", "op7": "doc_id n_words n_removed kept_sha256",
+    "op11": "anchor_id positive_id rank negative_id positive_score negative_score", "op12": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op13": "doc_id n_shingles component_id kept",
     "op8": "page_id url text n_chars", "op9": "doc_id size source_size target taken", "op10": "page_id payload_bytes payload_digest record_type refers_to",
 }
 
