@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from gate.core import query, table
 from hushframe.operators import ledger as L
 from hushframe.operators import registry as R
+from hushframe.operators.archive_log import ArchiveLog
 from hushframe.operators.post import top
 from hushframe.plans.accounting import invalid_requests, price
+from hushframe.session import fresh_path
 
 # A request per event: user and dataset from the event, cost from its value.  A user holds every dataset they
 # asked for except the one whose number equals their own modulo five; the last dataset is not registered.
@@ -204,8 +206,6 @@ def _(spark, sf):
 @query("archive_append", (
     "select event_type as dataset_name, count(*)::bigint as n, count(distinct user_id)::bigint as n_users from events group by 1"))
 def _(spark, sf):
-    from hushframe.session import fresh_path
-
     path, entries = fresh_path(spark, "archive"), archive(spark, sf)
     L.append_archive(entries.filter("dp_librairy = 'opendp'"), path)
     L.append_archive(entries.filter("dp_librairy <> 'opendp'"), path)
@@ -213,6 +213,19 @@ def _(spark, sf):
     return stored.groupBy("dataset_name").agg(F.count("*").alias("n"), F.countDistinct("user_name").alias("n_users"))
 
 
+@query("archive_log", (
+    "select ['smartnoise_sql','smartnoise_synth','opendp','diffprivlib'][event_id % 4 + 1] as family, event_type as dataset_name, count(*)::bigint as n, "
+    "count(distinct user_id)::bigint as n_users, round(sum(value), 4) as spent_epsilon from events group by 1, 2"))
+def _(spark, sf):
+    """A bulk commit per family, folded into parts on the way; what the log then holds."""
+    entries = archive(spark, sf)
+    log = ArchiveLog(spark, fresh_path(spark, "archive-log"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in entries.schema.fields), every=2)
+    for family in L.FAMILY_SCHEMAS:
+        log.commit_frame(entries.filter(F.col("dp_librairy") == family))
+    rows = log.read()[1].groupBy(F.col("dp_librairy").alias("family"), "dataset_name")
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("user_name").alias("n_users"), F.round(F.sum(L.amount("spent_epsilon", "epsilon")), 4).cast("double").alias("spent_epsilon"))
+
+
 @query("decode_archive", """select event_id as entry_id, ['smartnoise_sql','smartnoise_synth','opendp','diffprivlib'][event_id % 4 + 1] as family, event_type as dataset_name,
  case when event_id % 4 = 0 then 'SELECT COUNT(*) AS n FROM df WHERE k = ' || event_id end as query_str,
  case when event_id % 4 = 1 then case when event_id % 8 = 1 then 'mst' else 'aim' end end as synth_name,

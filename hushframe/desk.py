@@ -22,7 +22,8 @@ from hushframe.functions.noise import Secure, Seeded
 from hushframe.metadata import TableMeta
 from hushframe.ml.chain import DPPipeline
 from hushframe.operators.aggregate import PrivateQuery
-from hushframe.operators.ledger import append_archive, latest_query, previous_queries, remaining_budget, require_budget
+from hushframe.operators.archive_log import ArchiveLog
+from hushframe.operators.ledger import latest_query, previous_queries, remaining_budget, require_budget
 from hushframe.operators.measure import Measure
 from hushframe.plans.accounting import Cost
 from hushframe.session import fresh_path, written
@@ -163,7 +164,8 @@ class SynthRequest:
 class QueryDesk:
     """Users and datasets as tables, private tables by name, and an append-only archive that is the ledger.
 
-    One desk serves a user's requests one after the other; run one desk per archive.
+    Several desks may share an archive: a debit is committed only on the archive that it was decided on, and decided
+    again if another desk was faster.  Within a desk, a user's requests are served one after the other.
     """
 
     spark: SparkSession
@@ -173,16 +175,12 @@ class QueryDesk:
 
     def __post_init__(self):
         self._locks: dict[str, threading.Lock] = defaultdict(threading.Lock)
+        self._log = ArchiveLog(self.spark, self.archive_path, ARCHIVE)
 
     # -- looking --------------------------------------------------------------------------------------------
 
     def archive(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(ARCHIVE).parquet(self.archive_path)
-        except Exception as err:
-            if "PATH_NOT_FOUND" in str(err):
-                return self.spark.createDataFrame([], ARCHIVE)
-            raise
+        return self._log.read()[1]
 
     def remaining(self, user: str, dataset: str) -> tuple[float, float]:
         self._access(user, dataset)
@@ -216,12 +214,14 @@ class QueryDesk:
         meta = self._access(user, dataset)
         with self._locks[user]:
             price = _guarded(lambda: request.cost(meta, self.spark))
-            mine = self.users.filter(F.col("user_name") == user)
-            require_budget(remaining_budget(mine, self.archive()), user, dataset, price.epsilon, price.delta)
-            path = fresh_path(self.spark, "release")
-            entry = (time.time_ns(), user, dataset, request.family, json.dumps({"dataset_name": dataset, **request.describe()}), path,
-                     time.time(), price.epsilon, price.delta)
-            append_archive(self.spark.createDataFrame([entry], ARCHIVE), self.archive_path)
+            mine, path = self.users.filter(F.col("user_name") == user), fresh_path(self.spark, "release")
+
+            def debit(archive: DataFrame) -> list[tuple]:
+                require_budget(remaining_budget(mine, archive), user, dataset, price.epsilon, price.delta)
+                told = json.dumps({"dataset_name": dataset, **request.describe()})
+                return [(time.time_ns(), user, dataset, request.family, told, path, time.time(), price.epsilon, price.delta)]
+
+            self._log.append(debit)
             return _guarded(lambda: written(request.run(self.tables[dataset][1](), meta, Secure()), "release", path))
 
     def _access(self, user: str, dataset: str) -> TableMeta:

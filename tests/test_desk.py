@@ -47,6 +47,24 @@ def test_budget_runs_out_and_rehearsal_is_free(desk):
     assert desk.previous("cy", "customers").count() == 2
 
 
+def test_two_desks_cannot_overspend(spark, sf, desk):
+    """Both see the same budget; the slower one finds its number taken, decides again and is refused."""
+    other = QueryDesk(spark, desk.users, desk.tables, desk.archive_path)
+    request = AggregateRequest((count().alias("n"),), {"epsilon": 0.2, "delta": 1e-5})
+    commit, seen = desk._log.commit, []
+
+    def slow(rows, after):
+        if not seen:
+            seen.append(other.query("cy", "customers", request))  # in between, the other desk spends
+        return commit(rows, after)
+
+    desk._log.commit = slow
+    with pytest.raises(InvalidQuery, match="budget"):
+        desk.query("cy", "customers", request)
+    assert len(seen) == 1 and desk.previous("cy", "customers").count() == 1
+    assert math.isclose(other.remaining("cy", "customers")[0], 0.05)
+
+
 def test_every_family(desk):
     by_segment = AggregateRequest((count().alias("n"), avg("c_acctbal")), {"epsilon": 0.5, "by": ("c_mktsegment",)})
     assert desk.query("ana", "customers", by_segment).count() == 5
@@ -58,7 +76,7 @@ def test_every_family(desk):
     synth = SynthRequest("mst", 1.0, 1e-4, ("c_acctbal", "c_mktsegment"), nb_samples=25)
     assert desk.query("ana", "customers", synth).count() == 25
     model = SynthRequest("mwem", 1.0, None, ("c_mktsegment",), params={"iterations": 2}, return_model=True)
-    assert desk.query("ana", "customers", model).columns == ["step", "column", "code", "eta"]
+    assert desk.query("ana", "customers", model).columns == ["factor", "columns", "codes", "weight"]
     assert math.isclose(desk.remaining("ana", "customers")[0], 10 - 1.5 - 1.0 - 1.5 - 2.0)
     assert set(desk.archive().select("dp_librairy").distinct().toPandas()["dp_librairy"]) == {"smartnoise_sql", "opendp", "diffprivlib", "smartnoise_synth"}
 
