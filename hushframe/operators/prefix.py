@@ -18,14 +18,25 @@ def chunk_edges(df: DataFrame, order: str) -> list:
 
 
 def order_edges(df: DataFrame, order: list[str]) -> list[list]:
-    """Cut points of the first two order columns, as many as the rows ask for, from one sketch pass."""
-    shares = [i / MOST for i in range(1, MOST)]
-    cuts = [F.percentile_approx(F.col(c).cast("double"), shares, 4 * MOST).alias(f"e{i}") for i, c in enumerate(order[:2])]
-    row = df.agg(F.count("*").alias("n"), *cuts).first()
-    step = max(1, MOST // max(FEWEST, -(-row["n"] // CHUNK_ROWS)))
-    found = [(row[f"e{i}"] or [])[step - 1::step] for i in range(len(cuts))]
-    shared = len(set(found[0])) < len(found[0])  # only values that many rows share need the second column
-    return [sorted(set(f)) for f in (found if shared else found[:1])]
+    """Cut points of the first order column, and of the second where rows share a cut's value; as many as the rows ask for.
+
+    One sketch pass; another for tables that need more than the fewest cuts, and for the second column.
+    """
+    rows, first = _cuts(df, order[0], FEWEST)
+    pieces = min(MOST, max(FEWEST, -(-rows // CHUNK_ROWS)))
+    if pieces > FEWEST:
+        first = _cuts(df, order[0], pieces)[1]
+    found = [first]
+    if len(set(first)) < len(first) and len(order) > 1:
+        found.append(_cuts(df, order[1], pieces)[1])
+    return [sorted(set(f)) for f in found]
+
+
+def _cuts(df: DataFrame, column: str, pieces: int) -> tuple[int, list]:
+    """Rows, and values that cut them into about equal pieces."""
+    shares = F.percentile_approx(F.col(column).cast("double"), [i / pieces for i in range(1, pieces)], 4 * pieces)
+    row = df.agg(F.count("*").alias("n"), shares.alias("cuts")).first()
+    return row["n"], row["cuts"] or []
 
 
 def chunk_of(order: list[str], edges: list[list]) -> Column:

@@ -1,24 +1,28 @@
 """Budget admission on a stream of requests, with the same answer as ``operators.ledger.admit``.
 
-``admit_stream`` keeps the spent amounts as operator state and suits small, frequent micro-batches.
+``admit_stream`` keeps the spent amounts as operator state and takes a key's requests in slices of bounded size.
 ``admit_micro_batches`` settles each micro-batch with the batch operator against a stored ledger, so a
 backlog in which one user holds most of the requests is spread over the cluster as well.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+import io
+from collections.abc import Iterable, Iterator
 from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from hushframe.errors import LibraryFailure
 from hushframe.operators.ledger import AMOUNTS, KEYS, admit, amount
 from hushframe.session import written
 
+SLICE = 4096  # requests of a key that are in memory at a time, from each slice that Spark hands over and in each that is handed on
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"  # holds a key's waiting slices on disk
 OUTPUT = "user_name string, dataset_name string, request_id bigint, cost_epsilon double, cost_delta double, admitted boolean"
 
 
@@ -29,10 +33,12 @@ def admit_stream(requests: DataFrame, budgets: DataFrame) -> DataFrame:
     """Admit requests in order per (user, dataset); the spent amounts are the state.
 
     Requests must arrive in request order across micro-batches; one that is older than a request settled
-    before it fails the stream, since its answer would depend on the order of arrival.  Requests above the whole budget never reach
-    the state function.  A group's rows within one micro-batch are sorted in one task: bound the batch at the
-    source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``); a backlog is better settled by the batch form.
+    before it fails the stream, since its answer would depend on the order of arrival.  Requests above the whole budget
+    never reach the state.  Within a micro-batch a key's requests come in any order and in any number: slices are sorted
+    as they come, wait in the key's state in pieces, and are merged piece by piece, so no task holds a key's requests.
+    The session's state store is set to the one on disk that this needs.
     """
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     budget = budgets.select(*KEYS, amount("epsilon", "epsilon").alias("be"), amount("delta", "delta").alias("bd"))
     priced = requests.join(budget, KEYS, "left").withColumns(
         {"e": amount("cost_epsilon", "epsilon"), "d": amount("cost_delta", "delta")})
@@ -42,7 +48,7 @@ def admit_stream(requests: DataFrame, budgets: DataFrame) -> DataFrame:
     decided = (
         priced.filter(affordable).select(*plain, "e", "d", "be", "bd")
         .groupBy(*KEYS)
-        .applyInPandasWithState(_decide, OUTPUT, "e string, d string, last bigint", "append", "NoTimeout")
+        .transformWithStateInPandas(Admission(), OUTPUT, "Append", "None")
     )
     return decided.unionByName(refused)
 
@@ -70,17 +76,70 @@ def admit_micro_batches(requests: DataFrame, budgets: DataFrame, path: str, chec
     return requests.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint)
 
 
-def _decide(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    spent_e, spent_d, last = (Decimal(state.get[0]), Decimal(state.get[1]), state.get[2]) if state.exists else (Decimal(0), Decimal(0), None)
-    rows = pd.concat(list(batches)).sort_values("request_id")
-    if last is not None and len(rows) and rows["request_id"].iloc[0] <= last:
-        raise LibraryFailure(f"request {rows['request_id'].iloc[0]} of {key} arrived after request {last}")
-    admitted = []
-    for e, d, be, bd in zip(rows["e"], rows["d"], rows["be"], rows["bd"]):
-        fits = spent_e + e <= be and spent_d + d <= bd
-        admitted.append(fits)
-        if fits:
-            spent_e, spent_d = spent_e + e, spent_d + d
-    state.update((str(spent_e), str(spent_d), int(rows["request_id"].iloc[-1]) if len(rows) else last))
-    out = rows[["request_id", "cost_epsilon", "cost_delta"]].assign(user_name=key[0], dataset_name=key[1], admitted=admitted)
-    yield out[["user_name", "dataset_name", "request_id", "cost_epsilon", "cost_delta", "admitted"]]
+class Admission(StatefulProcessor):
+    """Per (user, dataset): the amounts spent, the last request settled, and the slices of the running micro-batch."""
+
+    def __init__(self, slice: int = SLICE):
+        self.slice = slice
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.spent = handle.getValueState("spent", "e string, d string, last bigint")
+        self.waiting = handle.getMapState("waiting", "run int, piece int", "rows binary")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        e, d, last = self.spent.get() if self.spent.exists() else ("0", "0", None)
+        spent_e, spent_d = Decimal(e), Decimal(d)
+        for part in self._in_order(rows):
+            if last is not None and part["request_id"].iloc[0] <= last:
+                raise LibraryFailure(f"request {part['request_id'].iloc[0]} of {key} arrived after request {last}")
+            admitted = []
+            for e, d, be, bd in zip(part["e"], part["d"], part["be"], part["bd"]):
+                fits = spent_e + e <= be and spent_d + d <= bd
+                admitted.append(fits)
+                if fits:
+                    spent_e, spent_d = spent_e + e, spent_d + d
+            ended = int(part["request_id"].iloc[-1])
+            out = part[["request_id", "cost_epsilon", "cost_delta"]].assign(user_name=key[0], dataset_name=key[1], admitted=admitted)
+            yield out[["user_name", "dataset_name", "request_id", "cost_epsilon", "cost_delta", "admitted"]]
+            self.spent.update((str(spent_e), str(spent_d), ended))
+
+    def close(self) -> None:
+        pass
+
+    def _in_order(self, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """All rows by request, in pieces; more than one slice waits in the state until the last one has come."""
+        first, runs = next(rows, None), []
+        if first is None:
+            return
+        second = next(rows, None)
+        if second is None:
+            first = first.sort_values("request_id", kind="stable")
+            for at in range(0, len(first), self.slice):
+                yield first.iloc[at:at + self.slice]
+            return
+        while first is not None:
+            runs.append(self._store(len(runs), first.sort_values("request_id", kind="stable")))
+            first, second = second, next(rows, None)
+        merged, held = heapq.merge(*[self._read(k, n) for k, n in enumerate(runs)], key=lambda r: r.request_id), []
+        for row in merged:
+            held.append(row)
+            if len(held) == self.slice:
+                yield pd.DataFrame(held)
+                held = []
+        if held:
+            yield pd.DataFrame(held)
+        self.waiting.clear()
+
+    def _store(self, run: int, part: pd.DataFrame) -> int:
+        size = max(64, self.slice // 16)
+        for n, at in enumerate(range(0, len(part), size)):
+            text = io.BytesIO()
+            part.iloc[at:at + size].to_pickle(text)
+            self.waiting.updateValue((run, n), (text.getvalue(),))
+        return -(-len(part) // size)
+
+    def _read(self, run: int, pieces: int) -> Iterable:
+        for n in range(pieces):
+            part = pd.read_pickle(io.BytesIO(self.waiting.getValue((run, n))[0]))
+            self.waiting.removeKey((run, n))
+            yield from part.drop(columns=["user_name", "dataset_name"], errors="ignore").itertuples(index=False)

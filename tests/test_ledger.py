@@ -7,7 +7,7 @@ from gate import ledgers as G
 from hushframe.errors import InvalidQuery
 from hushframe.operators import ledger as L
 from hushframe.plans.accounting import invalid_requests, price
-from hushframe.streaming.admission import admit_micro_batches, admit_stream
+from hushframe.streaming.admission import Admission, admit_micro_batches, admit_stream
 from hushframe.streaming.run import drain
 
 
@@ -91,6 +91,70 @@ def test_late_request_fails_the_stream(spark, tmp_path):
         drain(admit_stream(stream, budgets))
 
 
+def test_one_key_with_most_of_a_large_batch(spark, tmp_path):
+    requests = _case(spark, 24_000).withColumn("user_name", F.when(F.col("request_id") % 10 > 0, "hot").otherwise("u1")).cache()
+    budgets = spark.createDataFrame([(u, "d", 4000.0, 1.0) for u in ("hot", "u1")], "user_name string, dataset_name string, epsilon double, delta double")
+    source = str(tmp_path / "hot")
+    requests.orderBy(F.hash("request_id")).coalesce(1).write.parquet(source)  # one micro-batch in no order: slices overlap
+    stream = spark.readStream.schema(requests.schema).parquet(source)
+    got = {r["request_id"]: r["admitted"] for r in drain(admit_stream(stream, budgets)).collect()}
+    assert got == {r["request_id"]: r["admitted"] for r in L.admit(requests, budgets).collect()} and 0 < sum(got.values()) < len(got)
+
+
+class _Map(dict):
+    updateValue, getValue, removeKey = dict.__setitem__, dict.__getitem__, dict.__delitem__
+
+
+class _Value:
+    def __init__(self):
+        self.held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+
+def test_a_key_is_taken_in_slices():
+    """Pieces of bounded size come out in order, whatever the number of slices; what waits is in the state, and gone at the end."""
+    import random
+
+    import pandas as pd
+
+    def slices(n, size=2000):
+        ids = list(range(n * size))
+        random.Random(1).shuffle(ids)
+        for k in range(n):
+            part = ids[k * size:(k + 1) * size]
+            yield pd.DataFrame({"user_name": "u", "dataset_name": "d", "request_id": part, "cost_epsilon": 1.0, "cost_delta": 0.0,
+                                "e": [Decimal(1)] * size, "d": [Decimal(0)] * size, "be": [Decimal(150)] * size, "bd": [Decimal(1)] * size})
+
+    def settle(n):
+        admission = Admission(slice=500)
+        admission.spent, admission.waiting = _Value(), _Map()
+        waited, store = [0], admission._store
+
+        def counted(run, part):
+            count = store(run, part)
+            waited[0] = max(waited[0], len(admission.waiting))
+            return count
+
+        admission._store = counted
+        ids, admitted, largest = -1, 0, 0
+        for out in admission.handleInputRows(("u", "d"), slices(n), None):
+            assert out["request_id"].iloc[0] == ids + 1 and out["request_id"].is_monotonic_increasing
+            ids, admitted, largest = int(out["request_id"].iloc[-1]), admitted + int(out["admitted"].sum()), max(largest, len(out))
+        assert ids == n * 2000 - 1 and admitted == 150 and largest <= 500 and not admission.waiting and (n == 1 or waited[0] >= n)
+        assert admission.spent.get() == ("150", "0", ids)
+
+    for n in (1, 2, 20):
+        settle(n)
+
+
 def test_prices(spark):
     rows = [
         (1, "sql", 0.5, 1e-5, [("count", None), ("avg", "x"), ("std", "x")], None, None, None, None, None, None, None),
