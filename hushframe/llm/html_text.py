@@ -5,7 +5,9 @@ before and the chain of containers around it.  Parts that markup names as someth
 footers, sidebars, notices, adverts, forms, comments, scripts, styles) are left out.  The ratio of text to tags per
 line is smoothed with a Gaussian; lines above the spread of the smoothed ratios are the content cluster, and the
 container that holds most of its text (an article, the main part, or else the smallest one) is the content region.
-All of that region's lines are returned, short ones too.
+All of that region's lines are returned, short ones too.  Articles next to it whose text lies in the cluster as well are
+part of it, and so are the headline before them and the cluster's lines around them within their container.  Some names
+of markup are a hint only (``HINTS``): such a block within the region stays if the cluster's ratios say that it is text.
 
 Defined results: null counts as empty and gives an empty text; inline markup and ``<br>`` do not end a block; a page
 whose every line is left out by markup falls back to its articles, then to its forms; unclosed and stray tags are read as
@@ -47,6 +49,10 @@ OTHER = frozenset(
     "discussion disclaimer disqus footer gdpr hidden legal login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup "
     "promo promoted promotion recommended register related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar "
     "tracking widget widgets".split())
+#: Of those, names that a block of text may carry as well.
+HINTS = frozenset("alert alerts banner disclaimer legal overlay recommended register related respond search share sharing social tracking widget widgets".split())
+HEADINGS = frozenset("h1 h2 h3".split())
+HINTED = "hint"
 PAGE_ONLY = frozenset(["header"])  # other than content outside an article, part of it inside
 OWN = frozenset("article body content entry main post story text".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -63,27 +69,29 @@ class Line:
     article: int  # number of the outermost article around it, or 0
     main: bool
     dropped: str  # by what markup, or empty
+    heading: bool = False
+    hinted: int = 0  # number of the element that only a hint drops, or 0
 
 
-def _named(tag: str, attrs: list[tuple[str, str | None]], article: bool) -> bool:
-    """Whether an element's names say that it is something else than content."""
+def _named(tag: str, attrs: list[tuple[str, str | None]], article: bool) -> str:
+    """Whether an element's names say that it is something else than content: not (empty), by a hint, or by its tag's name."""
     names, own = [], False
     for key, value in attrs:
         value = value or ""
         if key in ("class", "id"):
             names += value.split()
         elif key == "role" and value.strip().lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and HIDDEN.search(value.lower()):
-            return True
+            return tag
     if not names or tag in ("html", "body"):
-        return False
-    found = False
+        return ""
+    found = ""
     for name in names:
         tokens = {t.lower() for t in TOKEN.findall(name)}
         if tokens & OTHER or not article and tokens & PAGE_ONLY:
-            found = True
+            found = tag if (tokens & OTHER) - HINTS or not tokens & OTHER else found or HINTED
         elif tokens & OWN:
             own = True
-    return found and not own
+    return "" if own else found
 
 
 @dataclass
@@ -94,6 +102,7 @@ class Open:
     number: int  # if it is a container
     article: int
     main: bool
+    hinted: int = 0
 
 
 class Lines(HTMLParser):
@@ -102,7 +111,7 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.stack = [Open("", "", False, 0, 0, False)]
         self.parts: list[str] = []
-        self.tags = self.made = 0
+        self.tags = self.made = self.hints = 0
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -115,11 +124,16 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         up = self.stack[-1]
-        dropped, silent, inside = up.dropped, up.silent, up.article > 0 or up.main
-        if not dropped and (tag in DROPPED or tag == "header" and not inside or attrs and _named(tag, attrs, inside)):
-            dropped, silent = tag, tag not in BLOCK
+        dropped, silent, inside, hinted = up.dropped, up.silent, up.article > 0 or up.main, up.hinted
+        if not dropped or dropped == HINTED:  # what is dropped by a hint may hold what is dropped for good
+            why = tag if tag in DROPPED or tag == "header" and not inside else _named(tag, attrs, inside) if attrs else ""
+            if why and why != dropped:
+                dropped, silent = why, tag not in BLOCK
+                self.hints += why == HINTED
+                hinted = self.hints if why == HINTED and not silent else 0
         self.made += tag in CONTAINER
-        self.stack.append(Open(tag, dropped, silent, self.made if tag in CONTAINER else 0, up.article or (self.made if tag == "article" else 0), up.main or tag == "main"))
+        article = up.article or (self.made if tag == "article" else 0)
+        self.stack.append(Open(tag, dropped, silent, self.made if tag in CONTAINER else 0, article, up.main or tag == "main", hinted))
 
     def handle_startendtag(self, tag, attrs):  # a slash does not close an element, as in browsers
         self.handle_starttag(tag, attrs)
@@ -149,7 +163,7 @@ class Lines(HTMLParser):
         self.parts = []
         if text:
             up = self.stack[-1]
-            self.lines.append(Line(text, self.tags, tuple(x.number for x in self.stack if x.number), up.article, up.main, up.dropped))
+            self.lines.append(Line(text, self.tags, tuple(x.number for x in self.stack if x.number), up.article, up.main, up.dropped, any(x.tag in HEADINGS for x in self.stack[-3:]), up.hinted))
             self.tags = 0
 
     def parse_marked_section(self, i, report=1):
@@ -190,7 +204,8 @@ def content(lines: list[Line]) -> list[Line]:
         by_article[x.article] += len(x.text)
     best = max(by_article, key=by_article.get)
     if best:
-        return [x for x in kept if x.article == best]
+        region = _story(kept, dense, by_article, best)
+        return _with_hinted(lines, region, ratios.std())
     if main := [x for x in kept if x.main]:
         return main
     own: dict[tuple[int, ...], int] = defaultdict(int)
@@ -202,6 +217,39 @@ def content(lines: list[Line]) -> list[Line]:
     return [x for x in kept if x.chain[: len(chain)] == chain]
 
 
+def _story(kept: list[Line], dense: list[Line], by_article: dict[int, int], best: int) -> list[Line]:
+    """Lines of the best article, of its siblings in the content cluster, and the headline and dense lines around them."""
+    above = next(x.chain[: x.chain.index(best)] for x in kept if x.article == best)
+    whole: dict[int, int] = defaultdict(int)
+    for x in kept:
+        if x.article and x.chain[: x.chain.index(x.article)] == above:
+            whole[x.article] += len(x.text)
+    chosen = {a for a, n in whole.items() if 2 * by_article[a] >= n and 4 * by_article[a] >= by_article[best]} | {best}
+    near = lambda x: not x.article and (x.main or bool(above) and x.chain[: len(above)] == above)
+    first, thick = next(k for k, x in enumerate(kept) if x.article in chosen), {id(x) for x in dense}
+    return [x for k, x in enumerate(kept) if x.article in chosen or near(x) and (id(x) in thick or x.heading and k < first)]
+
+
+def _with_hinted(lines: list[Line], region: list[Line], spread: float) -> list[Line]:
+    """The region and, in page order, the blocks in its articles that a hint dropped and the ratio takes back.
+
+    Such a block has at least three lines in the cluster, which make up most of its text and a tenth of the region's.
+    """
+    articles, size = {x.article for x in region if x.article}, sum(len(x.text) for x in region)
+    blocks: dict[int, list[Line]] = defaultdict(list)
+    for x in lines:
+        if x.hinted and x.dropped == HINTED and x.article in articles:
+            blocks[x.hinted].append(x)
+    back = set()
+    for block in blocks.values():
+        thick = [x for x, r in zip(block, smoothed(np.array([len(x.text) / max(1, x.tags) for x in block]))) if r >= spread]
+        text = sum(len(x.text) for x in thick)
+        if len(thick) >= 3 and 2 * text >= sum(len(x.text) for x in block) and 10 * text >= size:
+            back |= {id(x) for x in block}
+    mine = {id(x) for x in region} | back
+    return [x for x in lines if id(x) in mine]
+
+
 def _belongs(chain: tuple[int, ...], kept: list[Line], dense: list[Line]) -> bool:
     """Whether the container around ``chain`` holds more of its text: of the lines it adds at least half are dense.
 
@@ -220,17 +268,19 @@ def main_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Pages with their main text added as ``text``, ``html`` left out; columns of that name are replaced."""
-    names = [c for c in pages.columns if c not in (html, "text")]
-    fields = [f for f in pages.schema.fields if f.name in names]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "text string"])
+    """Pages with their main text added as ``text``, ``html`` left out; columns of that name, whatever their case, are replaced."""
+    held = pages.toDF(*[f"c{k}" for k in range(len(pages.columns))])  # names may differ in case only, or hold a dot
+    kept = [k for k, c in enumerate(pages.columns) if c != html and c.lower() != "text"]
+    places = [f"c{k}" for k in kept]
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in held.schema.fields if f.name in places], "text string"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = pa.array([main_text(h.as_py()) for h in b.column(b.num_columns - 1)], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], [*names, "text"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], [*places, "text"])
 
-    return pages.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{html}`").alias("text")).mapInArrow(run, schema)
+    found = held.select(*places, F.col(f"c{pages.columns.index(html)}").alias("text")).mapInArrow(run, schema)
+    return found.toDF(*[pages.columns[k] for k in kept], "text")
 
 
 @query("op8_html_extraction")
