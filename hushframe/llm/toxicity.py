@@ -6,7 +6,7 @@ trees fitted without a fold calibrate on it.  Features of a text: densities of l
 digits or signs are put back, distance to the nearest second-person word, share of capitals, punctuation and its
 repetition.  Only the text is an input.
 
-The fit uses at most ``sample`` labelled rows, chosen by a hash of the id; the lexicon has at most ``lexicon`` terms.
+The fit uses at most ``sample`` labelled rows, one of an id (its smallest text), chosen by a hash of the id; the lexicon has at most ``lexicon`` terms.
 Everything else reads every document, once, and scores it where it lies.
 
 Defined results: null text counts as empty; empty texts get a score like any other; a null id is in no training
@@ -113,16 +113,28 @@ class Toxicity:
         return self.calibration(self.trees.raw(x))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Columns named by place, so that names that hold a dot or differ in case only cannot clash."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def picked(df: DataFrame, **names: str) -> DataFrame:
+    """The columns given by name, under new names."""
+    return numbered(df).select(*[F.col(f"c{df.columns.index(old)}").alias(new) for new, old in names.items()])
+
+
 def fold(id: str):
     return F.crc32(F.col(id).cast("string")) % FOLDS
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, id: str, label: str, sample: int) -> DataFrame:
     """(id, label, fold, text) of at most ``sample`` labelled documents of the training folds, stored."""
-    rows = labels.select(F.col(f"`{id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label")).dropna().groupBy("id").agg(F.max("label").alias("label"))
+    rows = picked(labels, id=id, label=label).withColumn("label", F.col("label").cast("int")).dropna().groupBy("id").agg(F.max("label").alias("label"))
     rows = rows.withColumn("fold", fold("id")).filter(F.col("fold") != HELD_OUT).orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    return written(texts.join(F.broadcast(rows), "id"), "toxicity-sample")  # at most ``sample`` rows are broadcast
+    texts = picked(docs, id=id, text=text).withColumn("text", F.coalesce("text", F.lit("")))
+    found = texts.join(F.broadcast(rows), "id")  # at most ``sample`` rows are broadcast
+    once = found.groupBy("id", "label", "fold").agg(F.min("text").alias("text"))  # rows of an id, however many, count once
+    return written(once.select("id", "text", "label", "fold"), "toxicity-sample")
 
 
 def terms_of(text: str | None) -> set[bytes]:
@@ -196,28 +208,27 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
 
 
 def scored(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
-    """Adds ``score``; a column of that name is replaced."""
-    names = [c for c in docs.columns if c != "score"]
-    at = names.index(text)
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "score"], "score double"])
+    """Columns by place (c0, c1, …) and ``score``."""
+    at, held = docs.columns.index(text), numbered(docs)
+    names = held.columns
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in held.schema.fields], "score double"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(b.column(at).to_pylist()), pa.float64())], [*names, "score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+    return held.mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text: str = "text", id: str = "doc_id", label: str = "toxic") -> DataFrame:
     """The documents that score below ``threshold``, columns unchanged."""
-    model = fit(docs, labels, text, id, label)
-    kept = scored(docs.withColumnRenamed("score", "__score"), model, text).filter(F.col("score") < threshold).drop("score")
-    return kept.withColumnRenamed("__score", "score").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = scored(docs, fit(docs, labels, text, id, label), text).filter(F.col("score") < threshold)
+    return kept.drop("score").toDF(*docs.columns)
 
 
 @query("op5_toxicity")
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    rows = scored(docs.select("doc_id", "text"), model)
+    rows = scored(docs.select("doc_id", "text"), model).select(F.col("c0").alias("doc_id"), "score")
     return rows.select("doc_id", F.coalesce(fold("doc_id") == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
