@@ -5,7 +5,7 @@ table of at most ``heavy.COUNTERS`` rows, broadcast, so copies of a hot text are
 All other digests hold less than 1/COUNTERS of the rows each and are grouped by an ordinary shuffle.
 
 Defined results: null text counts as empty; of equal texts the row with the largest id stays, a null id is
-smaller than any other; of rows equal in id and text one stays; an empty table gives an empty table.  Further
+smaller than any other; of rows equal in id and text the one stays whose hash of all columns is least; an empty table gives an empty table.  Further
 columns are kept as they are, whatever their names.
 """
 
@@ -39,12 +39,9 @@ def exact_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", counte
     slim = written(slim, "dedup-digests")
     hot = F.broadcast(winners(slim, counters))
     split = slim.join(hot, "digest", "left")
-    group = Window.partitionBy("digest")
-    rest = (
-        slim.join(hot, "digest", "left_anti")
-        .withColumns({"top": F.max(F.struct("id", "row")).over(group), "size": F.count("*").over(group)})
-    )
-    both = split.filter(F.col("size").isNotNull()).unionByName(rest)
+    rest = slim.join(hot, "digest", "left_anti")
+    groups = rest.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("top"), F.count("*").alias("size"))
+    both = split.filter(F.col("size").isNotNull()).unionByName(rest.join(groups, "digest"))
     return both.select("id", "row", "digest", F.col("top.id").alias("keep_id"), F.col("size").alias("group_size"),
                        (F.col("row") == F.col("top.row")).alias("kept"))
 
@@ -55,11 +52,13 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", counter
     A copy of a hot text leaves in the task that reads it; only texts of ordinary digests are shuffled.
     """
     columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    plain = [F.col(f"d.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    tie = F.xxhash64(*plain)
     slim = docs.select(F.col(id).alias("id"), F.lit(0).alias("row"), text_digest(text).alias("digest"))
     hot = F.broadcast(winners(slim, counters))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), text_digest(f"`{text}`").alias("digest"))
-    best = rows.join(hot, "digest").filter(F.col(f"d.`{id}`").eqNullSafe(F.col("top.id"))).groupBy("digest").agg(F.first("d").alias("d"))
-    order = Window.partitionBy("digest").orderBy(F.col(f"d.`{id}`").desc_nulls_last())
+    best = rows.join(hot, "digest").filter(F.col(f"d.`{id}`").eqNullSafe(F.col("top.id"))).groupBy("digest").agg(F.min_by("d", tie).alias("d"))
+    order = Window.partitionBy("digest").orderBy(F.col(f"d.`{id}`").desc_nulls_last(), tie)
     rest = rows.join(hot, "digest", "left_anti").withColumn("place", F.row_number().over(order)).filter("place = 1")
     return best.select(*columns).unionByName(rest.select(*columns))
 
