@@ -10,7 +10,7 @@ document at the cut in part.  Ties and hot sources: the order is by md5 of (seed
 two levels (buckets of the order, then documents of the one bucket that holds the cut), so a source with a third
 of all rows is no single task's work.
 
-Defined results: null text has size 0; null ids are one id in ``mixed`` and rows of their own in ``mix_documents``; null sources are one source, the last; documents of
+Defined results: null text has size 0; rows without an id are told apart by their text, equal ones in ``mix_documents`` by their row; null sources are one source, the last; documents of
 size 0 take 0 words; an empty table gives an empty table.  Only DataFrame functions are used.
 """
 
@@ -60,11 +60,11 @@ def mixed(docs: DataFrame, weights: list[int] = (5, 2, 1), share: float = 1.5, m
           text: str = "text", id: str = "doc_id", source: str = "source", row: str | None = None) -> DataFrame:
     """One row per document: id, source, size, source_size, target, whole (repetitions), part (words of one more), taken.
 
-    ``row`` names a column that numbers the rows.  It is then kept as ``row`` and ends the order, and rows without an
-    id are ordered by a hash of their text, which spreads them over the buckets.
+    ``row`` names a column that numbers the rows.  It is then kept as ``row`` and ends the order.  Rows without an id are
+    ordered by a hash of their text, which spreads them over the buckets.
     """
     more = [] if row is None else ["row"]
-    name = F.coalesce(F.col(f"`{id}`").cast("string"), F.concat(F.lit("|"), F.xxhash64(f"`{text}`").cast("string")) if more else F.lit(""))
+    name = F.coalesce(F.col(f"`{id}`").cast("string"), F.concat(F.lit("|"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), name))
     slim = written(docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"),
                                key.alias("key"), *[F.col(f"`{row}`").alias(m) for m in more]), "mix-sizes")
@@ -108,7 +108,7 @@ def mix_documents(docs: DataFrame, weights: list[int] = (5, 2, 1), share: float
 
 SQL = r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-       md5(concat_ws('|', '0', coalesce(doc_id::varchar, ''))) as key from documents),
+       md5(concat_ws('|', '0', coalesce(doc_id::varchar, '|' || md5(coalesce(text, ''))))) as key from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 r as (select *, row_number() over (order by source is null, encode(source)) as rank, source_size * 2.0::double as cap from s),
 w as (select *, [5.0, 2.0, 1.0][((rank - 1) % 3 + 1)::int]::double as weight, (select sum(source_size) from s)::double * 1.5::double as budget from r),
