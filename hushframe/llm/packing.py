@@ -28,6 +28,7 @@ from hushframe.llm.catalog import query, table
 from hushframe.session import written
 
 CHUNK = 65_536  # pieces packed by one task
+WEIGHTS = (1.0, 1.0, 1.0)  # of the residual tokens, documents and attention cost
 
 
 @dataclass(frozen=True)
@@ -97,7 +98,7 @@ def pieces(docs: DataFrame, ranks_path: str, tokenizer_path: str, longest: int =
     return docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
 
 
-def best_fit(lengths: np.ndarray, capacity: Capacity, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0)) -> np.ndarray:
+def best_fit(lengths: np.ndarray, capacity: Capacity, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> np.ndarray:
     """Bin of each piece; ``lengths`` come in decreasing order.
 
     ``norm``: the bin whose capacities left over, as parts of the whole, have the least weighted norm.
@@ -129,7 +130,7 @@ def best_fit(lengths: np.ndarray, capacity: Capacity, rule: str = "norm", weight
     return bins
 
 
-def packed(cut: DataFrame, capacity: Capacity = Capacity(), rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0), chunk: int = CHUNK) -> DataFrame:
+def packed(cut: DataFrame, capacity: Capacity = Capacity(), rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS, chunk: int = CHUNK) -> DataFrame:
     """Adds sequence_id and offset to pieces."""
     rows = written(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     chunks = max(1, -(-rows.count() // chunk))
@@ -152,7 +153,7 @@ def packed(cut: DataFrame, capacity: Capacity = Capacity(), rule: str = "norm",
 
 
 def pack_documents(docs: DataFrame, ranks_path: str | None = None, tokenizer_path: str | None = None, end_id: int = 2,
-                   capacity: Capacity = Capacity(), rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+                   capacity: Capacity = Capacity(), rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS,
                    text: str = "text", id: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """Documents to placed pieces: id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
     import public_tokenizers
