@@ -7,8 +7,8 @@ equivalent WARC record: identifier, 14-digit date as a timestamp, type, and dige
 payloads the smallest page id is a response, the others are revisits of it, with HTTP headers alone.
 
 Files are written and read by Spark, so any file system will do: a record is text to Spark's writer, its bytes
-unchanged.  One archive holds what one input partition holds.  Only identifiers, digests and compressed archives
-are shuffled, payloads are not.
+unchanged.  An archive holds about ``ARCHIVE`` bytes or one larger record, whatever the partitions.  Only identifiers,
+digests and compressed archives are shuffled, payloads are not.
 
 Defined results: null html is an empty payload; a null url is "-" in ARC and no target URI in WARC; bytes that a
 header line cannot hold are percent-encoded in urls; null page ids are larger than all others; of rows equal in
@@ -23,11 +23,11 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.llm.catalog import query, table
@@ -40,6 +40,7 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+ARCHIVE = 16_000_000  # bytes of the records of one archive, unpacked
 UNSAFE = re.compile(rb"[\x00-\x20\x7f-\xff]")
 
 
@@ -168,22 +169,31 @@ def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 # -- on Spark -------------------------------------------------------------------------------------------------
 
 
-def _text(rows: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()).view(pa.string())], ["value"])
+def _archives(records: Iterable[bytes], head: Callable[[], bytes], separator: bytes) -> Iterator[pa.RecordBatch]:
+    """Whole archives of about ``ARCHIVE`` bytes, one a row; an archive without records if there are none."""
+    held, size = [head()], 0
+    for r in records:
+        if size and size + len(r) > ARCHIVE:
+            yield pa.RecordBatch.from_arrays([pa.array([separator.join(held)], pa.binary()).view(pa.string())], ["value"])
+            held, size = [head()], 0
+        held.append(r)
+        size += len(r)
+    yield pa.RecordBatch.from_arrays([pa.array([separator.join(held)], pa.binary()).view(pa.string())], ["value"])
+
+
+def _store(rows: DataFrame, path: str, separator: str) -> None:
+    rows.write.option("compression", "gzip").option("lineSep", separator).option("maxRecordsPerFile", 1).text(path)  # a file is one archive
 
 
 def write_arc(pages: DataFrame, path: str, version: int = 2, date: str = "20250101000000", id: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Pages as gzipped ARC files under ``path``, one for each partition."""
+    """Pages as gzipped ARC files of bounded size under ``path``."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"pages-v{version}.arc"
-        yield _text([arc_version_block(version, name, date)])
-        for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                yield _text([arc_record(version, u.as_py(), i.as_py(), h.as_py() or b"", name, date) for i, u, h in zip(*part.columns)])
+        records = (arc_record(version, u.as_py(), i.as_py(), h.as_py() or b"", name, date) for b in batches for i, u, h in zip(*b.columns))
+        yield from _archives(records, lambda: arc_version_block(version, name, date), b"\n")
 
     rows = pages.select(F.col(f"`{id}`").cast("bigint"), F.col(f"`{url}`"), F.col(f"`{html}`").cast("binary"))
-    rows.mapInArrow(run, "value string").write.option("compression", "gzip").option("lineSep", "\n").text(path)
+    _store(rows.mapInArrow(run, "value string"), path, "\n")
 
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
@@ -215,7 +225,8 @@ def first_records(records: DataFrame, least: int = 0, counters: int = COUNTERS)
     heavy = heavy_keys(records, "digest", counters).select("digest")
     hot = written(records.join(F.broadcast(heavy), "digest").groupBy("digest").agg(F.min(order).alias("first")), "archive-winners")
     direct = records.join(F.broadcast(hot), "digest", "left").filter(F.col("first").isNotNull())
-    rest = records.join(F.broadcast(hot), "digest", "left_anti").withColumn("first", F.min(order).over(Window.partitionBy("digest")))
+    rest = records.join(F.broadcast(hot), "digest", "left_anti")
+    rest = rest.join(rest.groupBy("digest").agg(F.min(order).alias("first")), "digest")
     same = (F.col("first.path") == F.col("path")) & (F.col("first.offset") == F.col("offset"))
     return direct.unionByName(rest).withColumn("first", F.when(~same & (F.col("size") >= least), F.col("first")))
 
@@ -229,19 +240,20 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least: int =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info = b"software: ARC to WARC converter\r\nformat: WARC File Format 1.1\r\n"
-        yield _text([warc_record("warcinfo", f"<urn:uuid:{uuid.uuid4()}>", warc_date(""), info, Content_Type="application/warc-fields")])
-        for b in batches:
-            for path, content, revisits in zip(*[b.column(c) for c in ("path", "content", "revisits")]):
-                first = {x["offset"]: x["first"] for x in revisits.as_py() or ()}
-                held = []
-                for r in arc_records(gunzipped(content.as_py())):
-                    held.append(converted(path.as_py(), r, first.get(r.offset)))
-                    if len(held) == 64:
-                        yield _text(held)
-                        held = []
-                yield _text(held)
-
-    files.join(by_file, "path", "left").mapInArrow(run, "value string").write.option("compression", "gzip").option("lineSep", "\r\n").text(warc_path)
+
+        def records() -> Iterator[bytes]:
+            for b in batches:
+                for path, content, revisits in zip(*[b.column(c) for c in ("path", "content", "revisits")]):
+                    first = {x["offset"]: x["first"] for x in revisits.as_py() or ()}
+                    for r in arc_records(gunzipped(content.as_py())):
+                        yield converted(path.as_py(), r, first.get(r.offset))
+
+        def head() -> bytes:
+            return warc_record("warcinfo", f"<urn:uuid:{uuid.uuid4()}>", warc_date(""), info, Content_Type="application/warc-fields")
+
+        yield from _archives(records(), head, b"\r\n")
+
+    _store(files.join(by_file, "path", "left").mapInArrow(run, "value string"), warc_path, "\r\n")
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:

@@ -3,11 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from hushframe.llm import archives
 from hushframe.llm.exact_dedup import exact_dedup, exact_groups
 from hushframe.llm.html_text import extract, main_text
 from hushframe.llm.mixing import mixed
 from hushframe.llm.packing import Capacity, best_fit, pack_documents
 from hushframe.llm.toxicity import drop_toxic, labelled_sample
+from hushframe.session import fresh_path
 
 LONG = "Long sentences make a paragraph that any reader would call text, and it goes on for quite a while. "
 
@@ -39,6 +41,19 @@ def test_extract_with_clashing_names(spark):
     assert out.columns == ["x.y", "Id", "c0", "text"] and out.collect() == [("a", 1, 2, "hello")]
 
 
+def test_archives_are_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(archives, "ARCHIVE", 5_000)
+    pages = spark.createDataFrame([(k, f"u{k}", "x" * (900 + k) if k % 50 else "y" * 20_000) for k in range(300)], "page_id bigint, url string, html string").coalesce(1)
+    arc, warc = fresh_path(spark, "arc"), fresh_path(spark, "warc")
+    archives.write_arc(pages, arc)
+    archives.arc_to_warc(spark, arc, warc)
+    for path in (arc, warc):
+        sizes = [len(archives.gunzipped(r.content)) for r in spark.read.format("binaryFile").load(path).select("content").collect()]
+        assert len(sizes) > 40 and max(sizes) < 22_000
+    rows = archives.read_warc(spark, warc).collect()
+    assert sorted(r.page_id for r in rows) == list(range(300)) and sum(r.record_type == "revisit" for r in rows) == 5
+
+
 def labelled(spark):
     rude, kind = "you stupid idiot moron trash", "the quiet river runs past green fields"
     rows = [(i, f"{rude if i % 2 else kind} number {i % 7}") for i in range(120)]
