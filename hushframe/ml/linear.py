@@ -15,8 +15,11 @@ from hushframe.functions.exact import exact_sum
 from hushframe.functions.noise import Noise, Secure, Seeded, add_noise
 from hushframe.ml import base
 from hushframe.ml.base import Bounds, Estimator, Model, arg_max, check_bounds, noisy_products, noisy_sums, one_row, partition_sums, unit_scaled
+from hushframe.ml.groups import plain_uniform
 from hushframe.operators.domain import clamped
 
+GRID = 1e9  # a row's share of a gradient or curvature is at most one
+
 
 @dataclass
 class ScalerModel(Model):
@@ -146,7 +149,8 @@ def _unit_ball(features: list[str], norm: float) -> list[Column]:
 class DPLogisticRegression(Estimator):
     """One-vs-rest logistic regression by objective perturbation (Chaudhuri et al. 2011).
 
-    Every Newton step is one pass that adds gradient and curvature of all classes on the cluster.
+    Every Newton step is one pass that adds gradient and curvature of all classes on the cluster, as whole numbers of a
+    grid: the fit does not depend on how the rows lie.
     """
 
     data_norm: float | None = None
@@ -168,8 +172,7 @@ class DPLogisticRegression(Estimator):
             alpha = curvature / (math.expm1(per_class / 4.0))
             usable = per_class / 2.0
         size = len(features) + 1
-        source = random.Random(mode.seed) if isinstance(mode, Seeded) else random.SystemRandom()
-        noise = np.array([_ball_noise(source, size, 2.0 / usable) for _ in outputs])
+        noise = np.array([_ball_noise(mode, k, size, 2.0 / usable) for k in range(len(outputs))])
 
         # features and a constant share the unit ball
         root = math.sqrt(0.5)
@@ -182,22 +185,26 @@ class DPLogisticRegression(Estimator):
             weights = w.copy()
 
             def block(values: np.ndarray, weights=weights) -> np.ndarray:
-                x = np.hstack([values[:, :-1], np.full((len(values), 1), root)])
-                parts = []
+                x, parts = [*values[:, :-1].T, np.full(len(values), root)], []
                 for k, row in enumerate(weights):
-                    p = 1.0 / (1.0 + np.exp(-np.clip(x @ row, -500, 500)))
-                    y = (values[:, -1] == k + first).astype(float)
-                    parts += [x.T @ (p - y), ((x * (p * (1.0 - p))[:, None]).T @ x).ravel()]
-                return np.concatenate(parts)
-
-            sums = partition_sums(rows, rows.columns, block)
+                    z = x[0] * row[0]
+                    for v, c in zip(x[1:], row[1:]):
+                        z = z + v * c  # term by term: a product of matrices rounds as its shape has it
+                    p = 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
+                    off, bend = p - (values[:, -1] == k + first), p * (1.0 - p)
+                    parts += [np.floor(off * v * GRID + 0.5).astype(np.int64).sum() for v in x]
+                    parts += [np.floor(bend * x[i] * x[j] * GRID + 0.5).astype(np.int64).sum() for i in range(size) for j in range(i, size)]
+                return np.array(parts)
+
+            sums = np.array(partition_sums(rows, rows.columns, block, exact=True), float) / GRID
             if not len(sums):
                 raise LibraryFailure("no row carries a known class")
-            step, width = np.zeros_like(w), size + size * size
+            step, width = np.zeros_like(w), size + size * (size + 1) // 2
             for k in range(len(outputs)):
-                part = sums[k * width:(k + 1) * width]
-                gradient = part[:size] + alpha * w[k] + noise[k]
-                step[k] = np.linalg.solve(part[size:].reshape(size, size) + alpha * np.eye(size), gradient)
+                part, bend = sums[k * width:(k + 1) * width], np.zeros((size, size))
+                bend[np.triu_indices(size)] = part[size:]
+                bend = bend + np.triu(bend, 1).T + alpha * np.eye(size)
+                step[k] = np.linalg.solve(bend, part[:size] + alpha * w[k] + noise[k])
             w = w - step
             if np.abs(step).max() < self.tol * max(1.0, np.abs(w).max()):
                 break
@@ -208,10 +215,16 @@ class DPLogisticRegression(Estimator):
         return LogisticModel(list(features), list(self.classes), (root * w).tolist(), float(self.data_norm))
 
 
-def _ball_noise(source: random.Random, size: int, scale: float) -> np.ndarray:
-    """Density proportional to exp(-|b| / scale): uniform direction, Gamma length."""
-    direction = np.array([source.gauss(0.0, 1.0) for _ in range(size)])
-    return direction / np.linalg.norm(direction) * source.gammavariate(size, scale)
+def _ball_noise(mode: Secure | Seeded, k: int, size: int, scale: float) -> np.ndarray:
+    """Density proportional to exp(-|b| / scale): uniform direction, Gamma length of whole shape."""
+    source = random.SystemRandom()
+
+    def draw(*tag) -> float:
+        return plain_uniform(mode.seed, "logistic", k, *tag) if isinstance(mode, Seeded) else 1.0 - source.random()
+
+    direction = np.array([math.sqrt(-2.0 * math.log(draw("u", i))) * math.cos(2.0 * math.pi * draw("v", i)) for i in range(size)])
+    length = -scale * sum(math.log(draw("g", i)) for i in range(size))
+    return direction / math.sqrt(sum(direction**2)) * length
 
 
 @dataclass

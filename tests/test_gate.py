@@ -8,8 +8,7 @@ from gate.check import compare, connection
 
 ALL = entry.queries(), entry.oracle_sql()  # registers them
 QUERIES, ORACLES = core.QUERIES, core.ORACLES
-# queries whose draws cannot be written as SQL; other tests look at their results
-WITHOUT_SQL = {"logistic_regression"}
+WITHOUT_SQL: set[str] = set()
 
 
 @pytest.fixture(scope="module")
