@@ -330,6 +330,93 @@ def _(spark, sf):
     return rounded(fitted.score(0.5, MODE))
 
 
+# -- chains with components, priced imputation and scores without a target ------------------------------------------
+
+_TRAIN = f"t as (select row_number() over () as id, l_returnflag, l_quantity, l_extendedprice, {uni('split', ['l_orderkey', 'l_linenumber'], seed=1)} >= 0.2::double as train from lineitem)"
+_KEY = ["l_orderkey", "l_linenumber"]
+_TWO = {"l_quantity": QB, "l_extendedprice": PB}
+_MOST = 50.0**2 + 100000.0**2
+_IN = [f"coalesce({clamp('l_quantity', *QB)}, 25::double)", f"coalesce({clamp('l_extendedprice', *PB)}, 50000::double)"]
+
+
+def _trained(sql: str) -> str:
+    return sql.replace("from lineitem)", "from t where train)")
+
+
+def _distance_sql(distance: str, source: str) -> str:
+    share = f"greatest(0::double, least(1::double, ({distance}) / {num(_MOST)}))"
+    return (f"a as (select {exact(share, 1.0)} + {lap('score|d', [], 4.0)} as d, count(*)::double + {lap('score|rows', [], 4.0)} as n from {source}) "
+            f"select {out(f'greatest(0::double, d / n) * {num(_MOST)} / 1000000', 'mean_squared_distance', 4)} from a")
+
+
+def _scored(spark, sf, step):
+    fitted = DPPipeline([step]).fit(_li(spark, sf), list(_TWO), None, _KEY, MODE)
+    return rounded(fitted.score(0.5, MODE).withColumn("mean_squared_distance", F.col("mean_squared_distance") / 1e6), 4)
+
+
+@query("k_means_score", (
+    f"with {_TRAIN}, {_trained(_kmeans_sql())}, v as (select {_IN[0]} as p, {_IN[1]} as q from t where not train), "
+    + _distance_sql("least(" + ", ".join(
+        f"(p - (25::double + 25::double * (select x from c3 where k = {k}))) ** 2 + (q - (50000::double + 50000::double * (select y from c3 where k = {k}))) ** 2" for k in range(3)) + ")", "v")))
+def _(spark, sf):
+    return _scored(spark, sf, _KM)
+
+
+@query("pca_score", (
+    f"with {_TRAIN}, {_trained(_pca_sql())}, o as (select {_IN[0]} - (25::double + norm * s0 / n) as p, {_IN[1]} - (50000::double + norm * s1 / n) as q, v0, v1 from t, k where not train), "
+    + _distance_sql("p * p + q * q - (v0 * p + v1 * q) * (v0 * p + v1 * q)", "o")))
+def _(spark, sf):
+    return _scored(spark, sf, DPPCA(3.0, 1, _TWO))
+
+
+def _bayes_sql(source: str, columns: list[str], epsilon: float) -> str:
+    """Noisy accuracy on the test part of naive Bayes on scaled columns ``u0``, … of ``source``."""
+    prims, names = ["count(*)::double as n"], ["n"]
+    for i, u in enumerate(columns):
+        prims += [f"{exact(u, 1.0)} as s{i}", f"{exact(f'{u} * {u}', 1.0)} as q{i}"]
+        names += [f"s{i}", f"q{i}"]
+    noisy = ", ".join(f"{c} + {lap(f'bayes|{c}', ['l_returnflag'], len(names) / epsilon)} as {c}" for c in names)
+    return (f"g as (select l_returnflag, {', '.join(prims)} from {source} where train group by 1), b as (select l_returnflag, {noisy} from g), "
+            f"y as (select id, {source}.l_returnflag as truth, b.l_returnflag as c, ln(b.n / (select sum(n) from b)) {' '.join(_score(i, u) for i, u in enumerate(columns))} as score "
+            f"from {source}, b where not train), h as (select id, any_value(truth) as truth, arg_max(c, score) as guess from y group by id), "
+            f"a as (select count(*)::double + {lap('score|rows', [], 4.0)} as n, {exact('(truth = guess)::int', 1.0)} + {lap('score|right', [], 4.0)} as k from h) "
+            f"select {out('greatest(0, least(1, k / n))', 'accuracy')} from a")
+
+
+_PC = (-60000.0, 60000.0)
+
+
+@query("pca_then_bayes", (
+    f"with {_TRAIN}, {_trained(_pca_sql())}, z as (select id, train, l_returnflag, (case when abs(v0) >= abs(v1) then sign(v0) else sign(v1) end) * "
+    f"(v0 * (l_quantity - (25::double + norm * s0 / n)) + v1 * (l_extendedprice - (50000::double + norm * s1 / n))) as pc0 from t, k), " + _bayes_sql("z", [unit("pc0", *_PC)], 1.0)))
+def _(spark, sf):
+    fitted = DPPipeline([DPPCA(3.0, 1, _TWO), DPGaussianNB(1.0, {"pc0": _PC}, FLAGS)]).fit(_li(spark, sf), list(_TWO), "l_returnflag", _KEY, MODE)
+    return rounded(fitted.score(0.5, MODE))
+
+
+def _filled(c: str, bounds: tuple[float, float], scale: float) -> tuple[str, str]:
+    """Noisy sums of a column with gaps, and the column with its gaps filled by their mean."""
+    low, high = bounds
+    sums = (f"{exact(f'case when {c} is null then 0::double else {unit(c, low, high)} end', 1.0)} + {lap(f'impute|s_{c}', [], scale)} as s_{c}, "
+            f"{exact(f'({c} is not null)::int', 1.0)} + {lap(f'impute|n_{c}', [], scale)} as n_{c}")
+    mean = f"case when n_{c} >= 1 then s_{c} / n_{c} else 0 end"
+    return sums, f"coalesce({c}, {num((low + high) / 2.0)} + {num((high - low) / 2.0)} * least(1::double, greatest(-1::double, {mean}))) as {c}"
+
+
+_SUMS, _FILLS = zip(*[_filled(c, b, 4.0) for c, b in _TWO.items()])
+
+
+@query("chain_private_impute", (
+    f"with l as (select l_orderkey, l_linenumber, l_returnflag, case when l_linenumber <> 3 then l_quantity end as l_quantity, "
+    f"case when l_linenumber <> 2 then l_extendedprice end as l_extendedprice from lineitem), n0 as (select {', '.join(_SUMS)} from l), "
+    f"z as (select row_number() over () as id, l_returnflag, {', '.join(_FILLS)}, {uni('split', _KEY, seed=1)} >= 0.2::double as train from l, n0), "
+    + _bayes_sql("z", [QU, PU], 1.0)))
+def _(spark, sf):
+    gaps = _li(spark, sf).withColumns({"l_quantity": F.when(F.col("l_linenumber") != 3, F.col("l_quantity")), "l_extendedprice": F.when(F.col("l_linenumber") != 2, F.col("l_extendedprice"))})
+    chain = DPPipeline([DPGaussianNB(1.0, _TWO, FLAGS)], imputer_epsilon=1.0)
+    return rounded(chain.fit(gaps, list(_TWO), "l_returnflag", _KEY, MODE, imputer="mean").score(0.5, MODE))
+
+
 # -- synthetic data ------------------------------------------------------------------------------------------------
 
 _COLS = ["c_nationkey", "c_acctbal", "c_mktsegment"]
