@@ -8,10 +8,11 @@ column expression over ``uniform`` for rehearsals and tests, refused unless inse
 from __future__ import annotations
 
 import os
-import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import MAX_EMAX, MIN_EMIN, Decimal, localcontext
 from fractions import Fraction
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -95,31 +96,50 @@ def _entropy_uniform(n: int) -> np.ndarray:
     return (bits.astype(np.float64) + 0.5) / 2.0**52
 
 
-def _coin_exp(gamma: Fraction) -> bool:
-    """True with probability exp(-gamma), by integer draws only (Canonne, Kamath, Steinke 2020)."""
-    while gamma > 1:
-        if not _coin_exp(Fraction(1)):
-            return False
-        gamma -= 1
-    k = 1
-    while secrets.randbelow(gamma.denominator * k) < gamma.numerator:
-        k += 1
-    return k % 2 == 1
-
-
-def discrete_laplace_draw(scale: Fraction) -> int:
-    """Integer x with probability proportional to exp(-|x| / scale)."""
-    while True:
-        low = secrets.randbelow(scale.numerator)
-        if not _coin_exp(Fraction(low, scale.numerator)):
-            continue
-        high = 0
-        while _coin_exp(Fraction(1)):
-            high += 1
-        size = (low + scale.numerator * high) // scale.denominator
-        negative = secrets.randbelow(2) == 1
-        if not (negative and size == 0):
-            return -size if negative else size
+WORDS = 4  # 64-bit words to which a probability is known
+
+
+@cache
+def bit_chances(scale: Fraction) -> tuple[tuple[int, ...], ...]:
+    """Chance of each binary digit of a geometric variable with ratio exp(-1 / scale), as words of its binary expansion.
+
+    The digits of a geometric variable are independent: digit j is one with chance 1 / (1 + exp(2^j / scale)).  Digits
+    whose chance is below the last word's last bit are left out.
+    """
+    out, j = [], 0
+    with localcontext() as context:
+        context.prec, context.Emax, context.Emin = 120, MAX_EMAX, MIN_EMIN
+        while Fraction(2**j) / scale < 64 * WORDS:
+            x = Decimal(2**j * scale.denominator) / Decimal(scale.numerator)
+            digits = int(Decimal(2) ** (64 * WORDS) / (1 + x.exp()))
+            out.append(tuple(digits >> 64 * (WORDS - 1 - k) & (2**64 - 1) for k in range(WORDS)))
+            j += 1
+    if j > 62:
+        raise InvalidQuery("the noise scale is too large for whole numbers")
+    return tuple(out)
+
+
+def geometric_draws(scale: Fraction, n: int) -> np.ndarray:
+    """Whole numbers with chances proportional to exp(-x / scale): random words against known ones, digit by digit.
+
+    Only integers are compared.  A word that equals the known one leaves the digit open, and the next word decides.
+    """
+    total = np.zeros(n, np.int64)
+    for j, chance in enumerate(bit_chances(scale)):
+        open_ = np.arange(n)
+        for word in chance:
+            drawn = np.frombuffer(os.urandom(8 * len(open_)), np.uint64)
+            total[open_[drawn < np.uint64(word)]] += 1 << j
+            open_ = open_[drawn == np.uint64(word)]
+            if not len(open_):
+                break
+    return total
+
+
+def discrete_laplace_draws(scale: float, n: int) -> np.ndarray:
+    """Whole numbers with chances proportional to exp(-|x| / scale), as the difference of two geometric ones."""
+    exact = Fraction(float(scale))
+    return geometric_draws(exact, n) - geometric_draws(exact, n)
 
 
 def secure_draws(mechanism: str, scale: np.ndarray) -> np.ndarray:
@@ -131,7 +151,11 @@ def secure_draws(mechanism: str, scale: np.ndarray) -> np.ndarray:
         return scale * np.sqrt(-2.0 * np.log(_entropy_uniform(n))) * np.cos(2.0 * np.pi * _entropy_uniform(n))
     if mechanism == "gumbel":
         return -scale * np.log(-np.log(_entropy_uniform(n)))
-    return np.array([discrete_laplace_draw(Fraction(float(s))) for s in scale], dtype=float)
+    out = np.empty(n)
+    for s in np.unique(scale):  # rows of one release share a few scales
+        same = scale == s
+        out[same] = discrete_laplace_draws(s, int(same.sum()))
+    return out
 
 
 def add_noise(df: DataFrame, noises: list[Noise], keys: list[str], mode: Secure | Seeded, tag: str) -> DataFrame:

@@ -1,9 +1,12 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from hushframe.errors import InvalidQuery
-from hushframe.functions.noise import Noise, Secure, Seeded, add_noise, select_noisy_max
+from hushframe.functions.noise import WORDS, Noise, Secure, Seeded, add_noise, bit_chances, discrete_laplace_draws, select_noisy_max
 from hushframe.functions.uniform import hex_mark, uniform, uniform_below, uniform_slot
 
 LAWS = {  # mean, variance and median magnitude for scale 3
@@ -85,3 +88,29 @@ def test_public_domains_have_no_cap(spark):
     assert cells.rdd.getNumPartitions() == 100_000 and len(cells.columns) == 13  # generated lazily, far above what fits anywhere
     exact = domain_frame(spark, {"a": ["x", "y"], "b": list(range(3))}, number="id").orderBy("id").collect()
     assert [(r.a, r.b) for r in exact] == [(a, b) for a in "xy" for b in range(3)]
+
+
+@pytest.mark.parametrize("scale", [0.3, 1.0, 2.5, 40.0])
+def test_batched_discrete_noise_follows_its_law(scale):
+    n, ratio = 400_000, math.exp(-1.0 / scale)
+    draws = discrete_laplace_draws(scale, n)
+    assert draws.dtype == np.int64
+    reach = int(6 * scale) + 1
+    law = np.array([(1 - ratio) / (1 + ratio) * ratio ** abs(x) for x in range(-reach, reach + 1)])
+    seen = np.array([(draws == x).sum() for x in range(-reach, reach + 1)])
+    law, seen = np.append(law, 1 - law.sum()) * n, np.append(seen, n - seen.sum())
+    wide = law >= 5
+    chi = ((seen - law)[wide] ** 2 / law[wide]).sum()
+    assert chi < wide.sum() + 5 * math.sqrt(2 * wide.sum())
+
+
+def test_digits_of_a_geometric_variable():
+    """Chances of the digits multiply to the law, to far more places than a double has."""
+    scale = Fraction(7, 3)
+    chances = [sum(w << 64 * (WORDS - 1 - k) for k, w in enumerate(c)) / Fraction(2 ** (64 * WORDS)) for c in bit_chances(scale)]
+    p = lambda x: math.prod(c if x >> j & 1 else 1 - c for j, c in enumerate(chances))
+    for x in (0, 1, 5, 12, 40):
+        assert abs(float(p(x + 1) / p(x)) - math.exp(-3 / 7)) < 1e-15
+    assert abs(float(1 - sum(p(x) for x in range(300)))) < 1e-15
+    with pytest.raises(InvalidQuery):
+        bit_chances(Fraction(2**60))
