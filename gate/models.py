@@ -394,6 +394,18 @@ def _(spark, sf):
     return rounded(fitted.score(0.5, MODE))
 
 
+_FAR = {f"distance{k}": (0.0, 120000.0) for k in range(3)}
+
+
+@query("k_means_then_bayes", (
+    f"with {_TRAIN}, {_trained(_kmeans_sql())}, z as (select id, train, l_returnflag, " + ", ".join(
+        f"sqrt(({_IN[0]} - (25::double + 25::double * (select x from c3 where k = {k}))) ** 2 + ({_IN[1]} - (50000::double + 50000::double * (select y from c3 where k = {k}))) ** 2) "
+        f"as distance{k}" for k in range(3)) + " from t), " + _bayes_sql("z", [unit(c, *b) for c, b in _FAR.items()], 1.0)))
+def _(spark, sf):
+    fitted = DPPipeline([_KM, DPGaussianNB(1.0, _FAR, FLAGS)]).fit(_li(spark, sf), list(_TWO), "l_returnflag", _KEY, MODE)
+    return rounded(fitted.score(0.5, MODE))
+
+
 def _filled(c: str, bounds: tuple[float, float], scale: float) -> tuple[str, str]:
     """Noisy sums of a column with gaps, and the column with its gaps filled by their mean."""
     low, high = bounds

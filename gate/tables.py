@@ -6,12 +6,14 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from gate.aggregates import _quantile, _quantile_sql
 from gate.core import (
-    CUSTOMER, LINEITEM, MODE, ORDERS, PRIORITIES, SEGMENTS, clamp, digest_sql, exact, lap, out, query, rounded, table, uni, values,
+    CUSTOMER, FLAGS, LINEITEM, MODE, ORDERS, PRIORITIES, SEGMENTS, clamp, digest_sql, exact, lap, out, query, rounded, table, uni, unit, values,
 )
 
 from hushframe.functions.transform import Anonymize, Bins, Chain, Clamp, DaysSince, Label, MinMax, OneHot
 from hushframe.metadata import TableMeta
+from hushframe.ml.base import noisy_sums, unit_scaled
 from hushframe.operators import clean as C
 from hushframe.operators import post as P
 from hushframe.operators.aggregate import private_agg
@@ -78,7 +80,7 @@ def _drawn(tag: str) -> str:
 _HOLES = " or ".join(f"id = floor({uni('flag|null', [], chr(39) + str(i) + chr(39), seed=42)} * n)" for i in range(5))
 
 
-@query("dummy_table", f"""with r as (select range as id, n from (select count(*) as n from customer) c, range((select count(*) from customer)))
+@query("dummy_table", f"""with r as (select c_custkey as id, n from customer, (select count(*) as n from customer) c)
  select id, ['x','y','z'][floor({_drawn('kind')} * 3)::int + 1] as kind, substr('{CHARACTERS}', floor({_drawn('letter')} * 62)::int + 1, 1) as letter,
  case when not ({_HOLES}) then {_drawn('flag')} < 0.5 end as flag, {out(f'10::double + 10::double * {_drawn('small')}', 'small')},
  (100 + floor({_drawn('big')} * 21))::bigint as big, strftime(timestamp '2000-01-01' + to_days(floor({_drawn('day')} * 3654)::int), '%Y-%m-%dT%H:%M:%S') as day from r""")
@@ -398,16 +400,28 @@ def _(spark, sf):
     return t.select("group_a", "group_b", (F.round("t", 6) + 0.0).alias("t"), (F.round("degrees", 4) + 0.0).alias("degrees"))
 
 
+_SLOPE = {"x": "q", "y": "p", "xx": "q * q", "xy": "q * p", "yy": "p * p"}
+_SLOPE_Q, _SLOPE_P = unit("l_quantity", 0.0, 50.0), unit("l_extendedprice", 0.0, 100000.0)
+
+
 @query("slope_test", (
-    "with m as (select l_returnflag, regr_r2(l_extendedprice, l_quantity) as r2, regr_slope(l_extendedprice, l_quantity) as b, var_samp(l_extendedprice) as vy, "
-    "var_samp(l_quantity) as vx, count(*)::double as n from lineitem group by 1) "
-    "select l_returnflag, round(sqrt((1::double - r2) * vy / (vx * (n - 2))), 4) as error, round(b / sqrt((1::double - r2) * vy / (vx * (n - 2))), 4) as t from m"))
-def _(spark, sf):
-    m = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
-        F.expr("regr_r2(l_extendedprice, l_quantity)").alias("r2"), F.expr("regr_slope(l_extendedprice, l_quantity)").alias("b"),
-        F.var_samp("l_extendedprice").alias("vy"), F.var_samp("l_quantity").alias("vx"), F.count("*").cast("double").alias("n"))
+    f"with u as (select l_returnflag, {_SLOPE_Q} as q, {_SLOPE_P} as p from lineitem), "
+    f"e as (select l_returnflag, count(*)::double as n, {', '.join(f'{exact(x, 1.0)} as {k}' for k, x in _SLOPE.items())} from u group by 1), "
+    f"s as (select l_returnflag, {', '.join(f'{k} + {lap(f'slope|{k}', ['l_returnflag'], 3.0)} as {k}' for k in ['n', *_SLOPE])} from e), "
+    "m as (select l_returnflag, n, (xx - x * x / n) / (n - 1) as vx, (yy - y * y / n) / (n - 1) as vy, (xy - x * y / n) / (n - 1) as c from s) "
+    "select l_returnflag, round(sqrt((1::double - c * c / (vx * vy)) * vy / (vx * (n - 2))), 6) as error, "
+    "round(c / vx / sqrt((1::double - c * c / (vx * vy)) * vy / (vx * (n - 2))), 4) as t from m"))
+def _(spark, sf):
+    """From a release of noisy moments on the unit scale, not from the rows."""
+    u = unit_scaled({"l_quantity": (0.0, 50.0), "l_extendedprice": (0.0, 100000.0)})
+    q, p = u["l_quantity"], u["l_extendedprice"]
+    sums = {k: (c, 1.0) for k, c in {"x": q, "y": p, "xx": q * q, "xy": q * p, "yy": p * p}.items()}
+    s = noisy_sums(table(spark, sf, "lineitem"), sums, 2.0, MODE, "slope", by={"l_returnflag": FLAGS}, counts=("n",))
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    m = s.select("l_returnflag", "n", ((F.col("xx") - x * x / n) / (n - 1)).alias("vx"), ((F.col("yy") - y * y / n) / (n - 1)).alias("vy"), ((F.col("xy") - x * y / n) / (n - 1)).alias("c"))
+    m = m.withColumns({"r2": F.col("c") * F.col("c") / (F.col("vx") * F.col("vy")), "b": F.col("c") / F.col("vx")})
     error, t = P.slope_test(F.col("r2"), F.col("vy"), F.col("vx"), F.col("n"), F.col("b"))
-    return m.select("l_returnflag", F.round(error, 4).alias("error"), F.round(t, 4).alias("t"))
+    return m.select("l_returnflag", F.round(error, 6).alias("error"), F.round(t, 4).alias("t"))
 
 
 @query("recode", "select c_custkey, case c_nationkey % 4 when 0 then 'north' when 1 then 'south' when 2 then 'east' end as side from customer")
@@ -415,12 +429,14 @@ def _(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", P.recode(F.col("c_nationkey") % 4, {0: "north", 1: "south", 2: "east"}).alias("side"))
 
 
+_FAN = ", ".join(f"{c} as ({_quantile_sql(q)})" for c, q in (("lo", 0.25), ("mid", 0.5), ("hi", 0.75)))
+
+
 @query("quantile_fan", (
-    f"with q as (select l_returnflag, l_linestatus, quantile_cont(l_quantity, 0.25) as lo, quantile_cont(l_quantity, 0.5) as mid, quantile_cont(l_quantity, 0.75) as hi from lineitem group by 1, 2), "
-    f"d as (select *, range::int as draw from q, range(100)), u as (select *, {uni('fan', ['l_returnflag', 'l_linestatus'], 'draw::varchar')} as u from d) "
-    f"select l_returnflag, l_linestatus, draw, round(case when draw < 50 then lo + u * (mid - lo) else mid + u * (hi - mid) end, 6) as value from u"))
-def _(spark, sf):
-    q = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
-        F.expr("percentile(l_quantity, array(0.25, 0.5, 0.75))").alias("p"))
-    q = q.select("l_returnflag", "l_linestatus", F.col("p")[0].alias("lo"), F.col("p")[1].alias("mid"), F.col("p")[2].alias("hi"))
-    return rounded(P.quantile_fan(q, ["l_returnflag", "l_linestatus"], "lo", "mid", "hi", 7))
+    f"with {_FAN}, q as (select l_returnflag, lo.quantile as lo, mid.quantile as mid, hi.quantile as hi from lo join mid using (l_returnflag) join hi using (l_returnflag)), "
+    f"d as (select *, range::int as draw from q, range(100)), u as (select *, {uni('fan', ['l_returnflag'], 'draw::varchar')} as u from d) "
+    f"select l_returnflag, draw, round(case when draw < 50 then lo + u * (mid - lo) else mid + u * (hi - mid) end, 6) as value from u"))
+def _(spark, sf):
+    """From released quantiles, not from the rows."""
+    lo, mid, hi = (_quantile(spark, sf, q).withColumnRenamed("quantile", n) for n, q in (("lo", 0.25), ("mid", 0.5), ("hi", 0.75)))
+    return rounded(P.quantile_fan(lo.join(mid, "l_returnflag").join(hi, "l_returnflag"), ["l_returnflag"], "lo", "mid", "hi", 7))

@@ -57,7 +57,7 @@ class FittedChain:
 
 @dataclass
 class DPPipeline:
-    """Scalers and components first, then one estimator; ``target=None`` for unsupervised estimators.
+    """Scalers, components and distances to centres first, then one estimator; ``target=None`` for unsupervised estimators.
 
     Missing values are dropped, or replaced by noisy means within the bounds of the first step that declares some
     (``imputer="mean"``), which ``imputer_epsilon`` pays for.  Exact statistics of the table are not read.
@@ -88,14 +88,17 @@ class DPPipeline:
         fitted, data = [], train
         for i, step in enumerate(self.steps):
             last = i == len(self.steps) - 1
-            if isinstance(step, (DPStandardScaler, DPPCA)) and not last:
+            if isinstance(step, (DPStandardScaler, DPPCA, DPKMeans)) and not last:
                 model = step.fit(data, mode)
                 data = model.transform(data)
-                features = [f"pc{k}" for k in range(len(model.components))] if isinstance(step, DPPCA) else features
+                if isinstance(step, DPPCA):
+                    features = [f"pc{k}" for k in range(len(model.components))]
+                elif isinstance(step, DPKMeans):
+                    features = [f"distance{k}" for k in range(step.k)]
             elif last:
                 model = _fit(step, data, features, target, key, mode)
             else:
-                raise InvalidQuery("only scalers and components may come before the last step")
+                raise InvalidQuery("only scalers, components and centres may come before the last step")
             fitted.append(model)
         return FittedChain(fitted, list(features), target, test, getattr(self.steps[-1], "target_bounds", None), getattr(self.steps[-1], "bounds", None))
 

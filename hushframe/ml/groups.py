@@ -14,7 +14,7 @@ from hushframe.functions.literals import constant_table
 from hushframe.functions.noise import Noise, Secure, Seeded, add_noise
 from hushframe.functions.uniform import uniform_slot
 from hushframe.ml.base import Bounds, Estimator, Model, arg_max, check_bounds, noisy_sums, unit_scaled
-from hushframe.operators.domain import complete
+from hushframe.operators.domain import clamped, complete
 
 
 def plain_uniform(*parts) -> float:
@@ -229,6 +229,12 @@ class KMeansModel(Model):
     def predict_column(self) -> Column:
         return nearest(list(unit_scaled(self.bounds).values()), self.scaled())
 
+    def transform(self, df: DataFrame, prefix: str = "distance") -> DataFrame:
+        """Distance of the clamped row to every centre, missing values at the middle of their bounds."""
+        values = [F.coalesce(clamped(c, *b).cast("double"), F.lit((b[0] + b[1]) / 2.0)) for c, b in self.bounds.items()]
+        squares = [sum(((v - F.lit(x)) * (v - F.lit(x)) for v, x in zip(values, center)), F.lit(0.0)) for center in self.centers]
+        return df.withColumns({f"{prefix}{k}": F.sqrt(s) for k, s in enumerate(squares)})
+
     def scaled(self) -> list[list[float]]:
         spans = [((a + b) / 2.0, (b - a) / 2.0 or 1.0) for a, b in self.bounds.values()]
         return [[(v - m) / h for v, (m, h) in zip(c, spans)] for c in self.centers]

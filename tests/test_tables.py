@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushframe.errors import InvalidQuery
-from hushframe.functions.transform import Anonymize, Bins, Clamp, DaysSince, Label, decode, default_plan, encode
+from hushframe.functions.transform import Anonymize, Bins, Clamp, DaysSince, Label, MinMax, decode, default_plan, encode
 from hushframe.metadata import TableMeta
 from hushframe.operators import clean as C
 from hushframe.operators import post as P
@@ -67,6 +67,22 @@ def test_from_frame_needs_declared_columns(spark):
         from_frame(META, spark.range(3))
 
 
+def test_long_category_lists_are_searched(spark):
+    names = tuple(f"k{(7 * i) % 101}é" for i in range(101)) + ("k3é",)
+    rows = spark.createDataFrame([(n,) for n in [*names, "", "zzz", "k", None]], "c string")
+    got = rows.select("c", Label(names, True).encode(F.col("c")).alias("e")).collect()
+    assert all(r.e == (102 if r.c is None else names.index(r.c) if r.c in names else None) for r in got)
+    numbers = tuple(range(50, 0, -1))
+    assert [r.e for r in spark.range(52).select(Label(numbers).encode(F.col("id").cast("int")).alias("e")).collect()] == [None, *range(49, -1, -1), None]
+
+
+def test_nullable_min_max(spark):
+    step = MinMax(0.0, 10.0, True)
+    rows = spark.createDataFrame([(0.0,), (7.5,), (None,), (float("nan"),)], "x double").select(step.encode(F.col("x")).alias("e"))
+    assert [r.e for r in rows.collect()] == [[-1.0, 0.0], [0.5, 0.0], [0.0, 1.0], [0.0, 1.0]]
+    assert [r.x for r in rows.select(step.decode(F.col("e")).alias("x")).collect()] == [0.0, 7.5, None, None]
+
+
 def test_exact_quantiles_with_a_hot_value(spark):
     rows = spark.range(9001).select(F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.sin("id") * F.pow(F.lit(10.0), F.col("id") % 40 - 10)).alias("a"),
                                     F.when(F.col("id") % 2 == 0, F.col("id")).alias("b"), F.lit(None).cast("double").alias("c"))
