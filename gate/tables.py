@@ -89,6 +89,18 @@ def _(spark, sf):
     return iso_datetimes(rounded(dummy_like(customers, "c_custkey", _DUMMY, 42, customers.count())))
 
 
+@query("read_mounted", "select c_mktsegment, count(*)::bigint as n, round(sum(c_acctbal), 2) as total from customer group by 1")
+def _(spark, sf):
+    """The table by a path that only Spark's file systems know, and a release written and read there."""
+    mount, conf = fresh_path(spark, "mounted"), spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.gate.link./in", sf if "://" in sf else f"file://{sf}")
+    conf.set("fs.viewfs.mounttable.gate.link./out", mount if "://" in mount else f"file://{mount}")
+    columns = {"c_mktsegment": {"type": "string"}, "c_acctbal": {"type": "float", "precision": 64, "lower": -1000, "upper": 10000}}
+    rows = read_private(spark, TableMeta.from_dict({"columns": columns}), "viewfs://gate/in/customer.parquet")
+    write_release(rows.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total")), "viewfs://gate/out/release")
+    return read_release(spark, "viewfs://gate/out/release")
+
+
 @query("split_lines", "select c_custkey::varchar as c_custkey, c_name, c_mktsegment from customer")
 def _(spark, sf):
     lines = table(spark, sf, "customer").select(F.concat_ws(";", "c_custkey", "c_name", "c_mktsegment").alias("value"))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from hushframe.errors import InvalidQuery
 from hushframe.operators.prefix import chunk_edges, running_sums
-from hushframe.session import written
+from hushframe.session import Scratch, written
 
 # Most a user may hold per dataset.
 EPSILON_LIMIT = 10.0
@@ -100,15 +100,16 @@ def admit(requests: DataFrame, budgets: DataFrame, hot_requests: int = HOT_REQUE
     priced = requests.join(budget, KEYS, "left").withColumns(
         {"__e": amount("cost_epsilon", "epsilon"), "__d": amount("cost_delta", "delta")})
     affordable = F.coalesce((F.col("__e") <= F.col("__be")) & (F.col("__d") <= F.col("__bd")), F.lit(False))
-    open_ = written(priced.filter(affordable).select(*KEYS, "request_id", "__e", "__d", "__be", "__bd"), "admission-open")  # priced once
-
-    sizes = open_.groupBy(*KEYS).agg(F.count("*").alias("__n"))
-    hot_keys = sizes.filter(F.col("__n") > hot_requests).select(*KEYS)
-    has_hot = not hot_keys.isEmpty()
-    cold = open_.join(hot_keys, KEYS, "left_anti") if has_hot else open_
-    accepted = _fold(cold)
-    if has_hot:
-        accepted = accepted.unionByName(_settle_hot(open_.join(hot_keys, KEYS, "left_semi"), hot_requests))
+    with Scratch(requests.sparkSession) as held:
+        open_ = held(priced.filter(affordable).select(*KEYS, "request_id", "__e", "__d", "__be", "__bd"), "admission-open")  # priced once
+        sizes = open_.groupBy(*KEYS).agg(F.count("*").alias("__n"))
+        hot_keys = sizes.filter(F.col("__n") > hot_requests).select(*KEYS)
+        has_hot = not hot_keys.isEmpty()
+        cold = open_.join(hot_keys, KEYS, "left_anti") if has_hot else open_
+        accepted = _fold(cold)
+        if has_hot:
+            accepted = accepted.unionByName(_settle_hot(open_.join(hot_keys, KEYS, "left_semi"), hot_requests, held))
+        accepted = written(accepted, "admission-accepted")  # all that is kept of the phases
     marked = accepted.withColumn("__in", F.lit(True))
     return requests.join(marked, [*KEYS, "request_id"], "left").select(
         *requests.columns, F.coalesce("__in", F.lit(False)).alias("admitted"))
@@ -132,7 +133,7 @@ def _fold(requests: DataFrame) -> DataFrame:
     return folded.select(*KEYS, F.explode(F.transform(flags, lambda r: r["id"])).alias("request_id"))
 
 
-def _settle_hot(requests: DataFrame, hot_requests: int) -> DataFrame:
+def _settle_hot(requests: DataFrame, hot_requests: int, held: Scratch) -> DataFrame:
     """Admitted requests of large keys, by phases of halving budgets.
 
     In a phase with (E, D) left, call a request small when it costs at most E/2 and at most D/2.  Until one
@@ -142,16 +143,16 @@ def _settle_hot(requests: DataFrame, hot_requests: int) -> DataFrame:
     logarithmic in budget over cost.  Keys whose affordable later requests fit one array leave for the fold.
     """
     edges = chunk_edges(requests, "request_id")
-    rows = written(requests, "admission-requests")
+    rows = held(requests, "admission-requests")
     state = rows.groupBy(*KEYS).agg(
         F.first("__be").alias("e"), F.first("__bd").alias("d"), F.lit(None).cast("bigint").alias("after"))
     none_e, none_d = (F.lit(0).cast(t) for t in AMOUNTS.values())
     accepted = []
     while True:
-        state = written(state, "admission-state")
+        state = held(state, "admission-state")
         live = rows.select(*KEYS, "request_id", "__e", "__d").join(state, KEYS).filter(
             (F.col("after").isNull() | (F.col("request_id") > F.col("after"))) & (F.col("__e") <= F.col("e")) & (F.col("__d") <= F.col("d")))
-        sizes = written(live.groupBy(*KEYS).agg((F.count("*") > hot_requests).alias("large")), "admission-sizes")
+        sizes = held(live.groupBy(*KEYS).agg((F.count("*") > hot_requests).alias("large")), "admission-sizes")
         settled = sizes.filter(~F.col("large")).select(*KEYS)
         accepted.append(_fold(live.join(settled, KEYS, "left_semi").withColumnsRenamed({"e": "__be", "d": "__bd"})))
         if sizes.filter("large").isEmpty():
@@ -168,7 +169,7 @@ def _settle_hot(requests: DataFrame, hot_requests: int) -> DataFrame:
         after_d = F.when(F.col("__small"), left_d).otherwise(left_d - F.col("__d")).cast(AMOUNTS["delta"]).alias("d")
         # the first request that ends the phase; without one every small request of the key was admitted
         stop = F.min(F.when(crossing | fits, F.struct("request_id", after_e, after_d)))
-        stops = written(summed.groupBy(*KEYS).agg(stop.alias("stop")), "admission-stop")
+        stops = held(summed.groupBy(*KEYS).agg(stop.alias("stop")), "admission-stop")
         at = F.coalesce(F.col("stop.request_id"), F.lit(2**63 - 1))
         taken = large.join(stops, KEYS).filter((F.col("__small") & (F.col("request_id") < at)) | (F.col("request_id") == at))
         accepted.append(taken.select(*KEYS, "request_id"))

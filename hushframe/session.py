@@ -39,6 +39,26 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables of one operator: ``with Scratch(spark) as held: t = held(df, "name")`` keeps them until the block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(fresh_path(self.spark, name))
+        return written(df, name, self.paths[-1])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        conf = self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def small_table(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
     """Driver-side parameters as a table, handed to the JVM as one Arrow batch without Python workers."""
     return spark.createDataFrame(pa.table({k: list(v) for k, v in columns.items()}), schema)
