@@ -2,8 +2,8 @@
 
 Scale notes.  A row limit of up to ``MAP_SIDE_LIMIT`` is a rank filter, which Spark turns into a
 WindowGroupLimit below the shuffle: a hot unit leaves at most that many rows per map task.  Larger
-limits use a counting pass over hash buckets: whole buckets below the cut pass without any sort, and only
-the bucket the cut falls into is ranked, with equal rows collapsed to one row and a count first.
+limits find the n-th smallest hash of each group by refining the hash digits from counts, and are then a filter:
+no task sorts a group, whatever its size.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from hushframe.errors import InvalidQuery
 from hushframe.functions.uniform import digest
 from hushframe.operators.repeat import repeat_rows
+from hushframe.session import Scratch, written
 
 MAP_SIDE_LIMIT = 64
 BUCKET_HEX_DIGITS = 4
@@ -48,7 +49,8 @@ def keep_smallest(
 ) -> DataFrame:
     """The ``n`` rows of each group with the smallest hash of ``order``, exactly, for any group size.
 
-    Without group columns the cut is found at once (one small job); otherwise everything is lazy.
+    The thresholds of large limits are found and stored at once: one scan that counts and one that looks at the rows
+    around the cut.
     """
     if n <= 0:
         raise InvalidQuery("a row limit must be positive")
@@ -59,40 +61,61 @@ def keep_smallest(
         ranked = Window.partitionBy(*by).orderBy(row_order(order, seed), *order, *rest)
         return df.withColumn("__rank", F.row_number().over(ranked)).filter(F.col("__rank") <= n).drop("__rank")
 
-    keys = [f"__k{i}" for i in range(len(by))]
-    tagged = df.withColumns({**{k: F.col(c) for k, c in zip(keys, by)}, "__hash": row_order(order, seed)})
-    tagged = tagged.withColumn("__bucket", F.substring("__hash", 1, BUCKET_HEX_DIGITS))
-    running = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__bucket")
-    cut = (
-        tagged.groupBy(*keys, "__bucket")
-        .agg(F.count("*").alias("__n"))
-        .withColumn("__upto", F.sum("__n").over(running))
-        .filter((F.col("__upto") >= n) & (F.col("__upto") - F.col("__n") < n))
-        .select(*[F.col(k).alias(f"{k}c") for k in keys], F.col("__bucket").alias("__cut"),
-                (F.lit(n) - (F.col("__upto") - F.col("__n"))).alias("__left"))
-    )
-    if by:
-        matched = F.lit(True)
-        for k in keys:
-            matched = matched & F.col(k).eqNullSafe(F.col(f"{k}c"))
-        marked = tagged.join(cut, matched, "left")
-    else:
-        # one group, so one cut: two constants instead of a join
-        found = cut.first()
-        if found is None:
-            return df
-        marked = tagged.withColumns({"__cut": F.lit(found["__cut"]), "__left": F.lit(found["__left"])})
-    whole = marked.filter(F.col("__cut").isNull() | (F.col("__bucket") < F.col("__cut"))).select(*df.columns)
-
-    within = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__hash", *order, *[c for c in df.columns if c not in order])
+    keys = [f"__k{i}" for i in range(len(by))] or ["__k"]
+    named = {k: F.col(c) for k, c in zip(keys, by)} or {"__k": F.lit(0)}
+    tagged = df.withColumns({**named, "__hash": row_order(order, seed)})
+    with Scratch(df.sparkSession) as held:
+        cut = written(_thresholds(tagged, keys, n, held), "bound-thresholds")  # a row per group
+    found = cut.select(*[F.col(k).alias(f"{k}c") for k in keys], "__last", "__left", "__ties")
+    matched = F.lit(True)
+    for k in keys:
+        matched = matched & F.col(k).eqNullSafe(F.col(f"{k}c"))
+    marked = tagged.join(found, matched, "left")
+    inside = F.col("__last").isNull() | (F.col("__hash") < F.col("__last"))
+    if cut.filter("__left < __ties").isEmpty():
+        return marked.filter(inside | (F.col("__hash") == F.col("__last"))).select(*df.columns)
+    # rows that the order does not tell apart: equal ones are collapsed, then ranked by their other columns
+    within = Window.partitionBy(*keys).orderBy(*order, *[c for c in df.columns if c not in order])
     edge = (
-        marked.filter(F.col("__bucket") == F.col("__cut"))
-        .groupBy(*keys, "__hash", "__left", *df.columns)
+        marked.filter(F.col("__hash") == F.col("__last"))
+        .groupBy(*keys, "__left", *df.columns)
         .agg(F.count("*").alias("__copies"))
         .withColumn("__before", F.sum("__copies").over(within) - F.col("__copies"))
         .withColumn("__take", F.least(F.col("__copies"), F.col("__left") - F.col("__before")))
     )
-    return whole.unionByName(repeat_rows(edge.select(*df.columns, "__take"), "__take").select(*df.columns))
+    return marked.filter(inside).select(*df.columns).unionByName(repeat_rows(edge.select(*df.columns, "__take"), "__take").select(*df.columns))
+
+
+def _thresholds(tagged: DataFrame, keys: list[str], n: int, held: Scratch) -> DataFrame:
+    """Per group of more than ``n`` rows: its n-th smallest hash, the rows of that hash that it keeps, and those it has.
+
+    The hash is cut digit by digit.  The first digits are counted over all rows; the rows of the bucket that the cut falls
+    into, one in 65,536, are all that is looked at again.
+    """
+    def cut_by(counts: DataFrame, part: str, before: str | None) -> DataFrame:
+        """The row of each group in which the running count reaches ``n``; ``__upto`` counts the rows before it."""
+        upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, 0))
+        start = upto - F.col("__n") if before is None else F.col(before) + upto - F.col("__n")
+        return counts.withColumn("__start", start).filter((F.col("__start") < n) & (F.col("__start") + F.col("__n") >= n))
+
+    def again(found: DataFrame, part: str) -> DataFrame:
+        return found.select(*[F.col(k).alias(f"{k}f") for k in keys], F.col(part).alias("__cut"), F.col("__start").alias("__base"))
+
+    def same(part) -> object:
+        out = part == F.col("__cut")
+        for k in keys:
+            out = out & F.col(k).eqNullSafe(F.col(f"{k}f"))
+        return out
+
+    digits = F.substring("__hash", 1, BUCKET_HEX_DIGITS)
+    first = cut_by(tagged.groupBy(*keys, digits.alias("__part")).agg(F.count("*").alias("__n")), "__part", None)
+    hashes = tagged.join(again(first, "__part"), same(digits)).groupBy(*keys, "__hash", "__base").agg(F.count("*").alias("__n"))
+    hashes = held(hashes, "bound-hashes")
+    following = F.substring("__hash", 1, 2 * BUCKET_HEX_DIGITS)
+    second = cut_by(hashes.groupBy(*keys, "__base", following.alias("__part")).agg(F.sum("__n").alias("__n")), "__part", "__base")
+    last = hashes.drop("__base").join(again(second, "__part"), same(following)).select(*keys, "__hash", "__n", "__base")
+    found = cut_by(last, "__hash", "__base")
+    return found.select(*keys, F.col("__hash").alias("__last"), (F.lit(n) - F.col("__start")).alias("__left"), F.col("__n").alias("__ties"))
 
 
 def _listed(columns: list[str] | str) -> list[str]:
