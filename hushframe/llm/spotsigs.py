@@ -116,32 +116,37 @@ def with_next(docs: DataFrame, text: str = "text", id: str = "doc_id", add: Call
     """
     key = F.col(f"`{id}`").cast("bigint")
     rows = docs.select(key.alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    marks = rows.agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"),
+    marks = rows.agg(F.count("*").alias("n"), F.count("id").alias("known"), F.min("id").alias("least"), F.max("id").alias("most"),
                      F.percentile_approx("id", [i / (QUANTILES + 1) for i in range(1, QUANTILES + 1)], 10_000).alias("cuts")).first()
     cuts = sorted(set(marks["cuts"] or []))
-    share = max(1, math.ceil(min(marks["n"] / ROWS, RANGES) / (len(cuts) + 1)))  # ranges of equal width between two cuts
+    share = max(1, math.ceil(min(marks["known"] / ROWS, RANGES) / (len(cuts) + 1)))  # ranges of equal width between two cuts
+    nameless = max(1, math.ceil(min((marks["n"] - marks["known"]) / ROWS, RANGES)))  # ranges of rows without an id, by a hash of the text
     lows, highs = [marks["least"] or 0, *cuts], [*cuts, (marks["most"] or 0) + 1]
     at = edges_at_or_below(F.col("id"), cuts) if cuts else F.lit(0)
     low, width = (F.element_at(F.array(*[F.lit(int(v)) for v in vs]), at + 1) for vs in (lows, [max(1, -(-(b - a) // share)) for a, b in zip(lows, highs)]))
-    ranged = F.coalesce(at.cast("bigint") * share + F.least(F.floor((F.col("id") - low) / width), F.lit(share - 1)), F.lit(-1).cast("bigint"))
-    tops = rows.select("id").withColumn("range", ranged).groupBy("range").agg(F.max("id").alias("top"))
+    by_id = at.cast("bigint") * share + F.least(F.floor((F.col("id") - low) / width), F.lit(share - 1))
+    by_text = F.lit(-1) - F.least(F.floor((F.xxhash64("text") / F.lit(2.0**64) + F.lit(0.5)) * F.lit(float(nameless))), F.lit(nameless - 1))
+    ranged = F.when(F.col("id").isNull(), by_text).otherwise(by_id).cast("bigint")
+    first_of = F.struct(F.bitwise_not("id").alias("low"), F.when(F.col("id").isNull(), F.xxhash64("text")).alias("hash"))  # by descending id, then by hash
+    tops = rows.withColumn("range", ranged).groupBy("range").agg(F.min(first_of).alias("top"))
     ring = Window.orderBy(F.desc("range"))
     first = F.first("top").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     last = F.lead("range").over(ring).isNull()
     guests = tops.select(F.when(last, first).otherwise(F.lead("top").over(ring)).alias("guest"), F.col("range").alias("host"))
-    guests = written(guests, "spot-guests")  # one row per range, RANGES at most
+    guests = written(guests, "spot-guests")  # one row per range, a few times RANGES at most
     hosts = F.broadcast(guests.groupBy("guest").agg(F.collect_list("host").alias("hosts")))
-    placed = rows.join(hosts, F.col("id").eqNullSafe(F.col("guest")), "left").drop("guest")
-    own = F.array(F.struct(ranged.alias("range"), F.lit(0).alias("guest")))
-    also = F.transform(F.coalesce("hosts", F.array().cast("array<bigint>")), lambda h: F.struct(h.alias("range"), F.lit(1).alias("guest")))
-    placed = placed.withColumn("place", F.explode(F.concat(own, also))).select("id", "text", "place.range", "place.guest")
+    placed = rows.withColumn("__first", first_of)
+    same = F.col("__first.low").eqNullSafe(F.col("guest.low")) & F.col("__first.hash").eqNullSafe(F.col("guest.hash"))
+    invited = placed.join(hosts, same).select("id", "text", F.explode("hosts").alias("range"))
+    # of rows that share an id, or the text where there is none, one is the guest
+    invited = invited.groupBy("range", "id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "text", "range", F.lit(1).alias("guest"))
+    placed = rows.select("id", "text", ranged.alias("range"), F.lit(0).alias("guest")).unionByName(invited)
     order = [F.col("guest"), F.col("id").desc_nulls_last(), F.xxhash64("text")]
     dealt = placed.repartition("range").sortWithinPartitions("range", *order)  # texts are dealt first, what is added is not shuffled
     added = add(dealt)
     window = Window.partitionBy("range").orderBy(*order)
     names = ["text", *[c for c in added.columns if c not in dealt.columns]]
-    placed = added
-    return placed.withColumns({f"next_{n}": F.lead(n).over(window) for n in names}).filter("guest = 0").drop("range", "guest")
+    return added.withColumns({f"next_{n}": F.lead(n).over(window) for n in names}).filter("guest = 0").drop("range", "guest")
 
 
 @query("op3_spotsigs")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from hushframe.llm import archives
+from hushframe.llm import archives, spotsigs
 from hushframe.llm.exact_dedup import exact_dedup, exact_groups
 from hushframe.llm.html_text import extract, main_text
 from hushframe.llm.mixing import mixed
@@ -107,3 +107,16 @@ def test_weights_cost_no_sequences(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     alone, every = (pack_documents(docs, weights=w).select("sequence_id").distinct().count() for w in ((1.0, 0.0, 0.0), (1.0, 1.0, 1.0)))
     assert every <= alone * 1.01 + 1
+
+
+def test_rows_without_an_id_are_spread_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "ROWS", 10)
+    docs = [(k if k < 40 else None, f"text {k % 90}") for k in range(200)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    got = spotsigs.with_next(df).collect()
+    order = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), hashes[d[1]] if d[0] is None else 0))
+    want = sorted((str(i), t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    assert sorted((str(r.id), r.text, r.next_text) for r in got) == want
+    plan = spotsigs.with_next(df)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
