@@ -153,7 +153,7 @@ def marginal(factors: list[Factor], variables: list[str], keep: tuple[str, ...])
 def ladder(bucket: Factor, variable: str) -> DataFrame:
     """Per choice of the other variables the codes that weigh anything and their weights added up, as two lists."""
     rest = [v for v in bucket.scope if v != variable]
-    keys = [F.col(v).cast("long").alias(f"__{v}") for v in rest] or [F.lit(0).cast("long").alias("__one")]
+    keys = [F.col(v).cast("long").alias(f"__{v}") for v in rest] or [(F.col(variable) * 0).cast("long").alias("__one")]
     rows = bucket.table.filter("w > 0").select(*keys, F.col(variable).alias("code"), "w")
     names = [f"__{v}" for v in rest] or ["__one"]
     upto = F.sum("w").over(Window.partitionBy(*names).orderBy("code").rowsBetween(Window.unboundedPreceding, 0))
@@ -186,7 +186,7 @@ class FactorModel:
             rest, steps = [x for x in buckets[v].scope if x != v], ladder(buckets[v], v)
             if not rest and evidence and steps.isEmpty():
                 raise LibraryFailure("no code of the model satisfies the condition")
-            # a row number times zero: one key, but no constant that would make the join a product
+            # one key on both sides, but no constant, which would make the join a product
             same = [(F.col(x).cast("long") == F.col(f"__{x}")) for x in rest] or [F.pmod("id", F.lit(1)) == F.col("__one")]
             rows = rows.join(steps, [*same]).withColumn("__u", uniform(seed, self.labels[v], "id") * F.element_at("__upto", -1))
             at = F.size(F.filter("__upto", lambda c: c <= F.col("__u")))
