@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from zlib import crc32
 
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from hushframe.operators.aggregate import private_agg
 from hushframe.operators.measure import Measure
 from hushframe.operators.order_stats import exact_quantiles
 from hushframe.plans.primitives import avg, count, std
-from hushframe.session import fresh_path
+from hushframe.session import fresh_path, shared_dir
 from hushframe.sources.dummy import CHARACTERS, dummy_like
 from hushframe.sources.release import read_release, write_release
 from hushframe.sources.tables import conformance, from_frame, iso_datetimes, read_private, split_lines, typed_decode
@@ -92,13 +93,15 @@ def _(spark, sf):
 @query("read_mounted", "select c_mktsegment, count(*)::bigint as n, round(sum(c_acctbal), 2) as total from customer group by 1")
 def _(spark, sf):
     """The table by a path that only Spark's file systems know, and a release written and read there."""
-    mount, conf = fresh_path(spark, "mounted"), spark._jsc.hadoopConfiguration()
-    conf.set("fs.viewfs.mounttable.gate.link./in", sf if "://" in sf else f"file://{sf}")
-    conf.set("fs.viewfs.mounttable.gate.link./out", mount if "://" in mount else f"file://{mount}")
+    shared, conf = shared_dir(spark), spark._jsc.hadoopConfiguration()
+    name = f"gate{crc32(f'{sf} {shared}'.encode())}"  # mounts are kept by name
+    for link, path in (("in", sf), ("out", shared)):
+        conf.set(f"fs.viewfs.mounttable.{name}.link./{link}", path if "://" in path else f"file://{path}")
+    release = f"viewfs://{name}/out/{fresh_path(spark, 'mounted').rsplit('/', 1)[-1]}"
     columns = {"c_mktsegment": {"type": "string"}, "c_acctbal": {"type": "float", "precision": 64, "lower": -1000, "upper": 10000}}
-    rows = read_private(spark, TableMeta.from_dict({"columns": columns}), "viewfs://gate/in/customer.parquet")
-    write_release(rows.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total")), "viewfs://gate/out/release")
-    return read_release(spark, "viewfs://gate/out/release")
+    rows = read_private(spark, TableMeta.from_dict({"columns": columns}), f"viewfs://{name}/in/customer.parquet")
+    write_release(rows.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total")), release)
+    return read_release(spark, release)
 
 
 @query("split_lines", "select c_custkey::varchar as c_custkey, c_name, c_mktsegment from customer")

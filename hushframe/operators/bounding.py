@@ -61,21 +61,26 @@ def keep_smallest(
         ranked = Window.partitionBy(*by).orderBy(row_order(order, seed), *order, *rest)
         return df.withColumn("__rank", F.row_number().over(ranked)).filter(F.col("__rank") <= n).drop("__rank")
 
-    keys = [f"__k{i}" for i in range(len(by))] or ["__k"]
-    named = {k: F.col(c) for k, c in zip(keys, by)} or {"__k": F.lit(0)}
-    tagged = df.withColumns({**named, "__hash": row_order(order, seed)})
+    keys = [f"__k{i}" for i in range(len(by))]
+    tagged = df.withColumns({**{k: F.col(c) for k, c in zip(keys, by)}, "__hash": row_order(order, seed)})
     with Scratch(df.sparkSession) as held:
         cut = written(_thresholds(tagged, keys, n, held), "bound-thresholds")  # a row per group
-    found = cut.select(*[F.col(k).alias(f"{k}c") for k in keys], "__last", "__left", "__ties")
-    matched = F.lit(True)
-    for k in keys:
-        matched = matched & F.col(k).eqNullSafe(F.col(f"{k}c"))
-    marked = tagged.join(found, matched, "left")
+    if by:
+        found = cut.select(*[F.col(k).alias(f"{k}c") for k in keys], "__last", "__left", "__ties")
+        matched = F.lit(True)
+        for k in keys:
+            matched = matched & F.col(k).eqNullSafe(F.col(f"{k}c"))
+        marked = tagged.join(found, matched, "left")
+    else:  # one group, so one threshold: constants instead of a join
+        one = cut.first()
+        if one is None:
+            return df
+        marked = tagged.withColumns({c: F.lit(one[c]) for c in ("__last", "__left", "__ties")})
     inside = F.col("__last").isNull() | (F.col("__hash") < F.col("__last"))
     if cut.filter("__left < __ties").isEmpty():
         return marked.filter(inside | (F.col("__hash") == F.col("__last"))).select(*df.columns)
     # rows that the order does not tell apart: equal ones are collapsed, then ranked by their other columns
-    within = Window.partitionBy(*keys).orderBy(*order, *[c for c in df.columns if c not in order])
+    within = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order, *[c for c in df.columns if c not in order])
     edge = (
         marked.filter(F.col("__hash") == F.col("__last"))
         .groupBy(*keys, "__left", *df.columns)
@@ -94,26 +99,28 @@ def _thresholds(tagged: DataFrame, keys: list[str], n: int, held: Scratch) -> Da
     """
     def cut_by(counts: DataFrame, part: str, before: str | None) -> DataFrame:
         """The row of each group in which the running count reaches ``n``; ``__upto`` counts the rows before it."""
-        upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, 0))
+        upto = F.sum("__n").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(part).rowsBetween(Window.unboundedPreceding, 0))
         start = upto - F.col("__n") if before is None else F.col(before) + upto - F.col("__n")
         return counts.withColumn("__start", start).filter((F.col("__start") < n) & (F.col("__start") + F.col("__n") >= n))
 
-    def again(found: DataFrame, part: str) -> DataFrame:
-        return found.select(*[F.col(k).alias(f"{k}f") for k in keys], F.col(part).alias("__cut"), F.col("__start").alias("__base"))
-
-    def same(part) -> object:
-        out = part == F.col("__cut")
+    def again(rows: DataFrame, part, found: DataFrame) -> DataFrame:
+        """The rows of the bucket that the cut falls into, with the rows before it as ``__base``."""
+        if not keys:
+            one = found.first()
+            return rows.filter(part == F.lit(one["__part"] if one else None)).withColumn("__base", F.lit(one["__start"] if one else 0))
+        found = found.select(*[F.col(k).alias(f"{k}f") for k in keys], F.col("__part").alias("__cut"), F.col("__start").alias("__base"))
+        same = part == F.col("__cut")
         for k in keys:
-            out = out & F.col(k).eqNullSafe(F.col(f"{k}f"))
-        return out
+            same = same & F.col(k).eqNullSafe(F.col(f"{k}f"))
+        return rows.join(found, same)
 
     digits = F.substring("__hash", 1, BUCKET_HEX_DIGITS)
     first = cut_by(tagged.groupBy(*keys, digits.alias("__part")).agg(F.count("*").alias("__n")), "__part", None)
-    hashes = tagged.join(again(first, "__part"), same(digits)).groupBy(*keys, "__hash", "__base").agg(F.count("*").alias("__n"))
+    hashes = again(tagged, digits, first).groupBy(*keys, "__hash", "__base").agg(F.count("*").alias("__n"))
     hashes = held(hashes, "bound-hashes")
     following = F.substring("__hash", 1, 2 * BUCKET_HEX_DIGITS)
     second = cut_by(hashes.groupBy(*keys, "__base", following.alias("__part")).agg(F.sum("__n").alias("__n")), "__part", "__base")
-    last = hashes.drop("__base").join(again(second, "__part"), same(following)).select(*keys, "__hash", "__n", "__base")
+    last = again(hashes.drop("__base"), following, second).select(*keys, "__hash", "__n", "__base")
     found = cut_by(last, "__hash", "__base")
     return found.select(*keys, F.col("__hash").alias("__last"), (F.lit(n) - F.col("__start")).alias("__left"), F.col("__n").alias("__ties"))
 
