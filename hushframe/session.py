@@ -53,6 +53,9 @@ class Scratch:
         return self
 
     def __exit__(self, *failure) -> None:
+        self.close()
+
+    def close(self) -> None:
         conf = self.spark._jsc.hadoopConfiguration()
         for path in self.paths:
             at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
