@@ -220,15 +220,15 @@ def evidence_of(condition: str, model: FactorModel, spark: SparkSession) -> Fact
 
     holds(columns)  # an unknown name or a wrong type is the caller's error
     used = [c for c in columns if needs(c)]
-    names = [model.names[c] for c in used]
-    values = [encoded.plan[c].decode(F.col(model.names[c])).cast(encoded.meta.column(c).spark_type).alias(c) for c in used]
-    cells = domain_frame(spark, {v: list(range(encoded.sizes[c])) for c, v in zip(used, names)}) if used else spark.range(1)
-    allowed = (cells.select(*names, *values) if used else cells).filter(condition)
+    held = {c: f"__code{k}" for k, c in enumerate(used)}  # apart from the condition's own names
+    values = [encoded.plan[c].decode(F.col(held[c])).cast(encoded.meta.column(c).spark_type).alias(c) for c in used]
+    cells = domain_frame(spark, {held[c]: list(range(encoded.sizes[c])) for c in used}) if used else spark.range(1)
+    allowed = (cells.select(*held.values(), *values) if used else cells).filter(condition)
     if not used:
         if allowed.isEmpty():
             raise LibraryFailure("no code of the model satisfies the condition")
         return None
-    return Factor(tuple(names), allowed.select(*names, F.lit(1.0).alias("w")))
+    return Factor(tuple(model.names[c] for c in used), allowed.select(*[F.col(held[c]).alias(model.names[c]) for c in used], F.lit(1.0).alias("w")))
 
 
 def sample(model: FactorModel, spark: SparkSession, n: int = DEFAULT_SAMPLES, condition: str | list[str] | None = None, seed: int | None = None) -> DataFrame:
