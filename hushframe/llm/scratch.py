@@ -1,27 +1,3 @@
 """Stored tables of one operator, deleted as soon as nothing reads them any more."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from hushframe.session import fresh_path, written
-
-
-class Scratch:
-    """``with Scratch(spark) as held: t = held(df, "name")`` stores ``df`` in the shared folder until the block ends."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
-
-    def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        self.paths.append(fresh_path(self.spark, name))
-        return written(df, name, self.paths[-1])
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *failure) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for path in self.paths:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+from hushframe.session import Scratch  # noqa: F401

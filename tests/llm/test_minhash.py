@@ -18,7 +18,8 @@ def frame(spark, docs):
 
 def expected(docs, least=0.85):
     worded = lambda t: bool((t or "").split())
-    roots = classes([t for _, t in docs], lambda a, b: worded(a) and worded(b) and likeness(a, b) >= least)
+    apart = {ord("Ä"): "1"}  # only A-Z are lower-cased
+    roots = classes([(t or "").translate(apart) for _, t in docs], lambda a, b: worded(a) and worded(b) and likeness(a, b) >= least)
     smallest = {}
     for (i, _), r in zip(docs, roots):
         smallest[r] = min(x for x in (smallest.get(r), i) if x is not None) if (smallest.get(r), i) != (None, None) else None
