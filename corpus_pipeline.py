@@ -26,7 +26,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by five-word shingles of similarity 0.8 or more the document with the smallest id.
 
-    Fingerprints do not reach that similarity, see the README: whole sets are compared.
+    SimHash fingerprints within four bits are candidates; signatures add the alike texts that fingerprints do not reach,
+    see the README.  Whole sets decide.
     """
     return near_dedup(docs)
 

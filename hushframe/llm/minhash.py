@@ -36,7 +36,7 @@ from hushframe.llm.catalog import query, table
 from hushframe.llm.components import components
 from hushframe.llm.scratch import Scratch
 from hushframe.llm.shingle_sets import BLOCK, WORDS, alike_links, shingles
-from hushframe.llm.simhash import perhaps_in
+from hushframe.llm.simhash import fingerprint, link_prints, perhaps_in, signed
 from hushframe.session import written
 
 LEAST = 0.85
@@ -116,10 +116,14 @@ def member_links(nodes: np.ndarray, prints: np.ndarray, askers: np.ndarray, aski
     return links
 
 
-def signed_sets(docs: DataFrame, words: int, positions: int, seed: int, text: str, id: str) -> DataFrame:
-    """(id, key, set, n, signature) per document: md5 of the text, 128-bit digest and size of its set; null set: empty."""
+def signed_sets(docs: DataFrame, words: int, positions: int, seed: int, text: str, id: str, prints: bool = False) -> DataFrame:
+    """(id, key, set, n, signature) per document: md5 of the text, 128-bit digest and size of its set; null set: empty.
+
+    With ``prints`` also (print), the SimHash fingerprint as a signed long.
+    """
     kind = docs.schema[id].dataType.simpleString()
     functions = hash_functions(positions, seed)
+    more = ["print"] * prints
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,11 +134,12 @@ def signed_sets(docs: DataFrame, words: int, positions: int, seed: int, text: st
                 out[0].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 out[1].append(len(s))
                 out[2].append(signature(s, functions).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())],
-                                             ["id", "key", "set", "n", "signature"])
+            given = [pa.array([signed(fingerprint(t.as_py())) for t in b.column(2)], pa.int64()) for _ in more]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), *given],
+                                             ["id", "key", "set", "n", "signature", *more])
 
     return docs.select(F.col(f"`{id}`").alias("id"), text_key(text).alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(
-        run, f"id {kind}, key binary, set binary, n bigint, signature binary")
+        run, f"id {kind}, key binary, set binary, n bigint, signature binary" + ", print bigint" * len(more))
 
 
 def text_key(text: str):
@@ -191,14 +196,29 @@ def candidate_links(sets: DataFrame, least: float, positions: int, held: Callabl
     return placed.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
+def print_links(sets: DataFrame, radius: int, held: Callable) -> DataFrame:
+    """(node, print) to (u, v): links whose classes are those of all fingerprints within the radius, equal ones included."""
+    prints = held(sets.groupBy("print").agg(F.min("node").alias("first"), F.count("*").alias("n")), "simhash-groups")
+    equal = sets.join(prints.filter("n > 1").select("print", "first"), "print").filter("node <> first")
+    u, v = (prints.select(F.col("print").alias(f"of_{x}"), F.col("first").alias(x)) for x in "uv")
+    near = link_prints(prints.select("print"), radius).select(F.col("u").alias("of_u"), F.col("v").alias("of_v")).distinct()
+    return near.join(u, "of_u").join(v, "of_v").select("u", "v").unionByName(equal.select(F.col("node").alias("u"), F.col("first").alias("v")))
+
+
 def near_sets(docs: DataFrame, least: float, words: int, positions: int, seed: int, text: str, id: str, block: int, part: int,
-              keep: Callable[[DataFrame, str], DataFrame] = written) -> tuple[DataFrame, DataFrame]:
-    """((id, key, set, n) per document, (set, root) of the sets that are linked); ``keep`` stores both, ``root`` names a class."""
-    full = keep(signed_sets(docs, words, positions, seed, text, id), "minhash-signatures")
+              keep: Callable[[DataFrame, str], DataFrame] = written, radius: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """((id, key, set, n) per document, (set, root) of the sets that are linked); ``keep`` stores both, ``root`` names a class.
+
+    With ``radius``, sets whose SimHash fingerprints are within it are candidates as well.
+    """
+    given = ["print"] * (radius is not None)
+    full = keep(signed_sets(docs, words, positions, seed, text, id, radius is not None), "minhash-signatures")
     with Scratch(docs.sparkSession) as held:
-        sets = full.filter("set is not null").groupBy("set").agg(F.min(F.struct("key", "signature")).alias("one"))
-        sets = held(sets.select(F.monotonically_increasing_id().alias("node"), "set", "one.key", "one.signature"), "minhash-sets")
+        sets = full.filter("set is not null").groupBy("set").agg(F.min(F.struct("key", "signature", *given)).alias("one"))
+        sets = held(sets.select(F.monotonically_increasing_id().alias("node"), "set", "one.key", "one.signature", *[f"one.{x}" for x in given]), "minhash-sets")
         links = held(candidate_links(sets.select("node", "signature"), least, positions, held, part), "minhash-links")
+        if radius is not None:
+            links = links.unionByName(held(print_links(sets.select("node", "print"), radius, held), "simhash-links"))
         clusters = held(components(links, store=held).distinct(), "minhash-clusters")
         wanted = sets.join(clusters, "node").select("key", "node", "root")
         keyed = docs.select(text_key(text).alias("key"), F.col(f"`{text}`").alias("text")).withColumn("row", F.xxhash64("key"))

@@ -1,8 +1,10 @@
 """Near copies: one row stays of each class of texts whose sets of word shingles have a Jaccard similarity of ``least`` or more.
 
-Candidates are all pairs of MinHash signatures within the radius that belongs to ``least`` (``minhash``); whole sets then
-decide, so nothing below ``least`` is linked.  Rows are named by id and md5 of the text: only names and signatures are
-stored, never the corpus, and of the texts only those of candidates are shuffled.
+Candidates are all pairs of SimHash fingerprints within ``radius`` bits, linked by BK-trees of shards (``simhash``).  Pairs
+of similarity ``least`` may differ in more bits than trees can search, so all pairs of MinHash signatures within the radius
+that belongs to ``least`` are candidates too (``minhash``).  Whole sets then decide, so nothing below ``least`` is linked.
+Rows are named by id and md5 of the text: only names, fingerprints and signatures are stored, never the corpus, and of the
+texts only those of candidates are shuffled.
 
 Of a class the row with the smallest id stays, null ids last; of equal ids the one whose md5 is smaller; of rows equal in
 id and text one.  Every row decides for itself, whatever its id.
@@ -24,13 +26,14 @@ from hushframe.llm.simhash import perhaps_in
 from hushframe.session import written
 
 LEAST = 0.8
+RADIUS = 4  # differing bits of two fingerprints
 
 
 def near_dedup(docs: DataFrame, words: int = WORDS, least: float = LEAST, positions: int = POSITIONS, seed: int = 42, text: str = "text",
-               id: str = "doc_id", block: int = BLOCK, part: int = PART) -> DataFrame:
+               id: str = "doc_id", block: int = BLOCK, part: int = PART, radius: int = RADIUS) -> DataFrame:
     """One row of each class of near copies, with all its columns."""
     with Scratch(docs.sparkSession) as held:
-        rows, found = near_sets(docs, least, words, positions, seed, text, id, block, part, keep=held)
+        rows, found = near_sets(docs, least, words, positions, seed, text, id, block, part, held, radius)
         name = F.struct(F.col("id").isNull().alias("none"), "id", "key").alias("name")
         group = F.coalesce(F.col("root").cast("string"), F.hex("set"), F.lit("")).alias("group")
         named = rows.join(found, "set", "left").select(group, name)

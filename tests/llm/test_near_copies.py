@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from hushframe.llm import minhash
 from hushframe.llm.near_copies import near_dedup
 from hushframe.llm.shingle_sets import Cluster, prefix_length, shingles
 from hushframe.llm.simhash import fingerprint, simhash_dedup
@@ -97,6 +98,26 @@ def test_pipeline_near_stage_against_brute_force(spark, sf):
     holds(docs, stage(spark, frame(spark, docs), sf).collect(), *brute(docs, lambda a, b: likeness(a, b) >= 0.8))
 
 
+def test_fingerprints_find_candidates_and_whole_sets_decide(spark, sf, monkeypatch):
+    """Without candidates from signatures the near stage joins what fingerprints within four bits link, if it is alike."""
+    monkeypatch.setattr(minhash, "candidate_links", lambda *a: spark.createDataFrame([], "u bigint, v bigint"))
+    rng, texts = random.Random(11), []
+    for _ in range(12):
+        base = words_of(rng, 300)
+        texts += [base, base[:-1] + words_of(rng, 1), base[:-12] + words_of(rng, 12)]
+    line = words_of(rng, 20)
+    texts += [line * 200 + words_of(rng, 20), line * 200 + words_of(rng, 20), line * 200]  # 0.5 and less, within four bits
+    texts += [line[:8], line[:8], words_of(rng, 2)]
+    docs = [(1000 - k, " ".join(t)) for k, t in enumerate(texts)]
+    bits = lambda a, b: (fingerprint(a) ^ fingerprint(b)).bit_count()
+    pairs = [(bits(a, b), likeness(a, b)) for k, (_, a) in enumerate(docs) for _, b in docs[:k]]
+    assert any(0 < d <= 4 and x >= 0.8 for d, x in pairs) and any(d <= 4 and x < 0.8 for d, x in pairs) and any(d > 4 and x >= 0.8 for d, x in pairs)
+    roots, kept = brute(docs, lambda a, b: bits(a, b) <= 4 and likeness(a, b) >= 0.8)
+    assert len(set(roots)) < len(docs) - 5
+    stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
+    holds(docs, stage(spark, frame(spark, docs), sf).collect(), roots, kept)
+
+
 def test_given_documents(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     sets = {t: set(shingles(t).tolist()) for _, t in docs}
