@@ -1,6 +1,6 @@
 """Budget admission on a stream of requests, with the same answer as ``operators.ledger.admit``.
 
-``admit_stream`` keeps the spent amounts as operator state and takes a key's requests in slices of bounded size.
+``admit_stream`` keeps the spent amounts as operator state, of many keys together, and takes requests in slices of bounded size.
 ``admit_micro_batches`` settles each micro-batch with the batch operator against a stored ledger, so a
 backlog in which one user holds most of the requests is spread over the cluster as well.
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import io
+import json
 from collections.abc import Iterable, Iterator
 from decimal import Decimal
 
@@ -21,8 +22,9 @@ from hushframe.errors import LibraryFailure
 from hushframe.operators.ledger import AMOUNTS, KEYS, admit, amount
 from hushframe.session import written
 
-SLICE = 4096  # requests of a key that are in memory at a time, from each slice that Spark hands over and in each that is handed on
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"  # holds a key's waiting slices on disk
+PARTS = 1 << 12  # groups of keys that share a state: a call and a state cost the same for many keys as for one
+SLICE = 4096  # requests of a key or part that are in memory at a time, from each slice that Spark hands over and in each that is handed on
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"  # holds a part's waiting slices on disk
 OUTPUT = "user_name string, dataset_name string, request_id bigint, cost_epsilon double, cost_delta double, admitted boolean"
 
 
@@ -34,9 +36,10 @@ def admit_stream(requests: DataFrame, budgets: DataFrame) -> DataFrame:
 
     Requests must arrive in request order across micro-batches; one that is older than a request settled
     before it fails the stream, since its answer would depend on the order of arrival.  Requests above the whole budget
-    never reach the state.  Within a micro-batch a key's requests come in any order and in any number: slices are sorted
-    as they come, wait in the key's state in pieces, and are merged piece by piece, so no task holds a key's requests.
-    The session's state store is set to the one on disk that this needs.
+    never reach the state.  Keys are dealt to ``PARTS`` parts by a hash; a part's keys are settled together, in request
+    order, and share one state.  Within a micro-batch a part's requests come in any order and in any number: slices are
+    sorted as they come, wait in the part's state in pieces, and are merged piece by piece, so no task holds a key's
+    requests, only the amounts of one part's keys.  The session's state store is set to the one on disk that this needs.
     """
     requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     budget = budgets.select(*KEYS, amount("epsilon", "epsilon").alias("be"), amount("delta", "delta").alias("bd"))
@@ -46,9 +49,9 @@ def admit_stream(requests: DataFrame, budgets: DataFrame) -> DataFrame:
     plain = [*KEYS, "request_id", "cost_epsilon", "cost_delta"]
     refused = priced.filter(~affordable).select(*plain, F.lit(False).alias("admitted"))
     decided = (
-        priced.filter(affordable).select(*plain, "e", "d", "be", "bd")
-        .groupBy(*KEYS)
-        .transformWithStateInPandas(Admission(), OUTPUT, "Append", "None")
+        priced.filter(affordable).select(F.pmod(F.xxhash64(*KEYS), F.lit(PARTS)).cast("int").alias("part"), *plain, "e", "d", "be", "bd")
+        .groupBy("part")
+        .transformWithStateInPandas(PartAdmission(), OUTPUT, "Append", "None")
     )
     return decided.unionByName(refused)
 
@@ -142,4 +145,29 @@ class Admission(StatefulProcessor):
         for n in range(pieces):
             part = pd.read_pickle(io.BytesIO(self.waiting.getValue((run, n))[0]))
             self.waiting.removeKey((run, n))
-            yield from part.drop(columns=["user_name", "dataset_name"], errors="ignore").itertuples(index=False)
+            yield from part.itertuples(index=False)
+
+
+class PartAdmission(Admission):
+    """The same for all keys of a part at once: one call and one state, whatever the number of its keys."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.spent = handle.getValueState("spent", "keys string")  # JSON, amounts as text
+        self.waiting = handle.getMapState("waiting", "run int, piece int", "rows binary")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        stored = json.loads(self.spent.get()[0]) if self.spent.exists() else []
+        last = {(user, dataset): at for user, dataset, _, _, at in stored}
+        state = {(user, dataset): (Decimal(e), Decimal(d), at) for user, dataset, e, d, at in stored}
+        for part in self._in_order(rows):
+            admitted = []
+            for user, dataset, request, e, d, be, bd in zip(*[part[c] for c in (*KEYS, "request_id", "e", "d", "be", "bd")]):
+                name = user, dataset
+                if name in last and request <= last[name]:
+                    raise LibraryFailure(f"request {request} of {name} arrived after request {last[name]}")
+                spent_e, spent_d, _ = state.get(name, (Decimal(0), Decimal(0), None))
+                fits = spent_e + e <= be and spent_d + d <= bd
+                admitted.append(fits)
+                state[name] = (spent_e + e, spent_d + d, int(request)) if fits else (spent_e, spent_d, int(request))
+            yield part[[*KEYS, "request_id", "cost_epsilon", "cost_delta"]].assign(admitted=admitted)
+        self.spent.update((json.dumps([[*name, str(e), str(d), at] for name, (e, d, at) in state.items()]),))

@@ -1,3 +1,4 @@
+import uuid
 from decimal import Decimal
 
 import pytest
@@ -7,7 +8,7 @@ from gate import ledgers as G
 from hushframe.errors import InvalidQuery
 from hushframe.operators import ledger as L
 from hushframe.plans.accounting import invalid_requests, price
-from hushframe.streaming.admission import Admission, admit_micro_batches, admit_stream
+from hushframe.streaming.admission import Admission, PartAdmission, admit_micro_batches, admit_stream
 from hushframe.streaming.run import drain
 
 
@@ -155,6 +156,49 @@ def test_a_key_is_taken_in_slices():
         settle(n)
 
 
+def test_keys_of_a_part_share_calls_and_state(spark, tmp_path, monkeypatch):
+    """Many keys take no more calls than there are parts, over micro-batches too; a late request of any of them still fails."""
+    from hushframe.streaming import admission as A
+
+    monkeypatch.setattr(A, "PARTS", 3)
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    class Counted(PartAdmission):
+        def handleInputRows(self, key, rows, timerValues):
+            (calls / uuid.uuid4().hex).touch()
+            yield from PartAdmission.handleInputRows(self, key, rows, timerValues)
+
+    monkeypatch.setattr(A, "PartAdmission", Counted)
+    i = F.col("id")
+    requests = spark.range(1200).select(i.alias("request_id"), F.concat(F.lit("u"), i % 100).alias("user_name"), F.concat(F.lit("d"), i % 3).alias("dataset_name"),
+                                        ((i % 7) / 2).alias("cost_epsilon"), F.lit(1e-5).alias("cost_delta"))
+    budgets = requests.filter("user_name <> 'u7'").select("user_name", "dataset_name", F.lit(5.0).alias("epsilon"), F.lit(1.0).alias("delta")).distinct()
+    source = str(tmp_path / "many")
+    for k in range(2):
+        requests.filter(F.col("request_id").between(600 * k, 600 * k + 599)).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    got = {r["request_id"]: r["admitted"] for r in drain(admit_stream(stream, budgets)).collect()}
+    assert got == {r["request_id"]: r["admitted"] for r in L.admit(requests, budgets).collect()} and 0 < sum(got.values()) < len(got)
+    assert 0 < len(list(calls.iterdir())) <= 6  # of 300 keys in two micro-batches
+
+
+def test_a_late_request_of_one_key_in_a_part():
+    import pandas as pd
+
+    def rows(*asked):
+        cost = {"cost_epsilon": 1.0, "cost_delta": 0.0, "e": Decimal(1), "d": Decimal(0), "be": Decimal(2), "bd": Decimal(1)}
+        return iter([pd.DataFrame([{"user_name": u, "dataset_name": "d", "request_id": r, **cost} for u, r in asked])])
+
+    admission = PartAdmission()
+    admission.spent, admission.waiting = _Value(), _Map()
+    settle = lambda *asked: [a for out in admission.handleInputRows((0,), rows(*asked), None) for a in out["admitted"]]
+    assert settle(("a", 5), ("b", 1), ("a", 6), ("a", 7)) == [True, True, True, False]
+    assert settle(("b", 3), ("b", 2), ("c", 1)) == [True, True, False]  # in request order: c, b, b
+    with pytest.raises(Exception, match="arrived after request 7"):
+        settle(("a", 7))
+
+
 def test_prices(spark):
     rows = [
         (1, "sql", 0.5, 1e-5, [("count", None), ("avg", "x"), ("std", "x")], None, None, None, None, None, None, None),
